@@ -85,7 +85,7 @@ def mix(
     u = unit_hash(F.col("key"), seed)
     rows = rows.withColumn("lam", F.greatest(F.lit(0.0), F.coalesce(lam, F.lit(0.0)))).withColumn("whole", F.floor("lam")).withColumn("pi", F.col("lam") - F.col("whole")).withColumn("u", u)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    rows = rows.withColumn("v", F.when(F.col("pi") > 0, odds / (1 + odds))).withColumn("bin", F.coalesce(F.floor(F.col("v") * BINS), F.lit(-1)).cast("int"))
+    rows = rows.withColumn("v", F.when(F.col("pi") > 0, odds / (1 + odds))).withColumn("bin", F.coalesce(F.floor(F.col("v") * BINS), -1 - F.floor(F.col("u") * BINS)).cast("int"))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     by_source = Window.partitionBy("source")
     bins = bins.withColumn("rest", F.col("target") - F.sum("certain").over(by_source)).withColumn("words", F.when(F.col("bin") >= 0, F.col("words")).otherwise(0))
