@@ -33,31 +33,30 @@ CACHE_WORDS = 300_000
 _LOADED: dict[str, WordIds] = {}
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of blank-separated words as little-endian 32-bit bytes.
 
     The tokenizer drops white space and none of its tokens spans it, so the ids of a text are those of its words in turn.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__({"": b""})
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {"": b""}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = list(set(parts).difference(self))
+        new = list(set(parts).difference(self.known))
         if new:
-            if len(self) > CACHE_WORDS:
-                self.clear()
-                self[""] = b""
+            if len(self.known) > CACHE_WORDS:
+                self.known = {"": b""}
                 new = [x for x in set(parts) if x]
             for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(got.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, parts))
+                self.known[word] = np.asarray(got.ids, "<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 def word_ids(path: str) -> WordIds:
