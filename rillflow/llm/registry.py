@@ -1,9 +1,12 @@
 """The corpus operators' queries and, where SQL can say the same, their SQL."""
 
-from rillflow.llm import mixing
+from rillflow.llm import mixing, neardup, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op4_fingerprints": simhash.op4_fingerprints,
     "op6_mixing": mixing.op6_mixing,
+    "op10_neardup": neardup.op10_neardup,
 }
 
 ORACLE_SQL = {
