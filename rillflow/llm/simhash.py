@@ -33,14 +33,14 @@ def fingerprints(df: DataFrame, keys: list[str], hashes: str, halves: int = 1) -
     for i in range(1, halves):
         rows = rows.withColumn(f"h{i}", F.xxhash64(f"h{i - 1}"))
     sums = [F.sum(F.expr(f"shiftrightunsigned(h{i}, {j}) & {PAIR}L")).alias(f"s{i}_{j}") for i in range(halves) for j in range(32)]
-    got = rows.groupBy(*keys).agg(F.count("h0").alias("n"), F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).cast("int").alias("copies"), *sums)
+    got = rows.groupBy(*keys).agg(F.count("h0").alias("_n"), F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).cast("int").alias("_copies"), *sums)
     out = []
     for i in range(halves):
         counts = ", ".join(f"s{i}_{j}" for j in range(32))
-        bit = lambda count, to: f"IF(({count}) * 2 > n, shiftleft(1L, j + {to}), 0L)"
+        bit = lambda count, to: f"IF(({count}) * 2 > _n, shiftleft(1L, j + {to}), 0L)"
         out.append(F.expr(f"coalesce(aggregate(sequence(0, 31), 0L, (acc, j) -> acc | {bit(f'element_at(array({counts}), j + 1) & 4294967295L', 0)} | {bit(f'shiftrightunsigned(element_at(array({counts}), j + 1), 32)', 32)}), 0L)").alias(f"fp{i}"))
     # Rows with equal keys (ids and text) have voted together, which gives the same bits; they come apart again here.
-    return got.select(*keys, "copies", *out).withColumn("copies", F.explode(F.expr("sequence(1, copies)"))).drop("copies")
+    return got.select(*keys, "_copies", *out).withColumn("_copies", F.explode(F.expr("sequence(1, _copies)"))).drop("_copies")
 
 
 def hex64(fp: Column | str) -> Column:
