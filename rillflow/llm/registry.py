@@ -1,11 +1,13 @@
 """The corpus operators' queries and, where SQL can say the same, their SQL."""
 
-from rillflow.llm import mixing, neardup, packing, quality, simhash, toxicity
+from rillflow.llm import mixing, neardup, packing, quality, simhash, toxicity, vptree, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_neighbours": vptree.op3_neighbours,
     "op4_fingerprints": simhash.op4_fingerprints,
     "op6_mixing": mixing.op6_mixing,
+    "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_neardup": neardup.op10_neardup,
