@@ -1,11 +1,12 @@
 """The corpus operators' queries and, where SQL can say the same, their SQL."""
 
-from rillflow.llm import mixing, neardup, packing, quality, simhash, toxicity, vptree, warc
+from rillflow.llm import html_text, mixing, neardup, packing, quality, simhash, toxicity, vptree, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_neighbours": vptree.op3_neighbours,
     "op4_fingerprints": simhash.op4_fingerprints,
+    "op5_html": html_text.op5_html,
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
