@@ -1,8 +1,9 @@
 """The corpus operators' queries and, where SQL can say the same, their SQL."""
 
-from rillflow.llm import html_text, mixing, neardup, packing, quality, simhash, toxicity, vptree, warc
+from rillflow.llm import html_text, linededup, mixing, neardup, packing, quality, simhash, toxicity, vptree, warc
 
 QUERIES = {
+    "op1_linededup": linededup.op1_linededup,
     "op2_packing": packing.op2_packing,
     "op3_neighbours": vptree.op3_neighbours,
     "op4_fingerprints": simhash.op4_fingerprints,
