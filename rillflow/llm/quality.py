@@ -113,6 +113,17 @@ def score(df: DataFrame, model: LatentModel, text: str = "text", key: str = "doc
     return rows.mapInPandas(rate, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
 
 
+def keep(df: DataFrame, model: LatentModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of df whose score is `least` or more, in one pass over their texts."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches):
+        for pdf in batches:
+            yield pdf[sent.value.score(pdf[text].fillna("").tolist()) >= least]
+
+    return df.mapInPandas(choose, df.schema)
+
+
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> LatentModel:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     return fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 3) != 1, LABELLED))
