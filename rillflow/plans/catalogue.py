@@ -1,4 +1,470 @@
-"""All queries over the driver's tables, by name, and the SQL that must give the same rows."""
+"""All queries over the driver's tables, by name, and the SQL that must give the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no completions, so text queries build them from other columns, alike in Spark and in SQL.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rillflow.functions import jsonx, numbers, pycode, text, verify
+from rillflow.operators import evaluate, execute, metrics, pool, rewards, rows
+from rillflow.plans import rollout
+from rillflow.sources import tasks as task_source
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- conversations ---------------------------------------------------------------------------------------------
+_SAID = "concat(text, ' FINAL_ANSWER: **', CASE WHEN (conv_id + turn) % 3 = 0 THEN reverse(concat(role, '-', CAST(turn AS STRING))) ELSE upper(concat(role, '-', CAST(turn AS STRING))) END, '**.\nbye')"
+
+
+@query("""
+WITH c AS (SELECT role, role || '-' || CAST(turn AS VARCHAR) AS truth,
+  CASE WHEN (conv_id + turn) % 3 = 0 THEN reverse(role || '-' || CAST(turn AS VARCHAR)) ELSE upper(role || '-' || CAST(turn AS VARCHAR)) END AS said FROM conversations)
+SELECT role, CAST(count(*) FILTER (WHERE lower(said) = lower(truth)) AS BIGINT) AS hit, count(*) AS total,
+  round(count(*) FILTER (WHERE lower(said) = lower(truth)) / count(*)::DOUBLE, 6) AS accuracy FROM c GROUP BY role""")
+def answer_accuracy(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("role", F.concat("role", F.lit("-"), F.col("turn").cast("string")).alias("truth"), F.expr(_SAID).alias("said"))
+    c = c.withColumn("correct", verify.answers_match(text.answer_offline("said"), "truth")).withColumn("used_tools", F.lit(False))
+    return metrics.accuracy(c, "role").select("role", "hit", "total", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_said, count(*) AS n_turns, CAST(max(turn) AS BIGINT) AS last_turn FROM conversations GROUP BY conv_id")
+def chat_last_assistant(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("last_said"), F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"))
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY turn), ',') AS roles, array_to_string(list(DISTINCT role ORDER BY role), ',') AS distinct_roles FROM conversations GROUP BY conv_id")
+def chat_roles(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("m"))
+    roles = F.transform("m", lambda x: x["role"])
+    return c.select("conv_id", F.array_join(roles, ",").alias("roles"), F.array_join(F.array_sort(F.array_distinct(roles)), ",").alias("distinct_roles"))
+
+
+@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt, count(*) AS n_parsed FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def chatml_round_trip(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    c = c.withColumn("prompt", text.chatml_render("m"))
+    return c.select("conv_id", "prompt", F.size(text.chatml_messages("prompt")).cast("long").alias("n_parsed"))
+
+
+@query("""
+WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, conv_id % 3 + 1 AS m FROM conversations)
+SELECT conv_id, turn, CAST(CASE WHEN n % m = 0 THEN floor(i / (n / m)) ELSE least(i, m - 1) END AS INTEGER) AS answer_index FROM n""")
+def align_answers(spark, sf_dir):
+    w = Window.partitionBy("conv_id")
+    c = table(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(w.orderBy("turn")) - 1).withColumn("n", F.count("*").over(w)).withColumn("m", F.col("conv_id") % 3 + 1)
+    return c.select("conv_id", "turn", rewards.align_index(F.col("i"), F.col("n"), F.col("m")).alias("answer_index"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS question, left(replace(text, chr(10), '\\n'), 240) AS preview FROM conversations")
+def normalize_question(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_question("text").alias("question"), text.safe_preview("text").alias("preview"))
+
+
+# ---- documents: rows, splits, dedup ----------------------------------------------------------------------------
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def dedup_keep_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return rows.keep_first(d, "text", "doc_id").select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, lang, CAST(2 + (rn - 1) // 70 AS INTEGER) AS difficulty FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)")
+def difficulty_bands(spark, sf_dir):
+    rn = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", (2 + F.floor((rn - 1) / 70)).cast("int").alias("difficulty"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents)
+SELECT doc_id, source, CASE WHEN rn <= 10 THEN 'reference' ELSE 'test' END AS part FROM r WHERE rn <= 110""")
+def dataset_splits(spark, sf_dir):
+    rn = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", rn.alias("rn")).where("rn <= 110")
+    return d.select("doc_id", "source", F.when(F.col("rn") <= 10, "reference").otherwise("test").alias("part"))
+
+
+@query("SELECT doc_id, inputs, targets FROM (SELECT doc_id, lang AS inputs, source AS targets FROM documents)")
+def alias_eval(spark, sf_dir):
+    return rows.alias_eval(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("question"), F.col("source").alias("answer"))).select("doc_id", "inputs", "targets")
+
+
+@query("""
+WITH b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE n_chars > 400),
+n AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) AS i FROM b GROUP BY lang),
+t AS (SELECT lang, n, i, 60 * i AS room FROM n),
+k AS (SELECT lang, greatest(0, least(n, room - coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take, i FROM t)
+SELECT doc_id, b.lang AS lang FROM b JOIN (
+  WITH RECURSIVE c AS (SELECT i, lang, least(n, 60) AS take, least(n, 60) AS kept FROM t WHERE i = 1
+    UNION ALL SELECT t.i, t.lang, greatest(0, least(t.n, t.room - c.kept)), c.kept + greatest(0, least(t.n, t.room - c.kept)) FROM c JOIN t ON t.i = c.i + 1)
+  SELECT lang, take FROM c) x ON b.lang = x.lang WHERE rn <= take""")
+def capped_bands(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("n_chars") > 400, F.col("source")).alias("answer"))
+    return rows.cumulative_cap(d, "lang", "doc_id", 60).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents a WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang = 'en' AND b.doc_id % 2 = 1 AND a.text = b.text) AND doc_id % 2 = 0")
+def cross_split_anti(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return rows.without_overlap(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "text").select("doc_id", "lang")
+
+
+# ---- part: extraction and matching -----------------------------------------------------------------------------
+_T3 = "```"
+_COMPLETION = "concat('<think>', p_type, ' \\\\boxed{0}</think>Let me see. \\\\boxed{', p_brand, '} or \\\\boxed{a{', p_size, '}b}\nFINAL_ANSWER: **', p_name, '**.\nFINAL_ANSWER: ', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat(p_size, ' ', p_brand) END, '\nbye <answer> ', p_type, ' </answer>')"
+_COMPLETION_SQL = "'<think>' || p_type || ' \\boxed{0}</think>Let me see. \\boxed{' || p_brand || '} or \\boxed{a{' || p_size || '}b}' || chr(10) || 'FINAL_ANSWER: **' || p_name || '**.' || chr(10) || 'FINAL_ANSWER: ' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size || ' ' || p_brand END || chr(10) || 'bye <answer> ' || p_type || ' </answer>'"
+
+
+def _part(spark, sf_dir):
+    return table(spark, sf_dir, "part").withColumn("said", F.expr(_COMPLETION))
+
+
+@query("SELECT p_partkey, 'a{' || p_size || '}b' AS boxed, 'a{' || p_size || '}b' AS box_first, CASE WHEN p_partkey % 4 = 0 THEN 'a{' || p_size || '}b' ELSE p_size || ' ' || p_brand END AS rewards, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size || ' ' || p_brand END AS offline, CASE WHEN p_partkey % 4 = 0 THEN 'a{' || p_size || '}b' ELSE p_size || ' ' || p_brand END AS mixed FROM part")
+def extract_final_answer(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    offline = text.answer_offline("said")
+    return p.select("p_partkey", text.answer_boxed("said").alias("boxed"), text.answer_box_first("said").alias("box_first"), text.answer_rewards("said").alias("rewards"), F.when(F.col("p_partkey") % 4 == 0, F.lit("")).otherwise(offline).alias("offline"), F.coalesce(F.when(F.col("p_partkey") % 4 == 0, text.balanced_boxed("said")), offline).alias("mixed"))
+
+
+@query(f"WITH s AS (SELECT p_partkey, {_COMPLETION_SQL} AS said FROM part) SELECT p_partkey, CAST(greatest(len(regexp_extract_all(said, 'FINAL_ANSWER:')), len(regexp_extract_all(said, '\\\\boxed\\{{'))) AS INTEGER) AS n_tags, -1.0::DOUBLE AS penalty, 0.5::DOUBLE AS format_bonus, split_part(said, '</think>', 2) AS after_think FROM s")
+def reward_spam_penalty(spark, sf_dir):
+    return _part(spark, sf_dir).select("p_partkey", text.answer_tag_count("said").alias("n_tags"), rewards.spam_penalty("said").alias("penalty"), rewards.format_reward("said").alias("format_bonus"), text.after_think(F.col("said")).alias("after_think"))
+
+
+@query("""SELECT p_partkey, 'def f(x):' || chr(10) || '    return ' || p_size AS code, '{"name": "f", "size": ' || p_size || '}' AS schema, p_partkey % 3 <> 0 AS one_each FROM part""")
+def extract_fences(spark, sf_dir):
+    fences = f"concat('Here:\n{_T3}python\ndef f(x):\n    return ', p_size, '\n{_T3}\nand\n{_T3}json\n{{\"name\": \"f\", \"size\": ', p_size, '}}\n{_T3}\n', CASE WHEN p_partkey % 3 = 0 THEN '{_T3}bash\nls\n{_T3}' ELSE '' END)"
+    p = table(spark, sf_dir, "part").withColumn("said", F.expr(fences))
+    return p.select("p_partkey", F.try_element_at(text.code_blocks("said", "python"), F.lit(-1)).alias("code"), F.try_element_at(text.code_blocks("said", "json"), F.lit(-1)).alias("schema"), text.one_python_one_json("said").alias("one_each"))
+
+
+@query("""SELECT p_partkey, 'Solve ' || p_name || ' now' AS clean, CASE WHEN p_partkey % 5 = 0 THEN 'use' ELSE 'build' END AS task_type, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand WHEN 2 THEN 'unknown' ELSE '' END AS category FROM part""")
+def strip_metadata(spark, sf_dir):
+    ident = "CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, '-train-', p_size) WHEN 1 THEN p_brand WHEN 2 THEN '' ELSE concat('-train-', p_size) END"
+    meta = f"to_json(named_struct('id', {ident}, 'task_type', CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'Build' END, 'target_answer', p_type))"
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("b").alias("batch_id"), F.col("p_partkey").alias("prompt_index"), F.concat(F.lit("Solve "), "p_name", F.lit(" now <tool_rl_metadata> "), F.expr(meta), F.lit(" </tool_rl_metadata>")).alias("prompt"))
+    got = rollout.parse_prompts(p)
+    return got.select("p_partkey", F.col("clean_prompt").alias("clean"), "task_type", "category")
+
+
+_PRED = "CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN concat('**', p_size, '**.') WHEN 3 THEN concat('$', p_size, ',000') WHEN 4 THEN concat('it is ', p_brand, ' I think') WHEN 5 THEN concat('x', p_brand, 'y') WHEN 6 THEN '' WHEN 7 THEN concat(p_size, '.0') ELSE concat('0', p_size) END"
+_GT = "CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN CAST(p_size AS STRING) WHEN 3 THEN concat(p_size, '000') WHEN 4 THEN p_brand WHEN 5 THEN p_brand WHEN 6 THEN p_name WHEN 7 THEN CAST(p_size AS STRING) ELSE concat(p_size, 'x') END"
+
+
+@query(f"""
+WITH v AS (SELECT p_partkey, {_PRED} AS pred, {_GT.replace('STRING', 'VARCHAR')} AS gt FROM part),
+n AS (SELECT p_partkey, trim(regexp_replace(rtrim(trim(replace(pred, '*', ''), '"''` ' || chr(9) || chr(10)), '.'), '\\s+', ' ', 'g')) AS p, trim(gt) AS g FROM v),
+d AS (SELECT *, try_cast(replace(replace(p, ',', ''), '$', '') AS DOUBLE) AS a, try_cast(g AS DOUBLE) AS b FROM n)
+SELECT p_partkey, p AS normal, CASE WHEN p = '' OR g = '' THEN false ELSE p = g OR lower(p) = lower(g) OR coalesce(abs(a - b) / greatest(abs(a), abs(b), 1.0) < 1e-6, false)
+  OR (length(g) <= 10 AND b IS NULL AND regexp_matches(lower(p), '(^|[^a-z0-9])' || regexp_escape(lower(g)) || '($|[^a-z0-9])')) END AS matched FROM d""")
+def answers_match(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PRED).alias("pred"), F.expr(_GT).alias("gt"))
+    return p.select("p_partkey", text.normalize_answer("pred").alias("normal"), verify.answers_match("pred", "gt").alias("matched"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '.0|' || upper(p_brand) || '|' || p_type AS line, true AS same_base FROM part")
+def match_integers(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    line = F.concat_ws("|", F.concat(F.col("p_size").cast("string"), F.lit(".0")), F.upper("p_brand"), "p_type")
+    same = verify.answers_match(F.concat(F.lit("0x"), F.hex("p_partkey")), F.col("p_partkey").cast("string"))
+    return p.select("p_partkey", line.alias("line"), same.alias("same_base"))
+
+
+# ---- events: JSON, metrics, rewards ----------------------------------------------------------------------------
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) = 1 AS one_key FROM events")
+def props_json_extract(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.size(jsonx.coerce_args("props")) == 1).alias("one_key"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k' ELSE 'n' END || '=' || json_extract_string(props, '$.k') AS args FROM events")
+def props_remap_args(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("expected", F.when(F.col("event_id") % 2 == 0, F.array(F.lit("k"), F.lit("m"))).otherwise(F.array(F.lit("n"), F.lit("m"))))
+    got = F.map_entries(jsonx.remap_args(jsonx.coerce_args("props"), "expected"))
+    return e.select("event_id", F.array_join(F.transform(got, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("args"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 6 OR event_id % 3 = 2 THEN NULL ELSE CAST(event_id % 7 AS DOUBLE) END AS correctness,
+  CASE WHEN event_id % 7 = 6 OR event_id % 3 = 2 THEN 0.0 ELSE round((event_id % 7 + 9.0) / 20.0, 6) END::DOUBLE AS quality FROM events""")
+def judge_scores(spark, sf_dir):
+    reply = "concat('<think>hm</think>', CASE WHEN event_id % 3 = 2 THEN 'no json' ELSE concat('Scores: {\"code_correctness\": ', event_id % 7, ', \"code_clarity\": 3, \"schema_quality\": 2.5, \"schema_code_alignment\": 3.5, \"overall_quality\": 4}') END)"
+    e = table(spark, sf_dir, "events").withColumn("scores", jsonx.judge_scores(F.expr(reply)))
+    return e.select("event_id", F.col("scores")["code_correctness"].alias("correctness"), F.round(jsonx.overall_quality("scores"), 6).alias("quality"))
+
+
+def _states(spark, sf_dir):
+    """Rollout states from events: a user is a batch, an event type a category."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("batch_id"), "event_id", F.when(F.col("event_id") % 3 == 0, "build").otherwise("use").alias("task_type"), F.col("event_type").alias("category"), (F.col("event_id") % 6).cast("int").alias("num_turns"),
+        F.col("value").alias("env_reward"), (F.col("event_id") % 5).alias("tool_call_count"), F.least(F.col("event_id") % 5, F.col("event_id") % 3).alias("tool_success_call_count"), (F.col("event_id") % 4 == 0).alias("pool_used"),
+        F.when(F.col("event_id") % 11 == 0, F.element_at(F.array(*[F.lit(g) for g in rewards.GATES]), (F.col("event_id") % 6 + 1).cast("int"))).alias("step1_failure_reason"), (F.col("event_id") % 7 < 3).alias("final_answer_correct"),
+    )
+
+
+_STATES_SQL = """s AS (SELECT user_id AS batch_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'build' ELSE 'use' END AS task_type, event_type AS category, event_id % 6 AS num_turns, value AS env_reward,
+  event_id % 5 AS calls, least(event_id % 5, event_id % 3) AS good, event_id % 4 = 0 AS pool_used, CASE WHEN event_id % 11 = 0 THEN event_id % 6 END AS reason, event_id % 7 < 3 AS correct FROM events)"""
+
+
+@query(f"""WITH {_STATES_SQL}, w AS (SELECT batch_id, avg(num_turns) AS a, min(num_turns)::DOUBLE AS b, max(num_turns)::DOUBLE AS c, avg(env_reward) FILTER (WHERE task_type = 'build') AS d,
+  avg(env_reward) FILTER (WHERE task_type = 'use') AS e, avg(CASE WHEN calls = 0 THEN 0 ELSE good / calls END) FILTER (WHERE task_type = 'build') AS f,
+  avg(correct::INT) FILTER (WHERE task_type = 'use') AS g, count(*) FILTER (WHERE task_type = 'use' AND pool_used) / nullif(count(*) FILTER (WHERE task_type = 'use'), 0) AS h,
+  count(*) FILTER (WHERE task_type = 'build' AND reason IS NOT NULL) / nullif(count(*) FILTER (WHERE task_type = 'build'), 0) AS i, count(*) FILTER (WHERE task_type = 'use' AND reason IS NOT NULL) / nullif(count(*) FILTER (WHERE task_type = 'use'), 0) AS j,
+  avg(calls) FILTER (WHERE task_type = 'build') AS k, avg(good) FILTER (WHERE task_type = 'build') AS l FROM s GROUP BY batch_id),
+x AS (SELECT batch_id, unnest(['num_turns_mean', 'num_turns_min', 'num_turns_max', 'rollout/build/env_reward', 'rollout/use/env_reward', 'rollout/build/tool_success_call_rate', 'rollout/use/final_answer_correct_rate', 'rollout/use/pool_coverage_rate', 'rollout/build/step1_failed_rate', 'rollout/use/step1_failed_rate', 'rollout/build/tool_call_count', 'rollout/build/tool_success_call_count']) AS name, unnest([a, b, c, d, e, f, g, h, i, j, k, l]) AS value FROM w)
+SELECT batch_id, name, round(value, 6) AS value FROM x WHERE value IS NOT NULL""")
+def rollout_metrics(spark, sf_dir):
+    return metrics.batch_metrics(_states(spark, sf_dir)).select("batch_id", "name", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_STATES_SQL}, c AS (SELECT batch_id, task_type, reason, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY batch_id, task_type) AS rate FROM c)
+SELECT batch_id, task_type, ['missing_python_or_schema', 'schema_missing_function_name', 'schema_function_mismatch', 'schema_param_mismatch', 'invalid_tool_schema', 'xgrammar_incompatible_schema'][reason + 1] AS step1_failure_reason, n, round(rate, 6) AS rate FROM r WHERE reason IS NOT NULL""")
+def metric_failure_rates(spark, sf_dir):
+    return metrics.failure_rates(_states(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT 'rollout/by_task/' || replace(event_type, '-', '_') || '/env_reward' AS name, round(avg(value), 6) AS value FROM events GROUP BY event_type")
+def metric_by_task(spark, sf_dir):
+    return metrics.by_category(_states(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_STATES_SQL} SELECT task_type, category, count(*) AS n, round(avg(env_reward), 6) AS mean FROM s GROUP BY ROLLUP (task_type, category)")
+def metric_rollup(spark, sf_dir):
+    return metrics.metric_rollup(_states(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_id, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6), 5) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)")
+def group_advantage(spark, sf_dir):
+    return metrics.group_advantage(table(spark, sf_dir, "events"), "user_id", "value").select("event_id", F.round("advantage", 5).alias("advantage"))
+
+
+@query("""WITH b AS (SELECT event_id, (event_id % 7 < 3)::INT AS correct, event_id % 6 AS turns, (event_id % 9 - 4) * 0.3 AS raw, event_id % 5 = 0 AS none FROM events),
+c AS (SELECT *, least(raw / 1.5, 1.0) AS norm, least(turns / 5.0, 1.0) AS r FROM b), d AS (SELECT *, CASE WHEN r <= 0.5 THEN 1 - 0.6 * r ELSE 0.7 * (1 - 2 * (r - 0.5)) * (1 - 2 * (r - 0.5)) END AS eff FROM c)
+SELECT event_id, round(norm::DOUBLE, 6) AS tool_exec_norm, round(eff::DOUBLE, 6) AS efficiency_multiplier, round((2.0 * correct * eff)::DOUBLE, 6) AS use_correct_reward, (CASE WHEN none THEN -0.5 ELSE 0 END)::DOUBLE AS no_answer_penalty,
+  (CASE WHEN NOT none AND correct = 0 THEN 0.1 ELSE 0 END)::DOUBLE AS final_attempt_reward, round((norm + CASE WHEN none THEN -0.5 ELSE 0 END)::DOUBLE, 6) AS env_reward FROM d""")
+def reward_use_total(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7 < 3).cast("int").alias("correct"), (F.col("event_id") % 6).alias("turns"), ((F.col("event_id") % 9 - 4) * 0.3).alias("tool_exec_raw"), F.when(F.col("event_id") % 5 != 0, F.lit("a")).alias("answer"))
+    got = rewards.use_rewards(e)
+    return got.select("event_id", *[F.round(c, 6).alias(c) for c in ("tool_exec_norm", "efficiency_multiplier", "use_correct_reward")], "no_answer_penalty", "final_attempt_reward", F.round("env_reward", 6).alias("env_reward"))
+
+
+@query("SELECT event_id, round(0.5 * (event_id % 3) / 2.0 + 0.5 * (event_id % 2) + CASE WHEN value > 0 THEN 1 ELSE 0 END - 1, 6)::DOUBLE AS renorm, coalesce(try_cast(CASE WHEN event_id % 4 = 0 THEN 'bad' ELSE CAST(event_id AS VARCHAR) END AS DOUBLE), 0) AS env, (-least(2.0, 0.5 * (event_id % 6)))::DOUBLE AS penalty FROM events")
+def reward_renorm(spark, sf_dir):
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select("event_id", F.round(rewards.renorm((i % 3) / 2.0, (i % 2).cast("double"), "value"), 6).alias("renorm"), rewards.passthrough(F.when(i % 4 == 0, F.lit("bad")).otherwise(i.cast("string"))).alias("env"), rewards.capped_penalty(0.5 * (i % 6)).alias("penalty"))
+
+
+@query("""WITH g AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 11 = 0 THEN 1 WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 3 WHEN event_id % 17 = 0 THEN 4 WHEN event_id % 19 = 0 THEN 5 END AS k, event_id % 2 = 0 AS f FROM events)
+SELECT event_id, ['missing_python_or_schema', 'schema_missing_function_name', 'schema_function_mismatch', 'schema_param_mismatch', 'invalid_tool_schema', 'xgrammar_incompatible_schema'][k + 1] AS reason,
+  CASE WHEN f THEN 0.5 ELSE 0.0 END::DOUBLE AS build_format_reward, CASE WHEN coalesce(k, 6) > 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS schema_fn_reward, CASE WHEN coalesce(k, 6) > 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS schema_param_reward,
+  CASE WHEN k IS NULL THEN 1.0 + CASE WHEN f THEN 0.5 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS env_reward, k IS NOT NULL AS done FROM g""")
+def step1_gate_reason(spark, sf_dir):
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    e = e.select("event_id", rewards.gate_reason(i % 13 != 0, i % 11 != 0, i % 7 != 0, i % 5 != 0, i % 17 != 0, i % 19 != 0).alias("reason"), (i % 2 == 0).alias("f"))
+    return e.withColumn("s", rewards.gate_rewards("reason", "f")).select("event_id", "reason", "s.*")
+
+
+@query("""WITH b AS (SELECT user_id AS build_id, event_id % 3 AS ok_calls, event_id % 2 AS bad_calls, event_id % 4 <> 0 AS has, event_id % 5 < 3 AS matched FROM events)
+SELECT build_id, count(*) FILTER (WHERE ok_calls > 0 AND has AND matched) AS score, count(*) AS items, CAST(sum(ok_calls + bad_calls) AS BIGINT) AS made, CAST(sum(ok_calls) AS BIGINT) AS succeeded, CAST(sum(bad_calls) AS BIGINT) AS failed,
+  count(*) FILTER (WHERE ok_calls + bad_calls > 0) AS tool_called_items, count(*) FILTER (WHERE ok_calls > 0) AS tool_success_items, round(count(*) FILTER (WHERE ok_calls > 0 AND has AND matched) / count(*), 6) AS build_eval_reward FROM b GROUP BY build_id""")
+def build_scores(spark, sf_dir):
+    i = F.col("event_id")
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("build_id"), (i % 3).alias("ok_calls"), (i % 2).alias("bad_calls"), F.when(i % 4 != 0, F.lit("a")).alias("answer"), (i % 5 < 3).alias("matched"))
+    return metrics.build_scores(b).withColumn("build_eval_reward", F.round("build_eval_reward", 6))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from rillflow.streaming.pool_stream import windowed_rewards
+
+    return windowed_rewards(table(spark, sf_dir, "events")).withColumn("mean", F.round("mean", 6))
+
+
+# ---- pool ------------------------------------------------------------------------------------------------------
+def _tools(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("seq"), F.col("p_retailprice").alias("quality"), F.col("p_name").alias("name"))
+
+
+@query("SELECT category, seq, CAST(rn AS INTEGER) AS rn FROM (SELECT p_brand AS category, p_partkey AS seq, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn <= 3")
+def pool_newest_n(spark, sf_dir):
+    return pool.newest(_tools(spark, sf_dir), 3).select("category", "seq", "rn")
+
+
+@query("SELECT p_brand AS category, count(*) AS n FROM part GROUP BY p_brand")
+def pool_counts(spark, sf_dir):
+    return pool.counts(_tools(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE o AS (SELECT p_brand AS category, p_partkey AS seq, p_retailprice AS quality, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+f AS (SELECT category, i, [{'quality': quality, 'seq': seq}] AS pool FROM o WHERE i = 1
+  UNION ALL SELECT f.category, o.i, list_append(CASE WHEN len(f.pool) >= 10 THEN list_sort(f.pool)[2:] ELSE f.pool END, {'quality': o.quality, 'seq': o.seq}) FROM f JOIN o ON o.category = f.category AND o.i = f.i + 1),
+l AS (SELECT category, unnest(arg_max(pool, i)) AS t FROM f GROUP BY category) SELECT category, t.seq AS seq, t.quality AS quality FROM l""")
+def pool_evict(spark, sf_dir):
+    return pool.pool_state(_tools(spark, sf_dir)).select("category", "seq", "quality")
+
+
+@query()
+def pool_distractors(spark, sf_dir):
+    tools = pool.pool_state(_tools(spark, sf_dir))
+    prompts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("prompt_index"), F.concat(F.lit("Brand#"), F.col("o_orderkey") % 60).alias("category"))
+    return pool.distractors(prompts, tools, 2, 7)
+
+
+@query("SELECT p_brand AS task, p_partkey AS attempt, p_retailprice AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
+def proposal_best(spark, sf_dir):
+    return rows.best_proposal(table(spark, sf_dir, "part").select(F.col("p_brand").alias("task"), F.col("p_partkey").alias("attempt"), F.col("p_retailprice").alias("accuracy")), "task")
+
+
+@query("SELECT o_orderkey AS prompt_index, o_custkey AS category, 'covered' AS route FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) UNION ALL SELECT o_orderkey, o_custkey, 'build' FROM orders WHERE NOT (o_orderpriority LIKE '1%' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000))")
+def pool_routes(spark, sf_dir):
+    prompts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("prompt_index"), F.col("o_custkey").alias("category"), F.when(F.col("o_orderpriority").startswith("1"), F.lit("USE")).otherwise("build").alias("task_type"))
+    have = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("category"))
+    yes, no = rows.route(prompts, have)
+    return yes.select("prompt_index", "category", F.lit("covered").alias("route")).unionByName(no.select("prompt_index", "category", F.lit("build").alias("route")))
+
+
+@query("SELECT c_custkey, round(coalesce(s, 0), 2) AS score FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON c_custkey = o_custkey")
+def judge_left_join(spark, sf_dir):
+    scores = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("score"))
+    return rows.with_scores(table(spark, sf_dir, "customer").select("c_custkey"), scores, "c_custkey").select("c_custkey", F.round("score", 2).alias("score"))
+
+
+# ---- dates and numbers -----------------------------------------------------------------------------------------
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%A') AS weekday, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1 AS days_inclusive,
+  (o_orderdate::DATE + (o_orderkey % 200)::INT)::DATE AS later, (o_orderdate::DATE - (o_orderkey % 200)::INT)::DATE AS earlier, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap FROM orders""")
+def calendar(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
+    end, k = F.lit("2000-01-01").cast("date"), (F.col("o_orderkey") % 200).cast("int")
+    return o.select("o_orderkey", numbers.day_of_week("d").alias("weekday"), numbers.days_between("d", end).cast("long").alias("days"), numbers.days_between("d", end, True).cast("long").alias("days_inclusive"), numbers.add_days("d", k).alias("later"), numbers.subtract_days("d", k).alias("earlier"), numbers.is_leap_year(F.year("d")).alias("leap"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS matched FROM orders")
+def calendar_match(spark, sf_dir):
+    day = F.date_format("o_orderdate", "EEEE")
+    said = F.when(F.col("o_orderkey") % 4 == 0, day).when(F.col("o_orderkey") % 4 == 1, F.upper(day)).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("about "), F.col("o_orderkey"), F.lit(" days"))).otherwise(F.lit("none"))
+    truth = F.when(F.col("o_orderkey") % 4 == 2, F.col("o_orderkey").cast("string")).otherwise(day)
+    return table(spark, sf_dir, "orders").select("o_orderkey", verify.calendar_match(said, truth).alias("matched"))
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey, gcd(l_partkey, l_suppkey) AS g, lcm(l_partkey, l_suppkey) AS l, CAST(bit_count(l_partkey) AS INTEGER) AS bits FROM lineitem")
+def gcd_lcm_bits(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return pairs.select("l_partkey", "l_suppkey", numbers.gcd("l_partkey", "l_suppkey").alias("g"), numbers.lcm("l_partkey", "l_suppkey").alias("l"), numbers.count_bits("l_partkey").alias("bits"))
+
+
+@query("SELECT p_partkey, lower(to_base(p_partkey, 16)) AS hex, to_base(p_partkey, 2) AS bin, lower(to_base(p_partkey, 7)) AS seven, translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'DEFGHIJKLMNOPQRSTUVWXYZABCdefghijklmnopqrstuvwxyzabc') AS caesar, reverse(p_name) AS backward FROM part")
+def base_caesar_backward(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.convert_base(k, 10, 16).alias("hex"), numbers.convert_base(k, 10, 2).alias("bin"), numbers.convert_base(k, 10, 7).alias("seven"), numbers.caesar("p_name", 3).alias("caesar"), numbers.spell_backward("p_name").alias("backward"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT p_partkey AS n, p_partkey AS rest, 2::BIGINT AS d, []::BIGINT[] AS fs FROM part WHERE p_partkey >= 2
+  UNION ALL SELECT n, CASE WHEN rest % d = 0 THEN rest // d ELSE rest END, CASE WHEN rest % d = 0 THEN d ELSE d + 1 END, CASE WHEN rest % d = 0 THEN list_append(fs, d) ELSE fs END FROM f WHERE d * d <= rest)
+SELECT n AS p_partkey, array_to_string(CASE WHEN arg_min(rest, rest * 1000000 - len(fs)) > 1 THEN list_append(arg_max(fs, len(fs)), min(rest)) ELSE arg_max(fs, len(fs)) END, ' × ') AS factors FROM f GROUP BY n""")
+def prime_factors(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey").distinct().where("p_partkey >= 2")
+    return p.select("p_partkey", F.array_join(numbers.prime_factors("p_partkey"), " × ").alias("factors"))
+
+
+@query("SELECT p_partkey, [instr(p_name, x) for x in string_split(p_name, '')] = [instr(reverse(p_name), x) for x in string_split(reverse(p_name), '')] AS isomorphic, true AS shifted FROM part")
+def isomorphic(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.isomorphic("p_name", F.reverse("p_name")).alias("isomorphic"), numbers.isomorphic("p_name", numbers.caesar("p_name", 5)).alias("shifted"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_size % 6 + 1 AS disks FROM part), m AS (SELECT disks, unnest(range(1, (1 << disks)::BIGINT)) AS m FROM n),
+r AS (SELECT disks, m, (m & (m - 1)) % 3 AS a, ((m | (m - 1)) + 1) % 3 AS b, CASE WHEN disks % 2 = 1 THEN ['A', 'B', 'C'] ELSE ['A', 'C', 'B'] END AS rods FROM m)
+SELECT CAST(disks AS INTEGER) AS disks, string_agg(rods[a + 1] || rods[b + 1], ' ' ORDER BY m) AS moves, true AS valid FROM r GROUP BY disks""")
+def hanoi(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select((F.col("p_size") % 6 + 1).cast("int").alias("disks")).distinct().withColumn("m", numbers.hanoi_moves("disks"))
+    return d.select("disks", F.array_join(F.transform("m", lambda x: F.concat(x["from"], x["to"])), " ").alias("moves"), verify.hanoi_valid("m", "disks").alias("valid"))
+
+
+# ---- code, schemas, tools, tasks, whole rollouts ---------------------------------------------------------------
+@query()
+def ast_facts(spark, sf_dir):
+    code = F.concat(F.lit("def f"), "p_partkey", F.lit("(a, b):\n    return a"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" +")).otherwise(F.lit("")), F.lit("\n"))
+    p = table(spark, sf_dir, "part").select("p_partkey", pycode.py_facts(code).alias("facts"))
+    return p.select("p_partkey", F.col("facts")["ok"].alias("ok"), F.array_join(pycode.function_names("facts"), ",").alias("names"), F.array_join(pycode.first_params("facts"), ",").alias("params"))
+
+
+@query()
+def schema_checks(spark, sf_dir):
+    props = F.when(F.col("p_partkey") % 2 == 0, F.lit('{"type": "array", "items": [{"type": "string"}]}')).otherwise(F.lit('{"type": "array", "minItems": 1}'))
+    schema = F.concat(F.lit('[{"type": "function", "function": {"name": "'), "p_brand", F.lit('", "parameters": {"type": "object", "properties": {"a": '), props, F.lit('}, "required": ["a"]}}}]'))
+    p = table(spark, sf_dir, "part").select("p_partkey", schema.alias("schema")).withColumn("tools", jsonx.tool_definitions("schema")).withColumn("c", jsonx.schema_compat(F.try_element_at("tools", F.lit(1))["parameters"]))
+    return p.select("p_partkey", jsonx.tool_schema_check("schema")["ok"].alias("valid"), F.array_join(jsonx.param_names("tools"), ",").alias("params"), F.size(F.col("c")["errors"]).alias("errors"), F.size(F.col("c")["warnings"]).alias("warnings"))
+
+
+@query()
+def tool_execution(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit("def twice(x):\n    return 2 * x").alias("code"), F.lit("twice").alias("function"), F.concat(F.lit('{"x": '), "n_nationkey", F.lit("}")).alias("args"), F.lit(10).alias("timeout"))
+    return execute.execute_jobs(n).select("id", "status", "tool_result", "reward_delta")
+
+
+def _task_query(task: str):
+    def run(spark, sf_dir):
+        return task_source.dataset(spark, task)
+
+    return run
+
+
+for _task in task_source.BANDS:
+    QUERIES[f"task_{_task}"] = _task_query(_task)
+
+
+@query()
+def task_verified(spark, sf_dir):
+    """Share of generated rows that their verifier confirms, by task."""
+    parts = [task_source.generate(spark, t).groupBy("task").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified")) for t in ("gcd", "lcm", "cryptarithm", "tower_of_hanoi", "countdown")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query()
+def rollout_batch(spark, sf_dir):
+    """A batch of use prompts answered by replay: one tool call, then an answer; rewards per row."""
+    from rillflow.sources.replay import batch_folder
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    meta = F.to_json(F.struct(F.concat(F.lit("double-train-"), "k").alias("id"), F.lit("use").alias("task_type"), F.concat(F.lit("Twice "), "k").alias("target_question"), (2 * F.col("k")).cast("string").alias("target_answer")))
+    prompts = n.select(F.lit("b0").alias("batch_id"), F.col("k").alias("prompt_index"), F.concat(F.lit("Go <tool_rl_metadata>"), meta, F.lit("</tool_rl_metadata>")).alias("prompt"))
+    schema = json.dumps([{"type": "function", "function": {"name": "twice", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}}, "required": ["x"]}}}])
+    tools = spark.range(1).select(F.lit("double").alias("category"), F.lit(1).cast("long").alias("seq"), F.lit("def twice(x):\n    return 2 * x").alias("code"), jsonx.tool_definitions(F.lit(schema)).alias("tools"))
+    first = F.concat(F.lit('<tool_call>{"name": "twice", "arguments": {"x": '), "k", F.lit("}}</tool_call>"))
+    asked = F.concat(F.lit("Twice "), "k")
+    told = F.concat(asked, F.lit("\n"), first, F.lit("\n\nTool result: "), 2 * F.col("k"))
+    replies = n.select(asked.alias("prompt"), F.lit(0).alias("turn"), first.alias("reply")).unionByName(n.select(told.alias("prompt"), F.lit(1).alias("turn"), F.concat(F.lit("\\boxed{"), F.when(F.col("k") % 5 == 0, F.lit(-1)).otherwise(2 * F.col("k")), F.lit("}")).alias("reply")))
+    use, _ = rollout.rollout(prompts, tools, execute.ReplayClient(replies), batch_folder(spark))
+    return use.select("batch_id", "prompt_index", "category", "answer", "target_answer", "correct", "turns", F.round("tool_exec_norm", 6).alias("tool_exec_norm"), F.round("env_reward", 6).alias("env_reward"), F.round("use_correct_reward", 6).alias("use_correct_reward"))
+
+
+@query()
+def tool_making(spark, sf_dir):
+    """Two proposals for each of two tasks, scored on test questions; the better one of each."""
+    tests = spark.createDataFrame([("twice", str(i), str(2 * i)) for i in range(5)] + [("square", str(i), str(i * i)) for i in range(5)], "task string, question string, answer string")
+    code = "def f(question):\n    return {0}"
+    proposals = spark.createDataFrame([(t, a, code.format(e), "f") for t, a, e in (("twice", 0, "int(question) + 2"), ("twice", 1, "2 * int(question)"), ("square", 0, "int(question) ** 2"), ("square", 1, "int(question) * int(question)"))], "task string, attempt int, code string, function string")
+    return evaluate.tool_making(proposals, tests).select("task", "attempt", "hit", "total", F.round("accuracy", 6).alias("accuracy"))
