@@ -31,7 +31,7 @@ def fingerprints(df: DataFrame, keys: list[str], hashes: str, halves: int = 1) -
     """
     rows = df.select(*keys, F.posexplode_outer(hashes).alias("at", "h0"))
     for i in range(1, halves):
-        rows = rows.withColumn(f"h{i}", F.xxhash64(f"h{i - 1}"))
+        rows = rows.withColumn(f"h{i}", F.when(F.col("h0").isNotNull(), F.xxhash64(f"h{i - 1}")))  # the hash of null is a number
     sums = [F.sum(F.expr(f"shiftrightunsigned(h{i}, {j}) & {PAIR}L")).alias(f"s{i}_{j}") for i in range(halves) for j in range(32)]
     got = rows.groupBy(*keys).agg(F.count("h0").alias("_n"), F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).cast("int").alias("_copies"), *sums)
     out = []
