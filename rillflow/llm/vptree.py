@@ -87,7 +87,7 @@ def _pack(v: np.ndarray) -> bytes:
     return np.ascontiguousarray(v, np.float64).tobytes()
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 4.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 2.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score) of each query's k nearest found; score is the inner product in double precision."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     fine = "v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
