@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POOL_CAP = 10
 
 
-def _step(cap: int):
-    def step(acc, tool):
-        worst = F.array_min(F.transform(acc, lambda t: F.struct(t["quality"].alias("quality"), t["seq"].alias("seq"))))["seq"]
-        room = F.when(F.size(acc) >= cap, F.filter(acc, lambda t: t["seq"] != worst)).otherwise(acc)
-        return F.array_append(room, tool)
-
-    return step
-
-
 def pool_state(events: DataFrame, cap: int = POOL_CAP, category: str = "category") -> DataFrame:
     """(category, seq, quality, ...) after all additions in order of seq (unique per category).
 
-    The state is a fold, not a window: what an addition evicts depends on those before. A category's additions are first
-    cut down exactly: a tool that is not among the cap newest survives only while better tools do not crowd it out, so
-    the fold runs over one sorted array per category, in built-in expressions.
+    The state is a fold, not a window: what an addition evicts depends on those before. Additions stream through in
+    order, and a task holds at most `cap` tools at a time, however many a category has.
     """
     cap = max(1, cap)
-    rest = [c for c in events.columns if c != category]
-    shape = F.struct("seq", "quality", *[c for c in rest if c not in ("seq", "quality")])
-    per = events.groupBy(category).agg(F.array_sort(F.collect_list(shape)).alias("adds"))
-    empty = F.slice("adds", 1, 0)
-    kept = F.aggregate("adds", empty, _step(cap))
-    return per.select(category, F.explode(kept).alias("t")).select(category, "t.*")
+    columns = [category, "seq", "quality", *[c for c in events.columns if c not in (category, "seq", "quality")]]
+
+    def fold(batches):
+        own, held = None, []
+        for pdf in batches:
+            done = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[0] != own:
+                    done += held
+                    own, held = row[0], []
+                if len(held) >= cap:
+                    held.remove(min(held, key=lambda t: (t[2], t[1])))
+                held.append(row)
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame(held, columns=columns)
+
+    rows = events.select(*columns)
+    return rows.repartition(category).sortWithinPartitions(category, "seq").mapInPandas(fold, rows.schema)
 
 
 def newest(pool: DataFrame, n: int, category: str = "category") -> DataFrame:
