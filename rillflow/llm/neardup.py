@@ -3,6 +3,12 @@
 Fingerprints within radius r of each other have a point in common that lies within r/2 of both. So every distinct
 fingerprint emits all variants within half the radius, variants are shuffled, and those that meet on one are linked.
 
+The whole ball of 64 bits and radius 4 has 2081 variants a fingerprint, more than the disk budget holds. So the ball is
+taken within halves: of two fingerprints within 4, one 32-bit half differs in at most 2 bits, and every fingerprint emits
+the 33 variants within 1 of each half. Two that meet alone on a variant are a pair, verified on all bits. Fingerprints
+that meet in a crowd of three or more (as in groups of near copies) emit the whole ball as well, where meeting is proof
+enough and one link to the smallest does for a group; so no crowd is emitted as pairs, and no link is lost.
+
 Defined results: a null text is an empty one; an empty text has fingerprint zero and is linked like any other; equal
 rows are each returned and linked; a null doc_id is returned and never names a component unless it is alone in it;
 an empty table gives an empty result; other columns are not used.
@@ -30,25 +36,33 @@ def shingle_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id",
     return got.select("key", F.col("fp0").alias("fp"))
 
 
-def _flips(bits: int, reach: int) -> list[int]:
+def _flips(bits: int, reach: int, shift: int = 0) -> list[int]:
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    return [signed(sum(1 << i for i in c)) for r in range(reach + 1) for c in combinations(range(bits), r)]
+    return [signed(sum(1 << (i + shift) for i in c)) for r in range(reach + 1) for c in combinations(range(bits), r)]
+
+
+def whole_ball_links(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b) from variants of all 64 bits. With an even radius two that meet are within it by the triangle inequality, and
+    each variant's members are linked to the smallest; with an odd one the variants reach half of radius + 1, and the links
+    to the smallest hold only what is verified, so it must be even."""
+    if radius % 2:
+        raise ValueError("the radius must be even")
+    balls = prints.select("x", F.explode(F.array(*[F.lit(m).cast("long") for m in _flips(64, radius // 2)])).alias("m")).select("x", F.col("x").bitwiseXOR(F.col("m")).alias("v"))
+    met = balls.withColumn("least", F.min("x").over(Window.partitionBy("v")))
+    return met.where("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct()
 
 
 def ball_links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within radius. prints: distinct 64-bit numbers x.
-
-    With an even radius, two that meet on a variant are within the radius by the triangle inequality; with an odd one the
-    variants reach half of radius + 1, so each meeting pair is verified. A variant's members are linked to its smallest.
-    """
-    reach = -(-radius // 2)
-    balls = prints.select("x", F.explode(F.array(*[F.lit(m).cast("long") for m in _flips(64, reach)])).alias("m")).select("x", F.col("x").bitwiseXOR(F.col("m")).alias("v"))
-    if 2 * reach == radius:
-        met = balls.withColumn("least", F.min("x").over(Window.partitionBy("v")))
-        return met.where("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct()
-    met = balls.alias("l").join(balls.alias("r"), (F.col("l.v") == F.col("r.v")) & (F.col("l.x") < F.col("r.x")))
-    met = met.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    """(a, b): links whose components are those of all pairs within radius. prints: distinct 64-bit numbers x."""
+    reach = -(-(radius // 2) // 2)
+    halves = [F.struct(F.lit(k).alias("half"), F.col("x").bitwiseXOR(F.lit(m).cast("long")).bitwiseAND(F.lit(mask)).alias("v")) for k, mask, shift in ((0, (1 << 32) - 1, 0), (1, -(1 << 32), 32)) for m in _flips(32, reach, shift)]
+    on = Window.partitionBy("half", "v")
+    met = prints.select("x", F.explode(F.array(*halves)).alias("h")).select("x", "h.half", "h.v").withColumn("n", F.count("*").over(on))
+    met = materialize(met.where("n > 1"), "neardup-met")
+    pairs = met.where("n = 2").groupBy("half", "v").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("a", "b")
+    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+    crowd = met.where("n > 2").select("x").distinct()
+    return pairs.unionByName(whole_ball_links(crowd, radius))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
