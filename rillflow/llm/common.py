@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of a table, dealt out over all cores before Python work where its files make fewer partitions than that (small
+    tables of one row group); large tables are read as they lie. Only for plain scans: their plan runs no job."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +59,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this application's operators wrote; call it when their results are no longer needed."""
     paths = _OWN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if "/lines-distinct-" in path:
+            spark.sql(f"DROP TABLE IF EXISTS rillflow_{path.rpartition('-')[2]}")
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)

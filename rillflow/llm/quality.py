@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import table
+from rillflow.llm.common import spread, table
 from rillflow.llm.labelled import fold, labelled_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -130,5 +130,5 @@ def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    scored = score(spread(table(spark, sf_dir, "documents")), quality_model(spark, sf_dir))
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

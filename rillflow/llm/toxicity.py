@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import materialize, table
+from rillflow.llm.common import materialize, spread, table
 from rillflow.llm.labelled import fold, labelled_sample
 
 #: Labelled rows that are indexed, at most.
@@ -171,4 +171,4 @@ def score(df: DataFrame, index: BlockMaxIndex, text: str = "text", key: str = "d
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, LABELLED))
-    return score(docs, index).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(spread(docs), index).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
