@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import materialize, table
@@ -153,14 +153,16 @@ def write_records(df: DataFrame, key: str = "page_id", url: str = "url", payload
     total = df.count()
     archives = max(1, -(-total // RECORDS))
     rows = rows.withColumn("archive", F.pmod(F.xxhash64("key"), F.lit(archives)).cast("long"))
-    # Of rows that share id and payload only the first is the response.
-    nth = F.row_number().over(Window.partitionBy("archive", "key", "digest").orderBy(F.lit(0)))
-    rows = rows.withColumn("refers_to", F.when(F.col("first").isNotNull() & ((F.col("first") != F.col("key")) | (nth > 1)), F.col("first")))
-    rows = rows.select("archive", "key", "url", "size", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
+    rows = rows.select("archive", "key", "url", "size", "digest", "first", F.when(F.col("first").isNull() | (F.col("first") == F.col("key")), F.col("payload")).alias("payload"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "digest"], kind="stable")
-        made = [record_bytes(r.key, r.url, bytes(r.payload) if r.refers_to is None else None, r.size, base64.b32encode(bytes.fromhex(r.digest)).decode(), r.refers_to) for r in pdf.itertuples()]
+        # Rows that share id and payload lie in one archive; only the first of them is the response.
+        again = pdf.duplicated(["key", "digest"])
+        made = []
+        for r, repeated in zip(pdf.itertuples(), again, strict=True):
+            to = r.first if r.first is not None and (r.first != r.key or repeated) else None
+            made.append(record_bytes(r.key, r.url, bytes(r.payload) if to is None else None, r.size, base64.b32encode(bytes.fromhex(r.digest)).decode(), to))
         return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "content": [write_archive(made)]})
 
     return materialize(rows.groupBy("archive").applyInPandas(build, "archive long, content binary"), "warc")
