@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rillflow.llm import linededup, neardup, simhash
 from rillflow.llm.components import connected_components
@@ -94,6 +95,36 @@ def test_line_dedup_equals_brute_force(spark, corpus):
             assert clean[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in found.get(d, []))
 
 
+def test_lines_at_the_bound_are_found(spark):
+    """Pairs at Jaccard 0.8: every one among short lines, as independent permutations find them among longer ones."""
+    r = np.random.default_rng(9)
+    share = {}
+    for n, edits, pairs in ((10, 1, 400), (18, 2, 400), (40, 4, 400)):
+        texts = []
+        for _ in range(pairs):
+            own = "".join(r.choice(list("abcdefghijklmnop"), n + linededup.WIDTH - 2 + edits - 1))
+            texts += [own, own[:-edits] + "z" * edits]
+        ids = docs(spark, texts)
+        sets = [{x[i : i + linededup.WIDTH] for i in range(len(x) - linededup.WIDTH + 1)} for x in texts]
+        assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+        gone = {x["key"] for x in linededup.dropped_lines(linededup.line_classes(ids)).where("size(dropped) > 0").collect()}
+        assert all(d % 2 for d in gone)
+        share[n] = len(gone) / pairs
+    assert share[10] == share[18] == 1 and share[40] >= 0.99, share
+
+
+def test_tiny_lines_and_low_bounds_are_met_exactly(spark):
+    r = np.random.default_rng(10)
+    texts = sorted({"".join(r.choice(list("ab"), r.integers(1, 4))) * int(r.integers(1, 9)) for _ in range(120)} | {"a" * k for k in range(8, 26)})
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in texts]
+    lines = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "lid binary, line string")
+    for similarity in (0.5, 0.8):
+        near = {(i, j) for j in range(len(texts)) for i in range(j) if max(map(len, (texts[i], texts[j]))) <= linededup.SHORT + 7 and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9}
+        keys = linededup.short_keys(lines, similarity)
+        met = keys.alias("x").join(keys.alias("y"), "bucket").select("x.lid", F.col("y.lid").alias("other")).distinct().collect()
+        assert near and near <= {(a[0], b[0]) for a, b in met}
+
+
 def fingerprint(text, width=4):
     t = (text or "").translate({i: i + 32 for i in range(65, 91)})
     w = WORD.findall(t)
