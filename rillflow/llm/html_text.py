@@ -6,7 +6,8 @@ role, and the shape of its text. The field has two states (main, other), weights
 transition; it is trained by gradient ascent of the likelihood on labelled pages (html_train) and decoded by Viterbi.
 
 Defined results: a null or empty page, or one without main text, gives the empty string; repeated pages are each
-extracted, alike; whole pages are read whatever their length; other columns are not used. White space in a block
+extracted, alike; whole pages are read whatever their length; other columns are not used. A head without an end tag ends where the body or
+anything that cannot stand in a head begins. White space in a block
 (including <br>) becomes one space, character references are decoded, blocks are joined by one line feed in page order.
 """
 
@@ -27,7 +28,9 @@ from rillflow.llm.common import table
 #: Fixed values of HTML: elements that stand as blocks, that have no end tag, and whose text is not shown.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul button label select option textarea video audio iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style template noscript svg math head title iframe object canvas".split())
+HIDDEN = frozenset("script style template noscript svg head title iframe object canvas".split())
+#: What may stand in a head; any other element, and any text of its own, ends a head that is still open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An open element of the first kind is closed by the start of one of the second, as the HTML standard has it.
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -55,7 +58,20 @@ class _Leaves(HTMLParser):
     def _pop_to(self, at: int) -> None:
         del self.stack[at:]
 
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.flush()
+            self.stack.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "head" and any(t != "html" for t, _ in self.stack):
+            return  # only the first head of a page is one
+        if tag == "body":
+            at = next((i for i, (t, _) in enumerate(self.stack) if t == "head"), None)
+            if at is not None:
+                self._pop_to(at)
+        elif tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCKS:
             self.flush()
             for i in range(len(self.stack) - 1, -1, -1):
@@ -87,6 +103,8 @@ class _Leaves(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if any(t in HIDDEN for t, _ in self.stack):
             return
         self.parts.append(data)

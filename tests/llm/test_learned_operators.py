@@ -111,6 +111,17 @@ def test_html_fixture():
     assert html_text.main_text("", field) == "" and html_text.main_text("<nav><a href=/>x</a></nav>", field) == ""
 
 
+def test_html_open_head_and_formulas():
+    field = html_text.default_field()
+    article = "<article><h1>A heading</h1><p>The first paragraph, long enough to be read.</p><p>The second one, with more words in it.</p></article>"
+    want = "A heading\nThe first paragraph, long enough to be read.\nThe second one, with more words in it."
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<html><head><title>T</title><script>var a = 1;</script>\n<noscript><p>Switch it on.</p></noscript><body class=x>", "<head><title>T</title></head><body><head>"):
+        assert html_text.main_text(start + article, field) == want, start
+    assert [t for _, t, _ in html_text.leaves("<head><title>T</title>Bare text.<p>More.")] == ["Bare text.", "More."]
+    formula = "<head></head><body><article><p>The sum is <math><mi>a</mi><mo>+</mo><mn>17</mn></math> in all of the cases.</p></article></body>"
+    assert html_text.main_text(formula, field) == "The sum is a+17 in all of the cases."
+
+
 def test_html_held_out_accuracy():
     field, right, total = html_text.default_field(), 0, 0
     for page in html_train.pages(80, seed=99):
