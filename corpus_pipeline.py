@@ -6,7 +6,7 @@ the last returns the packed pieces. Results of stages are written to the shared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm import linededup, mixing, neardup, packing, quality
@@ -24,18 +24,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def identity(*columns: str) -> Column:
+    """128 bits of the columns' values; nulls, which a hash leaves out, are told by flags."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*values).alias("h0"), F.xxhash64(F.lit(1), *values).alias("h1"))
+
+
+def one_of_each(rows: DataFrame, order: Column) -> DataFrame:
+    """One row of each _row, the first in order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(order))).where("_n = 1")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of repeated rows of it, one."""
-    stays = neardup.near_duplicates(docs).where(F.col("component").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"])).drop("_id")
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").select(*docs.columns)
+    """The document with the smallest id of each group stays, null ids last and by text hash within an id; of repeated rows
+    of it, one. Documents are told apart by id and text, so unlike texts with one id, or none, are each a document."""
+    row = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0)).alias("id"), identity("text").alias("text"))
+    rows = docs.withColumn("_row", row)
+    stays = neardup.near_duplicates(rows, key="_row").where("component = _row").select("_row").distinct()
+    return one_of_each(rows.join(stays, "_row"), F.xxhash64(*docs.columns)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    drawn = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    rows = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]))
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    """Every document as many times as the mix takes it. Equal rows are drawn each; one of them then stands for all."""
+    rows = docs.withColumn("_row", identity(*docs.columns))
+    drawn = mixing.mix(rows, key="_row").groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = one_of_each(rows.join(drawn, "_row"), F.col("_row"))
+    return taken.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

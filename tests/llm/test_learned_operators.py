@@ -248,3 +248,19 @@ def test_pipeline(spark, tmp_path):
     assert seen[1] == seen[0] and not seen[2] & {1002, 1003} and seen[3] <= seen[2]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
+
+
+def test_stages_tell_documents_apart_without_ids(spark):
+    r = np.random.default_rng(11)
+    text = lambda: " ".join("".join(r.choice(list("abcdefgh"), 6)) for _ in range(60))
+    alone = [text() for _ in range(5)]
+    rows = [(None, t, "en", "a", 1) for t in alone] + [(None, alone[0], "en", "a", 1)] * 2
+    one, two, copied = text(), text(), text()
+    rows += [(7, one, "en", "a", 1), (7, two, "en", "b", 1), (8, copied, "en", None, 1), (7, copied, None, "a", 1), (None, copied, "en", "a", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, df, "").collect()), key=repr)
+    assert kept == sorted([(None, t) for t in alone] + [(7, one), (7, two), (7, copied)], key=repr)
+    taken = mixing.mix(df).agg(F.sum("copies")).first()[0]
+    mixed = corpus_pipeline.mix_sources(spark, df, "").groupBy(*df.columns).count().collect()
+    assert abs(sum(x["count"] for x in mixed) - taken) <= 3  # a document more or less in each source, by other random numbers
+    assert all(x["count"] <= 2 * rows.count(tuple(x)[:-1]) for x in mixed)
