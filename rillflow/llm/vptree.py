@@ -92,12 +92,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 2.0, ke
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     fine = "v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
     rows = materialize(rows.where(fine).withColumn("norm2", F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).withColumn("dim", F.size("v")), "vp-rows")
-    facts = {r["dim"]: (r["n"], r["most"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("most")).orderBy(F.desc("n")).limit(64).collect()}
-    shards = {d: max(1, -(-n // SHARD)) for d, (n, _) in facts.items()}
-    most = {d: m for d, (_, m) in facts.items()}
-    spark = df.sparkSession
-    plan = spark.createDataFrame([(d, shards[d]) for d in facts], "dim int, shards int")
-    rows = rows.join(F.broadcast(plan), "dim")  # at most 64 rows
+    # One row for each length there is; where they are many, this is a join like any other.
+    plan = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.max("norm2").alias("most"))
+    rows = rows.join(materialize(plan, "vp-lengths"), "dim")
     points = rows.select("dim", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"), "id", "v")
 
     def build(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,14 +111,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 2.0, ke
         return pd.DataFrame({"dim": [dim], "shard": [int(group[1])], "points": [_pack(plain)], "ids": [ids[by].tobytes()], "at": [back[by].astype(np.int64).tobytes()]})
 
     trees = points.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, points binary, ids binary, at binary")
-    queries = rows.where("q").groupBy("dim", "shards", "id").agg(F.max("v").alias("v"))
+    queries = rows.where("q").groupBy("dim", "shards", "most", "id").agg(F.max("v").alias("v"))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
 
     def bind(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [int(group[0])], "shards": [int(group[1])], "qids": [pdf["id"].to_numpy().tobytes()], "q": [_pack(np.stack(pdf["v"].to_numpy()))]})
+        return pd.DataFrame({"dim": [int(group[0])], "shards": [int(group[1])], "most": [float(group[2])], "qids": [pdf["id"].to_numpy().tobytes()], "q": [_pack(np.stack(pdf["v"].to_numpy()))]})
 
-    blocks = blocks.groupBy("dim", "shards", "block").applyInPandas(bind, "dim int, shards int, qids binary, q binary")
-    blocks = blocks.select("dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), "qids", "q")
+    blocks = blocks.groupBy("dim", "shards", "most", "block").applyInPandas(bind, "dim int, shards int, most double, qids binary, q binary")
+    blocks = blocks.select("dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), "most", "qids", "q")
 
     def look(batches):
         held: tuple = (None, None)
@@ -130,7 +127,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 2.0, ke
                 plain = np.frombuffer(r.points, np.float64).reshape(-1, r.dim)
                 if held[0] != (r.dim, r.shard):
                     norm2 = (plain * plain).sum(1)
-                    held = ((r.dim, r.shard), VantageTree(np.hstack([plain, np.sqrt(np.maximum(most[r.dim] - norm2, 0))[:, None]])))
+                    held = ((r.dim, r.shard), VantageTree(np.hstack([plain, np.sqrt(np.maximum(r.most - norm2, 0))[:, None]])))
                 ids, at = np.frombuffer(r.ids, np.int64), np.frombuffer(r.at, np.int64)
                 qids, q = np.frombuffer(r.qids, np.int64), np.frombuffer(r.q, np.float64).reshape(-1, r.dim)
                 found, _ = held[1].search(np.hstack([q, np.zeros((len(q), 1))]), min(k + SPARE, len(plain)), relax)

@@ -104,6 +104,12 @@ def test_neighbours_and_recall(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    rows = [(i, [float(x + 1) for x in range(1 + i // 2)]) for i in range(140)]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True)).collect()
+    assert {(x["query_id"], x["vec_id"]) for x in got} == {(i, i ^ 1) for i in range(140)}
+
+
 def test_html_fixture():
     field = html_text.default_field()
     page = "<html><head><title>T</title><script>var a='<p>x</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='cookie-notice'><p>We use cookies on this site.</p></div><article><h1>A &amp; B</h1><p>First  paragraph\n of <b>text</b>&nbsp;here, long enough.<p>Second one, it is unclosed.<br><ul><li>One item here.</li></ul></article><aside><p>Other stories</p></aside><section id=comments><p>Nice article, thanks.</p></section><form><label>Mail</label><button>Send</button></form><footer>&copy; Site</footer></body>"
