@@ -7,8 +7,8 @@ Document fingerprints (op4): terms are pairs of neighbouring words, weighted by
 `neighbours` finds all fingerprints within a Hamming radius by permuted block tables.
 
 Defined results: a null text is an empty one, whose fingerprint is all zero; a text of one word has that word as its
-only term; equal texts have equal fingerprints; repeated rows are each returned (for op4, rows equal in id and text
-once); a null id comes last in descending order; an empty table gives an empty result; other columns are not used.
+only term; equal texts have equal fingerprints; repeated rows are each returned (for op4, the row after those equal
+in id and text is that of the next id or text, and they are all alike); a null id comes last in descending order; an empty table gives an empty result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def neighbours(prints: DataFrame, fp: str = "fp", radius: int = 3, blocks: int =
 
 
 def next_in_order(ids: DataFrame, group: int = 4096) -> DataFrame:
-    """ids: distinct (id0, h, n). Adds next_id, next_h: the row after, in descending order; after the last, the first.
+    """ids: distinct (id0, h), other columns stay. Adds next_id, next_h: the row after, in descending order; after the last, the first.
 
     Ids are cut into ranges at quantiles, so a task orders the ids of its range only; a range's last row takes its
     neighbour from a table of one row per range.
@@ -114,36 +114,38 @@ def next_in_order(ids: DataFrame, group: int = 4096) -> DataFrame:
     firsts = firsts.withColumn("after", F.lead("top").over(every)).withColumn("after", F.coalesce("after", F.first("top").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     ids = ids.withColumn("nx", F.lead(F.struct("id0", "h")).over(within))
     last = ids.where("nx IS NULL").drop("nx").join(firsts.select("g", F.col("after").alias("nx")), "g")
-    return ids.where("nx IS NOT NULL").unionByName(last).select("id0", "h", "n", F.col("nx.id0").alias("next_id"), F.col("nx.h").alias("next_h"))
+    return ids.where("nx IS NOT NULL").unionByName(last).drop("g").select("*", F.col("nx.id0").alias("next_id"), F.col("nx.h").alias("next_h")).drop("nx")
 
 
 def edited_texts(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(id0, h, n, next_id, next_h, text, edited) per document; id0 is the id with null as the smallest number."""
+    """(id0, h, n, rows, next_id, next_h, text, edited) per distinct id and text, which `rows` documents have; id0 is the id
+    with null as the smallest number."""
     null_id = F.lit(-(1 << 63)).cast("long")
     docs = df.select(F.coalesce(F.col(key).cast("long"), null_id).alias("id0"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    ids = materialize(docs.select("id0", "h", F.length("text").cast("long").alias("n")).distinct(), "edit-ids")
+    ids = materialize(docs.groupBy("id0", "h", F.length("text").cast("long").alias("n")).agg(F.count("*").alias("rows")), "edit-ids")
     pairs = materialize(next_in_order(ids), "edit-pairs")
     once = docs.withColumn("r", F.row_number().over(Window.partitionBy("id0", "h").orderBy(F.lit(0)))).where("r = 1").drop("r")
     wanted = pairs.select(F.col("id0").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("k"), F.col("next_id").alias("id0"), F.col("next_h").alias("h"))
     heads = once.join(wanted, ["id0", "h"]).select(F.col("to_id").alias("id0"), F.col("to_h").alias("h"), F.expr("left(text, k)").alias("head"))
     both = once.join(pairs, ["id0", "h"]).join(heads, ["id0", "h"])
     kept = F.expr("left(text, CAST(n - floor(n / 3) AS INT))")
-    return both.select("id0", "h", "n", "next_id", "next_h", "text", F.concat(kept, "head").alias("edited"))
+    return both.select("id0", "h", "n", "rows", "next_id", "next_h", "text", F.concat(kept, "head").alias("edited"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the fingerprints of its text and of its edited text, and their likeness."""
     edited = edited_texts(table(spark, sf_dir, "documents"), "text", "doc_id")
-    sides = edited.select("id0", "h", "n", "next_id", "next_h", F.sha2(F.col("edited"), 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x"))
-    sides = sides.select("id0", "h", "n", "next_id", "next_h", "sha", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
-    prints = document_fingerprints(sides, ["id0", "h", "n", "next_id", "next_h", "sha", "side"], "t")
+    sides = edited.select("id0", "h", "n", "rows", "next_id", "next_h", F.sha2(F.col("edited"), 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x"))
+    sides = sides.select("id0", "h", "n", "rows", "next_id", "next_h", "sha", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
+    prints = document_fingerprints(sides, ["id0", "h", "n", "rows", "next_id", "next_h", "sha", "side"], "t")
     pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
-    rows = prints.groupBy("id0", "h", "n", "next_id", "next_h", "sha").agg(*[pick(c, s) for s in (0, 1) for c in ("fp0", "fp1")])
+    rows = prints.groupBy("id0", "h", "n", "rows", "next_id", "next_h", "sha").agg(*[pick(c, s) for s in (0, 1) for c in ("fp0", "fp1")])
     rows = materialize(rows, "edit-prints")
     after = rows.select(F.col("id0").alias("next_id"), F.col("h").alias("next_h"), F.col("fp0_0").alias("a"), F.col("fp1_0").alias("b"))
     own = (F.col("fp0_0"), F.col("fp1_0"))
-    return rows.join(after, ["next_id", "next_h"]).select(
+    every = rows.join(after, ["next_id", "next_h"]).withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
+    return every.select(
         F.when(F.col("id0") != -(1 << 63), F.col("id0")).alias("doc_id"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
         F.concat(hex64("fp0_0"), hex64("fp1_0")).alias("fingerprint"), F.concat(hex64("fp0_1"), hex64("fp1_1")).alias("edited_fingerprint"),
         likeness(own, (F.col("fp0_1"), F.col("fp1_1"))).alias("near_edited"), likeness(own, (F.col("a"), F.col("b"))).alias("near_next"),

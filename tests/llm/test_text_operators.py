@@ -171,6 +171,14 @@ def test_edited_fingerprints(spark, corpus, tmp_path):
     assert set(got[corpus.index("")]["fingerprint"]) == {"0"}
 
 
+def test_edited_fingerprints_of_repeated_rows(spark, tmp_path):
+    rows = [(3, "one two three", "en", "s", 13)] * 3 + [(2, "four five", "en", "s", 9), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = simhash.op4_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (0, 0), (2, 9), (3, 13), (3, 13), (3, 13)]
+    assert {r["edited_sha256"] for r in got if r["doc_id"] == 3} == {hashlib.sha256(b"one two tfour").hexdigest()}
+
+
 def test_neighbours_equal_brute_force(spark):
     r = np.random.default_rng(2)
     base = [int(x) for x in r.integers(0, 1 << 62, 30)]
