@@ -48,11 +48,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver has collected what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
