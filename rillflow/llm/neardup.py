@@ -1,13 +1,14 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
 Fingerprints within radius r of each other have a point in common that lies within r/2 of both. So every distinct
-fingerprint emits all variants within half the radius, variants are shuffled, and those that meet on one are linked.
+fingerprint emits all variants within half the radius (2,081 for 64 bits and radius 4), variants are shuffled, and
+fingerprints that meet on one are linked, verified and deduplicated.
 
-The whole ball of 64 bits and radius 4 has 2081 variants a fingerprint, more than the disk budget holds. So the ball is
-taken within halves: of two fingerprints within 4, one 32-bit half differs in at most 2 bits, and every fingerprint emits
-the 33 variants within 1 of each half. Two that meet alone on a variant are a pair, verified on all bits. Fingerprints
-that meet in a crowd of three or more (as in groups of near copies) emit the whole ball as well, where meeting is proof
-enough and one link to the smallest does for a group; so no crowd is emitted as pairs, and no link is lost.
+The shuffle is on the variants' first bits, and the variants of a fingerprint that share them travel as one row, which
+names the fingerprint and the flips left for the other bits (22 to 37 rows instead of 2,081). The task that gets a part
+makes its variants, in slices of bounded size, sorts them, and links those that meet on one to the smallest of them. So
+no crowd is emitted as pairs, and no link is lost. Parts in which more than CROWD rows meet are shuffled on, by STEP more
+bits at a time.
 
 Defined results: a null text is an empty one; an empty text has fingerprint zero and is linked like any other; equal
 rows are each returned and linked; a null doc_id is returned and never names a component unless it is alone in it;
@@ -16,15 +17,27 @@ an empty table gives an empty result; other columns are not used.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import lower_ascii, materialize, table, words
 from rillflow.llm.components import connected_components
 from rillflow.llm.simhash import fingerprints, hex64
 
+#: Variants that a task makes at once, and the table in which it finds those that may meet.
+SLICE = 1 << 21
+SLOT_BITS = 23
+#: First bits that variants are shuffled on, at least; rows of a part from which on it is shuffled by STEP more.
+LEAST_BITS = 6
+CROWD = 1 << 19
+STEP = 8
+
 
 def shingle_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
     """(key, fp) with fp from all shingles of `width` words, repeats included; fewer words are one shingle."""
@@ -36,33 +49,116 @@ def shingle_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id",
     return got.select("key", F.col("fp0").alias("fp"))
 
 
-def _flips(bits: int, reach: int, shift: int = 0) -> list[int]:
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    return [signed(sum(1 << (i + shift) for i in c)) for r in range(reach + 1) for c in combinations(range(bits), r)]
-
-
-def whole_ball_links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from variants of all 64 bits. With an even radius two that meet are within it by the triangle inequality, and
-    each variant's members are linked to the smallest; with an odd one the variants reach half of radius + 1, and the links
-    to the smallest hold only what is verified, so it must be even."""
-    if radius % 2:
-        raise ValueError("the radius must be even")
-    balls = prints.select("x", F.explode(F.array(*[F.lit(m).cast("long") for m in _flips(64, radius // 2)])).alias("m")).select("x", F.col("x").bitwiseXOR(F.col("m")).alias("v"))
-    met = balls.withColumn("least", F.min("x").over(Window.partitionBy("v")))
-    return met.where("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct()
+def masks(bits: int, reach: int) -> list[list[int]]:
+    """By weight from 0 to reach: all numbers of so many of the lowest bits."""
+    return [[sum(1 << i for i in c) for c in combinations(range(bits), r)] for r in range(reach + 1)]
+
+
+def ball_size(bits: int, reach: int) -> int:
+    return sum(comb(bits, r) for r in range(reach + 1))
+
+
+def spread(rows: DataFrame, at: int, bits: int, reach: int) -> DataFrame:
+    """(part, x, left): every x once for each way to flip at most `left` of its next `bits` bits, after the first `at`.
+
+    part is the prefix that the variant then has, and left the flips that remain for the bits after it: so a row stands for
+    all variants of x with that prefix, and fingerprints that have a variant in common meet in a part.
+    """
+    flips = [F.struct(F.lit(m).cast("long").alias("m"), F.lit(w).alias("w")) for w, ms in enumerate(masks(bits, reach)) for m in ms]
+    ways = rows.select("part", "x", "left", F.inline(F.array(*flips))).where("w <= left")
+    own = F.shiftrightunsigned("x", 64 - at - bits).bitwiseAND(F.lit((1 << bits) - 1))
+    return ways.select(F.shiftleft("part", bits).bitwiseOR(own.bitwiseXOR(F.col("m"))).alias("part"), "x", (F.col("left") - F.col("w")).alias("left"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each member of a component of the links (a, b) to its smallest member."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(ids))
+    return ids[label[far]], ids[far]
+
+
+def meetings(x: np.ndarray, left: np.ndarray, bits: int, reach: int, radius: int):
+    """Arrays (a, b) of links between fingerprints that have a variant in common, flipping at most `left` of the lowest bits.
+
+    Variants are made and sorted in slices of bounded size: what is too much for one is split at the highest open bit.
+    """
+    flips = [np.array(sum(masks(bits, r), []), np.uint64) for r in range(reach + 1)] if bits <= 64 else []
+    todo = [(x, x & np.uint64((1 << bits) - 1), left, bits)]
+    while todo:
+        x, v, left, bits = todo.pop()
+        if len(x) < 2:
+            continue
+        if bits and sum(int((left == r).sum()) * ball_size(bits, r) for r in range(reach + 1)) > SLICE:
+            top = (v >> np.uint64(bits - 1)) & np.uint64(1)
+            for side in (0, 1):
+                own, other = top == side, (top != side) & (left > 0)
+                todo.append((np.concatenate([x[own], x[other]]), np.concatenate([v[own], v[other]]) & np.uint64((1 << (bits - 1)) - 1), np.concatenate([left[own], left[other] - 1]), bits - 1))
+            continue
+        variants, origin = [], []
+        for r in range(reach + 1):
+            own = np.nonzero(left == r)[0]
+            if len(own):
+                flip = flips[r][flips[r] < np.uint64(1 << bits)] if bits < 64 else flips[r]
+                variants.append((v[own, None] ^ flip[None]).ravel())
+                origin.append(np.repeat(own, len(flip)))
+        variants, origin = np.concatenate(variants), np.concatenate(origin)
+        # Most variants are met by nobody: those whose slot of a small table is theirs alone are left before sorting.
+        slot = (variants * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        crowded = np.bincount(slot.astype(np.int64), minlength=1 << SLOT_BITS)[slot.astype(np.int64)] > 1
+        variants, origin = variants[crowded], origin[crowded]
+        order = np.argsort(variants, kind="stable")
+        variants, member = variants[order], x[origin[order]]
+        starts = np.nonzero(np.r_[True, variants[1:] != variants[:-1]])[0] if len(variants) else np.zeros(0, int)
+        if not len(starts):
+            continue
+        least = np.repeat(np.minimum.reduceat(member, starts), np.diff(np.r_[starts, len(member)]))
+        linked = (least != member) & (np.bitwise_count(least ^ member) <= radius)
+        if linked.any():
+            yield np.unique(np.stack([least[linked], member[linked]]), axis=1)
 
 
 def ball_links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within radius. prints: distinct 64-bit numbers x."""
-    reach = -(-(radius // 2) // 2)
-    halves = [F.struct(F.lit(k).alias("half"), F.col("x").bitwiseXOR(F.lit(m).cast("long")).bitwiseAND(F.lit(mask)).alias("v")) for k, mask, shift in ((0, (1 << 32) - 1, 0), (1, -(1 << 32), 32)) for m in _flips(32, reach, shift)]
-    on = Window.partitionBy("half", "v")
-    met = prints.select("x", F.explode(F.array(*halves)).alias("h")).select("x", "h.half", "h.v").withColumn("n", F.count("*").over(on))
-    met = materialize(met.where("n > 1"), "neardup-met")
-    pairs = met.where("n = 2").groupBy("half", "v").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("a", "b")
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
-    crowd = met.where("n > 2").select("x").distinct()
-    return pairs.unionByName(whole_ball_links(crowd, radius))
+    """(a, b): links whose components are those of all pairs within radius. prints: distinct 64-bit numbers x.
+
+    The radius must be even: two that meet are then within it by the triangle inequality, and each variant's members may be
+    linked to the smallest of them alone.
+    """
+    if radius % 2 or not 0 < radius < 64:
+        raise ValueError("the radius must be even, and less than 64")
+    reach = radius // 2
+    bits = max(LEAST_BITS, min(32, (prints.count() * ball_size(64, reach) // SLICE).bit_length()))
+    rows = materialize(spread(prints.select(F.lit(0).cast("long").alias("part"), "x", F.lit(reach).alias("left")), 0, bits, reach), "neardup-parts")
+
+    def meet(at: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = pdf["x"].to_numpy(np.int64).view(np.uint64)
+            found = list(meetings(x, pdf["left"].to_numpy(np.int64), 64 - at, reach, radius))
+            a, b = forest(*np.concatenate(found, axis=1)) if found else (x[:0], x[:0])
+            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+        return run
+
+    links, at = [], bits
+    while True:
+        crowded = rows.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+        crowded = materialize(crowded.select("part"), "neardup-crowds")
+        if at + STEP > 64 or crowded.isEmpty():
+            links.append(rows.groupBy("part").applyInPandas(meet(at), "a long, b long"))
+            break
+        links.append(rows.join(crowded, "part", "left_anti").groupBy("part").applyInPandas(meet(at), "a long, b long"))
+        rows = materialize(spread(rows.join(crowded, "part", "left_semi"), at, STEP, reach), "neardup-parts")
+        at += STEP
+    return reduce(DataFrame.unionByName, links).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:

@@ -52,7 +52,8 @@ class WordIds:
         self.words: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Where a text holds one of these strings, the tokenizer cuts it there; such a text goes to it whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -78,6 +79,8 @@ class WordIds:
             self.words[w] = b"".join(map(self.known.__getitem__, cut[w])) if w in cut else self.direct(w).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            return self.direct(text).tobytes()
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
@@ -184,16 +187,16 @@ def pack(
     ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "part"])
     ranked = ranked.select("key", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         keys = p[:, 0] << 44 | p[:, 1]
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(), pdf.pop("rank").to_numpy()
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 5))
             at = np.searchsorted(keys, length << 44 | rank, side="right") - 1
-            yield pdf.assign(sequence_id=p[at, 2] + rank - p[at, 1], offset=p[at, 3])
+            yield pa.record_batch([*batch.columns[:5], pa.array(p[at, 2] + rank - p[at, 1], pa.int64()), pa.array(p[at, 3], pa.int64())], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return ranked.mapInPandas(place, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("key", key)
+    return ranked.mapInArrow(place, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("key", key)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ their length; other columns are not used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,12 +92,13 @@ class LatentModel:
 def fit(sample: DataFrame) -> LatentModel:
     """sample: (key, text, label), of bounded size. Only its feature counts reach the driver."""
 
-    def features(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "row": [counts(t).tobytes() for t in pdf["text"]]})
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, label, text = batch.columns
+            yield pa.record_batch([key, label, pa.array([counts(t).tobytes() for t in text.to_pylist()], pa.binary())], names=["key", "label", "row"])
 
-    kind = sample.schema["key"].dataType.simpleString()
-    got = sample.mapInPandas(features, f"key {kind}, label int, row binary").toArrow().to_pandas()
+    rows = sample.select(F.col("key").cast("string").alias("key"), "label", "text")
+    got = rows.mapInArrow(features, "key string, label int, row binary").toArrow().to_pandas()
     got = got.sort_values(["key", "row"])
     rows = np.stack([np.frombuffer(r, np.float32) for r in got["row"]]) if len(got) else np.zeros((0, BUCKETS + EXTRA), np.float32)
     return LatentModel(rows, got["label"].to_numpy(np.float32))
@@ -105,23 +108,23 @@ def score(df: DataFrame, model: LatentModel, text: str = "text", key: str = "doc
     """(key, score): the likelihood of label 1, for every row of df."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def rate(batches):
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "score": sent.value.score(pdf["text"].tolist())})
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(sent.value.score(batch.column(1).to_pylist()), pa.float64())], names=[key, "score"])
 
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(rate, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
+    rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(rate, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
 
 
 def keep(df: DataFrame, model: LatentModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of df whose score is `least` or more, in one pass over their texts."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
-    def choose(batches):
-        for pdf in batches:
-            yield pdf[sent.value.score(pdf[text].fillna("").tolist()) >= least]
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.score([t or "" for t in batch.column(at).to_pylist()]) >= least))
 
-    return df.mapInPandas(choose, df.schema)
+    return df.mapInArrow(choose, df.schema)
 
 
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> LatentModel:

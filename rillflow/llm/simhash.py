@@ -4,11 +4,13 @@ Every term hash is exploded into a row and its 64 bits are added to 32 sums of t
 generated code and before any shuffle; one row per text leaves the task that read it.
 
 Document fingerprints (op4): terms are pairs of neighbouring words, weighted by how often they occur; 128 bits.
-`neighbours` finds all fingerprints within a Hamming radius by permuted block tables.
+`neighbours` finds all fingerprints within a Hamming radius by permuted block tables; the query looks up every edited
+text's fingerprint among those of all documents.
 
 Defined results: a null text is an empty one, whose fingerprint is all zero; a text of one word has that word as its
 only term; equal texts have equal fingerprints; repeated rows are each returned (for op4, the row after those equal
-in id and text is that of the next id or text, and they are all alike); a null id comes last in descending order; an empty table gives an empty result; other columns are not used.
+in id and text is that of the next id or text, and they are all alike); a null id comes last in descending order and counts as the smallest 64-bit number; an empty table gives an empty result;
+other columns are not used.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import materialize, table, words
 
+#: The Hamming radius of the search, and the blocks that a fingerprint's 128 bits are cut into for it.
+RADIUS = 3
+BLOCKS = 5
 #: Bits j and j + 32, as one 64-bit number with two counters.
 PAIR = (1 << 32) + 1
 
@@ -63,33 +68,29 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return 1 - (F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))) / F.lit(128.0)
 
 
-def neighbours(prints: DataFrame, fp: str = "fp", radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of different 64-bit fingerprints within radius, by permuted block tables.
+def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(q0, q1, p0, p1, distance): for every query all fingerprints within radius, by permuted block tables.
 
+    queries: (q0, q1), prints: (p0, p1), the halves of 128-bit fingerprints; equal ones count once, null ones take no part.
     The bits are cut into blocks. Fingerprints within the radius agree on at least `blocks - radius` whole blocks, so each
-    choice of so many blocks is a table keyed by them. Fingerprints that share a key meet in one group of a table; a key
-    that more than 64 share is cut again by the remaining blocks in turn, each of which the pair may miss by at most the
-    radius, so no group is emitted as all its pairs unless it is small.
+    choice of so many blocks is a table keyed by them, and a query is looked up in every table. What it meets is compared on
+    all bits within the join, so only what is found leaves it.
     """
     if not 0 < radius < blocks:
         raise ValueError("radius must lie between 1 and blocks - 1")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]) for i in range(blocks)]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    base = prints.select(F.col(fp).alias("x")).where(F.col("x").isNotNull()).distinct()
-    chosen = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
-    keyed = base.select("x", F.posexplode(F.array(*[F.col("x").bitwiseAND(F.lit(m)) for m in chosen])).alias("t", "k"))
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).where("n > 1")
-    small = keyed.where("n <= 64").groupBy("t", "k").agg(F.collect_list("x").alias("xs"))
-    pairs = small.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b")).where("a < b")
-    # Members of crowded keys meet again on every variant within half the radius, rounded up, of their whole fingerprint.
-    reach = -(-radius // 2)
-    flips = [0] + [signed(sum(1 << i for i in c)) for r in range(1, reach + 1) for c in combinations(range(64), r)]
-    crowd = keyed.where("n > 64").select("x").distinct()
-    spread = crowd.select("x", F.explode(F.array(*[F.lit(m) for m in flips])).alias("m")).select("x", F.col("x").bitwiseXOR(F.col("m")).alias("v"))
-    met = spread.alias("l").join(spread.alias("r"), (F.col("l.v") == F.col("r.v")) & (F.col("l.x") < F.col("r.x"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return pairs.unionByName(met).where(distance <= radius).distinct().select("a", "b", distance.alias("distance"))
+    edges, low = [128 * i // blocks for i in range(blocks + 1)], (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chosen = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in c) for c in combinations(range(blocks), blocks - radius)]
+
+    def tables(rows: DataFrame, x0: str, x1: str) -> DataFrame:
+        part = lambda c, m: F.col(c).bitwiseAND(F.lit(signed(m)).cast("long"))
+        keys = [F.xxhash64(F.lit(t), part(x0, m & low), part(x1, m >> 64)) for t, m in enumerate(chosen)]
+        return rows.select(x0, x1).dropna().distinct().select(x0, x1, F.explode(F.array(*keys)).alias("key"))
+
+    distance = F.bit_count(F.col("q0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("p1")))
+    left, right = tables(queries, "q0", "q1"), tables(prints, "p0", "p1")
+    met = left.join(right, (left["key"] == right["key"]) & (distance <= radius))
+    return met.select("q0", "q1", "p0", "p1").distinct().withColumn("distance", distance)
 
 
 def next_in_order(ids: DataFrame, group: int = 4096) -> DataFrame:
@@ -133,8 +134,16 @@ def edited_texts(df: DataFrame, text: str, key: str) -> DataFrame:
     return both.select("id0", "h", "n", "rows", "next_id", "next_h", "text", F.concat(kept, "head").alias("edited"))
 
 
+def near_documents(rows: DataFrame) -> DataFrame:
+    """(q0, q1, near_docs): for each edited fingerprint that has any, how many documents lie within RADIUS of it."""
+    prints = rows.groupBy(F.col("fp0_0").alias("p0"), F.col("fp1_0").alias("p1")).agg(F.sum("rows").alias("docs"))
+    found = neighbours(rows.select(F.col("fp0_1").alias("q0"), F.col("fp1_1").alias("q1")), prints)
+    return found.join(prints, ["p0", "p1"]).groupBy("q0", "q1").agg(F.sum("docs").alias("near_docs"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: the fingerprints of its text and of its edited text, and their likeness."""
+    """One row per document: the fingerprints of its text and of its edited text, their likeness, and near_docs, the number
+    of documents whose fingerprint the search finds within RADIUS bits of the edited text's."""
     edited = edited_texts(table(spark, sf_dir, "documents"), "text", "doc_id")
     sides = edited.select("id0", "h", "n", "rows", "next_id", "next_h", F.sha2(F.col("edited"), 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x"))
     sides = sides.select("id0", "h", "n", "rows", "next_id", "next_h", "sha", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
@@ -143,10 +152,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prints.groupBy("id0", "h", "n", "rows", "next_id", "next_h", "sha").agg(*[pick(c, s) for s in (0, 1) for c in ("fp0", "fp1")])
     rows = materialize(rows, "edit-prints")
     after = rows.select(F.col("id0").alias("next_id"), F.col("h").alias("next_h"), F.col("fp0_0").alias("a"), F.col("fp1_0").alias("b"))
+    near = near_documents(rows)
     own = (F.col("fp0_0"), F.col("fp1_0"))
-    every = rows.join(after, ["next_id", "next_h"]).withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
+    every = rows.join(after, ["next_id", "next_h"]).join(near, (F.col("fp0_1") == F.col("q0")) & (F.col("fp1_1") == F.col("q1")), "left")
+    every = every.withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
     return every.select(
         F.when(F.col("id0") != -(1 << 63), F.col("id0")).alias("doc_id"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
         F.concat(hex64("fp0_0"), hex64("fp1_0")).alias("fingerprint"), F.concat(hex64("fp0_1"), hex64("fp1_1")).alias("edited_fingerprint"),
         likeness(own, (F.col("fp0_1"), F.col("fp1_1"))).alias("near_edited"), likeness(own, (F.col("a"), F.col("b"))).alias("near_next"),
+        F.coalesce("near_docs", F.lit(0)).alias("near_docs"),
     )

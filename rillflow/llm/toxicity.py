@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,8 +136,8 @@ def fit(sample: DataFrame) -> BlockMaxIndex:
             rows = [text_terms(t) for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "words": [n for _, n in rows], "terms": [list(c) for c, _ in rows], "n": [list(c.values()) for c, _ in rows]})
 
-    kind = sample.schema["key"].dataType.simpleString()
-    rows = materialize(sample.mapInPandas(counted, f"key {kind}, label int, words long, terms array<string>, n array<long>"), "toxic-terms")
+    texts = sample.select(F.col("key").cast("string").alias("key"), "label", "text")
+    rows = materialize(texts.mapInPandas(counted, "key string, label int, words long, terms array<string>, n array<long>"), "toxic-terms")
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     size, toxic = total["n"], total["p"] or 0
     per = rows.select("label", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("d"), F.sum("label").alias("a")).where(F.col("d") >= LEAST_DOCUMENTS)
@@ -158,14 +160,16 @@ def fit(sample: DataFrame) -> BlockMaxIndex:
 def score(df: DataFrame, index: BlockMaxIndex, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, evidence): evidence holds the three nearest examples with cosine and label."""
     sent = df.sparkSession.sparkContext.broadcast(index)
+    evidence = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
-    def rate(batches):
-        for pdf in batches:
-            got = [sent.value.vote(t) for t in pdf["text"]]
-            yield pd.DataFrame({key: pdf[key], "score": [s for s, _ in got], "evidence": [[{"id": str(k), "cosine": c, "label": y} for k, c, y in e] for _, e in got]})
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sent.value.vote(t) for t in batch.column(1).to_pylist()]
+            near = [[{"id": str(k), "cosine": c, "label": y} for k, c, y in e] for _, e in got]
+            yield pa.record_batch([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(near, evidence)], names=[key, "score", "evidence"])
 
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(rate, f"`{key}` {df.schema[key].dataType.simpleString()}, score double, evidence array<struct<id: string, cosine: double, label: int>>")
+    rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(rate, f"`{key}` {df.schema[key].dataType.simpleString()}, score double, evidence array<struct<id: string, cosine: double, label: int>>")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,14 +140,21 @@ def test_near_dedup_equals_brute_force(spark, corpus):
     assert got == {i: (prints[i], root[i]) for i in range(len(corpus))}
 
 
-def test_halves_and_whole_ball_give_the_same_components(spark):
+@pytest.mark.parametrize("limits", [{}, {"SLICE": 4096, "CROWD": 200, "LEAST_BITS": 3}])
+def test_ball_links_equal_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
     r = np.random.default_rng(1)
     base = [int(x) for x in r.integers(0, 1 << 62, 20)]
     values = {b ^ sum(1 << int(i) for i in r.choice(64, r.integers(0, 5), replace=False)) for b in base for _ in range(30)}
-    values = sorted(v - (1 << 64) if v >= 1 << 63 else v for v in values)
-    df = spark.createDataFrame([(v,) for v in values], "x long")
-    whole = {tuple(x) for x in connected_components(neardup.whole_ball_links(df, 4)).collect()}
-    assert whole == {tuple(x) for x in connected_components(neardup.ball_links(df, 4)).collect()}
+    crowd = {base[0] ^ sum(1 << int(i) for i in r.choice(64, 3, replace=False)) for _ in range(150)}
+    values = sorted(v - (1 << 64) if v >= 1 << 63 else v for v in values | crowd | {0, 1, (1 << 64) - 1})
+    root = roots(len(values), [(i, j) for i in range(len(values)) for j in range(i) if ((values[i] ^ values[j]) & (1 << 64) - 1).bit_count() <= 4])
+    links = neardup.ball_links(spark.createDataFrame([(v,) for v in values], "x long"), 4)
+    got = dict(map(tuple, connected_components(links).collect()))
+    assert [got.get(v, v) for v in values] == [values[k] for k in root]
+    if limits:
+        assert links.count() <= 3 * len(values) * 40  # never all pairs of a crowd
 
 
 def test_components(spark):
@@ -181,11 +188,39 @@ def test_edited_fingerprints_of_repeated_rows(spark, tmp_path):
 
 def test_neighbours_equal_brute_force(spark):
     r = np.random.default_rng(2)
-    base = [int(x) for x in r.integers(0, 1 << 62, 30)]
-    values = sorted({b ^ sum(1 << int(i) for i in r.choice(60, r.integers(0, 5), replace=False)) for b in base for _ in range(8)})
-    want = {(a, b, (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
-    got = simhash.neighbours(spark.createDataFrame([(v,) for v in values], "fp long"), radius=3, blocks=6)
-    assert {tuple(x) for x in got.collect()} == want
+    base = [int(x) << 66 | int(y) for x, y in r.integers(0, 1 << 62, (30, 2))]
+    values = sorted({b ^ sum(1 << int(i) for i in r.choice(128, r.integers(0, 5), replace=False)) for b in base for _ in range(8)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda v: (signed(v & (1 << 64) - 1), signed(v >> 64))
+    queries, prints = values[::2] + [values[0]], values[::3] + [values[0]]
+    want = {(*halves(a), *halves(b), (a ^ b).bit_count()) for a in queries for b in prints if (a ^ b).bit_count() <= 3}
+    frame = lambda vs, *names: spark.createDataFrame([*map(halves, vs), (None, 1)], ", ".join(f"{n} long" for n in names))
+    got = simhash.neighbours(frame(queries, "q0", "q1"), frame(prints, "p0", "p1"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 60
+
+
+def print128(text):
+    """Both halves, plainly: neighbouring words chained through XXH64, and the hash of that hash."""
+    w = WORD.findall(text)
+    h0 = [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) for a, b in zip(w, w[1:], strict=False)] or [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    h1 = [xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) for h in h0]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in (h0, h1))
+
+
+def test_fingerprints_and_near_documents_equal_brute_force(spark, corpus, tmp_path):
+    docs(spark, corpus).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in simhash.op4_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(range(len(corpus)), reverse=True)
+    after = {d: corpus[order[(k + 1) % len(order)]] or "" for k, d in enumerate(order)}
+    own = [print128(t or "") for t in corpus]
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    for d, t in enumerate(corpus):
+        t = t or ""
+        n = len(t) // 3
+        edited = print128(t[: len(t) - n] + after[d][:n])
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == tuple("".join(f"{x:016x}" for x in p) for p in (own[d], edited))
+        assert got[d]["near_edited"] == 1 - bits(own[d], edited) / 128
+        assert got[d]["near_docs"] == sum(bits(p, edited) <= simhash.RADIUS for p in own)
 
 
 @pytest.mark.parametrize("operator", [linededup.dedup_lines, neardup.near_duplicates, lambda d: simhash.edited_texts(d, "text", "doc_id")])
