@@ -6,13 +6,14 @@ hash of the id) is one tree over its distinct points. A search descends to the s
 other side only if  relax * (distance to the boundary) < (distance to the K-th best so far); relax 1 is the exact
 search, a larger one prunes more.
 
-Queries go through shards in blocks: a task holds one tree and one block of queries, both of bounded size. Each block
-and shard gives at most K rows a query, and these are ranked at last.
+A task holds one tree and up to about QUERIES queries, both of bounded size: the tree is made once for them, and they go
+through it in blocks. Each shard gives at most K rows a query, and these are ranked at last.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part on either side; vectors
-of different lengths never meet; copies of a vector are each a candidate, in order of their ids; a query that occurs more than once
-counts once (its greatest vector); candidates with the query's own id are left out; rows with a null id take no part; an
-empty table gives an empty result; other columns are not used.
+of different lengths never meet; copies of a vector are each a candidate, in order of their ids; rows equal in id and
+vector are one candidate; all that tie with the K-th are considered, however many, and the smaller ids stay; a query that
+occurs more than once counts once (its greatest vector); candidates with the query's own id are left out; rows with a null
+id take no part; an empty table gives an empty result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from rillflow.llm.common import materialize, table
 
 SHARD = 16384
 QUERY_BLOCK = 512
+QUERIES = 1 << 16
 LEAF = 256
-#: Further distinct vectors kept while searching, against rounding in the blocked products.
+#: Further distinct vectors kept while searching, and the relative difference up to which blocked products may be ties.
 SPARE = 8
+TIE = 1e-9
 
 
 class VantageTree:
@@ -83,8 +86,47 @@ class VantageTree:
         self._visit(inside, active[~near & reach], queries, k, relax)
 
 
-def _pack(v: np.ndarray) -> bytes:
-    return np.ascontiguousarray(v, np.float64).tobytes()
+class ShardSearch:
+    """The K best candidates of a shard for blocks of queries: the tree finds them, and ties that it could cut are counted out."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, k: int, relax: float) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.points, back = np.unique(vectors[order], axis=0, return_inverse=True)
+        # Copies of a vector rank by id, so the first k + 1 of each (one may be the query itself) are all that can count.
+        by = np.argsort(back, kind="stable")
+        nth = np.arange(len(by)) - np.searchsorted(back[by], back[by])
+        by = by[nth <= k]
+        self.ids, self.at, self.k, self.relax = ids[order][by], back[by], k, relax
+        norm2 = (self.points * self.points).sum(1)
+        self.tree = VantageTree(np.hstack([self.points, np.sqrt(np.maximum(most - norm2, 0))[:, None]]))
+
+    def best(self, own: int, q: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best among the found points' ids, without the query's own; ties go to smaller ids."""
+        score = (self.points[found] * q).sum(1)  # the same sum for equal vectors, wherever they lie
+        first, last = np.searchsorted(self.at, found), np.searchsorted(self.at, found, side="right")
+        ids = np.concatenate([self.ids[a:b] for a, b in zip(first, last, strict=True)])
+        score = np.repeat(score, last - first)
+        ids, score = ids[ids != own], score[ids != own]
+        keep = np.lexsort((ids, -score))[: self.k]
+        return ids[keep], score[keep]
+
+    def search(self, qids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
+        held = min(self.k + 1 + SPARE, len(self.points))
+        found, far = self.tree.search(np.hstack([queries, np.zeros((len(queries), 1))]), held, self.relax)
+        out = []
+        for own, q, near, d in zip(qids, queries, found, far, strict=True):
+            ok = near >= 0
+            # Where the last one held lies as far as the k + 1st, up to rounding, more may tie with it than were held.
+            if held < len(self.points) and d[-1] <= d[min(self.k, held - 1)] * (1 + TIE) + TIE:
+                near, ok = self._ties(q, float((self.points[near[ok]] * q).sum(1).min())), slice(None)
+            ids, score = self.best(own, q, near[ok])
+            out.append(pd.DataFrame({"query_id": own, "id": ids, "score": score}))
+        return pd.concat(out)
+
+    def _ties(self, q: np.ndarray, least: float) -> np.ndarray:
+        """All points that score at least about `least`, from the whole shard."""
+        score = (self.points * q).sum(1)
+        return np.nonzero(score >= least - TIE * max(1.0, abs(least)))[0]
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 2.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -93,59 +135,25 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, relax: float = 2.0, ke
     fine = "v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
     rows = materialize(rows.where(fine).withColumn("norm2", F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).withColumn("dim", F.size("v")), "vp-rows")
     # One row for each length there is; where they are many, this is a join like any other.
-    plan = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.max("norm2").alias("most"))
+    plan = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("q") / QUERIES).cast("int").alias("chunks"), F.max("norm2").alias("most"))
     rows = rows.join(materialize(plan, "vp-lengths"), "dim")
-    points = rows.select("dim", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"), "id", "v")
-
-    def build(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim = int(group[0])
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        ids = pdf["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        v, ids = v[order], ids[order]
-        plain, back = np.unique(v, axis=0, return_inverse=True)
-        # Copies of a vector rank by id, so the first k + 1 of each (one may be the query itself) are all that can count.
-        by = np.argsort(back, kind="stable")
-        nth = np.arange(len(by)) - np.searchsorted(back[by], back[by])
-        by = by[nth <= k]
-        return pd.DataFrame({"dim": [dim], "shard": [int(group[1])], "points": [_pack(plain)], "ids": [ids[by].tobytes()], "at": [back[by].astype(np.int64).tobytes()]})
-
-    trees = points.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, points binary, ids binary, at binary")
-    queries = rows.where("q").groupBy("dim", "shards", "most", "id").agg(F.max("v").alias("v"))
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-
-    def bind(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [int(group[0])], "shards": [int(group[1])], "most": [float(group[2])], "qids": [pdf["id"].to_numpy().tobytes()], "q": [_pack(np.stack(pdf["v"].to_numpy()))]})
-
-    blocks = blocks.groupBy("dim", "shards", "most", "block").applyInPandas(bind, "dim int, shards int, most double, qids binary, q binary")
-    blocks = blocks.select("dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), "most", "qids", "q")
-
-    def look(batches):
-        held: tuple = (None, None)
-        for pdf in batches:
-            for r in pdf.itertuples():
-                plain = np.frombuffer(r.points, np.float64).reshape(-1, r.dim)
-                if held[0] != (r.dim, r.shard):
-                    norm2 = (plain * plain).sum(1)
-                    held = ((r.dim, r.shard), VantageTree(np.hstack([plain, np.sqrt(np.maximum(r.most - norm2, 0))[:, None]])))
-                ids, at = np.frombuffer(r.ids, np.int64), np.frombuffer(r.at, np.int64)
-                qids, q = np.frombuffer(r.qids, np.int64), np.frombuffer(r.q, np.float64).reshape(-1, r.dim)
-                found, _ = held[1].search(np.hstack([q, np.zeros((len(q), 1))]), min(k + SPARE, len(plain)), relax)
-                first, last = np.searchsorted(at, found), np.searchsorted(at, found, side="right")
-                out = []
-                for i, own in enumerate(qids):
-                    ok = found[i] >= 0
-                    score = (plain[found[i][ok]] * q[i]).sum(1)  # the same sum for equal vectors, wherever they lie
-                    spans = [ids[a:b] for a, b in zip(first[i][ok], last[i][ok], strict=True)]
-                    cand = np.concatenate(spans)
-                    s = np.repeat(score, [len(x) for x in spans])
-                    s, cand = s[cand != own], cand[cand != own]
-                    keep = np.lexsort((cand, -s))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "id": cand[keep], "score": s[keep]}))
-                yield pd.concat(out)
-
-    met = blocks.join(trees, ["dim", "shard"]).sortWithinPartitions("dim", "shard")
-    found = met.mapInPandas(look, "query_id long, id long, score double")
+    # Repeated rows become one before they are moved, so no shard grows with them.
+    points = rows.select("dim", "chunks", "most", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("shard"), "id", "v").distinct()
+    points = points.select("dim", "shard", "most", "id", "v", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")).where("chunk >= 0")
+    queries = rows.where("q").groupBy("dim", "shards", "chunks", "id").agg(F.max("v").alias("v"))
+    # New names for the columns that both sides took from rows.
+    queries = queries.select(F.col("dim").alias("dim"), F.col("id").alias("id"), "v", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"))
+
+    def look(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        stack = lambda pdf: np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        shard = ShardSearch(own["id"].to_numpy(), stack(own), float(own["most"].iloc[0]), k, relax)
+        qids, q = asked["id"].to_numpy(), stack(asked)
+        return pd.concat([shard.search(qids[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK]) for at in range(0, len(qids), QUERY_BLOCK)])
+
+    place = ["dim", "shard", "chunk"]
+    found = points.groupBy(*place).cogroup(queries.groupBy(*place)).applyInPandas(look, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 

@@ -104,6 +104,52 @@ def test_neighbours_and_recall(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ids_above_double_precision_beside_null(spark, tmp_path):
+    """Ids near 2**63 and a null in one batch: none is rounded on its way through Python."""
+    ids = [(1 << 53) + 1, None, (1 << 53) + 3, (1 << 62) + 1]
+    df = spark.createDataFrame([(i, "good words of a text", "en", "s", 1) for i in ids], SCHEMA).coalesce(1)
+    _, labels, _ = labelled_docs(spark)
+    sample = labelled.labelled_sample(labelled_docs(spark)[0], labels, "toxic", F.lit(True), 100)
+    of = lambda rows: sorted((r["doc_id"] for r in rows), key=str)
+    want = sorted(ids, key=str)
+    assert of(packing.pack(df).collect()) == want
+    assert of(toxicity.score(df, toxicity.fit(sample)).collect()) == want
+    model = quality.fit(sample)
+    assert of(quality.score(df, model).collect()) == want
+    assert of(quality.keep(df, model, least=0.0).collect()) == want
+
+
+def test_special_strings_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    special = ["x <|endoftext|> y", "a<|startoftext|>b <|endoftext|>", "<|endoftext", "x <|ENDOFTEXT|> y"]
+    for r in packing.pack(docs(spark, special)).collect():
+        part = np.array([*t.encode(special[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(part), zlib.crc32(part.tobytes()))
+
+
+def test_labelled_sample_is_bounded_in_rows(spark):
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
+    got = labelled.labelled_sample(df, labels, "toxic", F.lit(True), 100).collect()
+    assert sorted((r["key"], r["label"]) for r in got) == [(1, 1), (2, 1)]
+
+
+def test_neighbours_with_many_ties(spark):
+    r = np.random.default_rng(12)
+    v = r.integers(0, 2, (1500, 12))
+    v[:, 0] = 1
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(1500)] + [(7, [float(x) for x in v[7]])] * 3, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for x in vptree.nearest(df, F.col("vec_id") % 20 == 0, relax=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    for q in range(0, 1500, 20):
+        s = (v * v[q]).sum(1).astype(float)
+        s[q] = -1
+        assert got[q] == [(int(i), float(s[i])) for i in np.lexsort((np.arange(1500), -s))[:20]]
+
+
 def test_neighbours_of_every_length(spark):
     rows = [(i, [float(x + 1) for x in range(1 + i // 2)]) for i in range(140)]
     got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True)).collect()
