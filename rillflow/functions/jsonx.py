@@ -6,6 +6,7 @@ Arguments are maps, whose entries keep their order; variants sort their keys.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -131,34 +132,61 @@ def append_tool_tokens(ids: Column, mask: Column, logprobs: Column, new: Column)
 CHECK = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("reason", T.StringType())])
 
 
+#: The types that a property may have.
+JSON_TYPES = frozenset(("string", "number", "integer", "boolean", "array", "object", "null"))
+
+
+def parameter_problems(parameters: object) -> Iterator[str]:
+    """What is wrong with the parameters of a function, from the outside in."""
+    if not isinstance(parameters, dict):
+        yield "parameters_not_object"
+        return
+    if parameters.get("type") != "object":
+        yield "parameters_type_not_object"
+    known = parameters.get("properties")
+    if not isinstance(known, dict):
+        yield "properties_not_object"
+        return
+    for schema in known.values():
+        kinds = schema.get("type") if isinstance(schema, dict) else None
+        if not isinstance(schema, dict):
+            yield "property_not_object"
+        elif kinds is None:
+            yield "property_without_type"
+        elif not all(isinstance(k, str) and k in JSON_TYPES for k in (kinds if isinstance(kinds, list) else [kinds])):
+            yield "property_type_unknown"
+    required = parameters.get("required")
+    if required is not None and not isinstance(required, list):
+        yield "required_not_list"
+    elif required is not None:
+        for name in required:
+            if not isinstance(name, str):
+                yield "required_not_string"
+            elif name not in known:
+                yield "required_not_in_properties"
+
+
+def tool_problems(tool: object) -> Iterator[str]:
+    function = tool.get("function") if isinstance(tool, dict) else None
+    if not isinstance(function, dict):
+        yield "function_not_object" if isinstance(tool, dict) else "tool_not_object"
+        return
+    if not isinstance(function.get("name"), str) or not function["name"].strip():
+        yield "missing_name"
+    if not isinstance(function.get("description"), str):
+        yield "description_not_string" if "description" in function else "missing_description"
+    yield from parameter_problems(function.get("parameters"))
+
+
 def tools_problem(text: str | None) -> str | None:
-    """Why a tools text is no valid list of function tools; null if it is. Checks go from the outside in."""
+    """Why a tools text is no valid list of function tools, the first problem of the first tool that has any; null if it is."""
     try:
         tools = json.loads(text or "")
     except ValueError:
         return "invalid_json"
     if not isinstance(tools, list) or not tools:
         return "not_a_nonempty_list"
-    for tool in tools:
-        if not isinstance(tool, dict):
-            return "tool_not_object"
-        if tool.get("type") != "function":
-            return "type_not_function"
-        function = tool.get("function")
-        if not isinstance(function, dict):
-            return "function_not_object"
-        if not isinstance(function.get("name"), str) or not function["name"].strip():
-            return "missing_name"
-        parameters = function.get("parameters")
-        if not isinstance(parameters, dict) or parameters.get("type") != "object":
-            return "parameters_not_object"
-        properties = parameters.get("properties")
-        if not isinstance(properties, dict):
-            return "properties_not_object"
-        required = parameters.get("required", [])
-        if not isinstance(required, list) or any(r not in properties for r in required):
-            return "required_not_in_properties"
-    return None
+    return next((problem for tool in tools for problem in tool_problems(tool)), None)
 
 
 @F.pandas_udf(CHECK)
@@ -168,53 +196,76 @@ def tool_schema_check(tools: pd.Series) -> pd.DataFrame:
 
 
 COMPAT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("warnings", T.ArrayType(T.StringType()))])
-#: What a grammar compiler cannot hold (errors) or ignores (warnings), by the kind of node.
-ARRAY_ERRORS = ("contains", "maxContains", "minContains", "uniqueItems")
-ARRAY_WARNINGS = ("maxItems", "minItems")
+#: Fixed values, in published order: what a grammar compiler cannot hold (errors) or ignores (warnings), by the kind of node.
+ARRAY_ERRORS = ("uniqueItems", "contains", "minContains", "maxContains")
+ARRAY_WARNINGS = ("minItems", "maxItems")
 OBJECT_ERRORS = ("dependentRequired", "dependentSchemas")
 STRING_WARNINGS = ("contentEncoding", "contentMediaType", "contentSchema")
+#: Nodes that are visited at most; a schema whose references unfold to more is refused.
+MOST_NODES = 20_000
+
+
+def node_children(node: dict, path: str) -> Iterator[tuple[object, str]]:
+    """The schemas within a node and their paths."""
+    kind = node.get("type")
+    if kind == "array" or "items" in node or "prefixItems" in node:
+        yield from ((node.get(k), f"{path}/{k}") for k in ("items", "unevaluatedItems"))
+        yield from listed(node, path, "prefixItems")
+    if kind == "object" or "properties" in node:
+        for group, quote in (("properties", ""), ("patternProperties", '"')):
+            if isinstance(node.get(group), dict):
+                yield from ((x, f"{path}/{group}/{quote}{k}{quote}") for k, x in node[group].items())
+        yield node.get("additionalProperties"), f"{path}/additionalProperties"
+    for group in ("anyOf", "oneOf", "allOf"):
+        yield from listed(node, path, group)
+
+
+def listed(node: dict, path: str, group: str) -> Iterator[tuple[object, str]]:
+    if isinstance(node.get(group), list):
+        yield from ((x, f"{path}/{group}[{i}]") for i, x in enumerate(node[group]))
+
+
+def node_findings(node: dict) -> tuple[list[str], list[str]]:
+    """Errors and warnings of one node, without those within."""
+    errors, warnings, kind, items = [], [], node.get("type"), node.get("items")
+    if kind == "array" or "items" in node or "prefixItems" in node:
+        if items is not None and not isinstance(items, (dict, bool)):
+            errors.append("items must be a schema")
+        errors += [k for k in ARRAY_ERRORS if k in node]
+        warnings += [k for k in ARRAY_WARNINGS if k in node]
+    if kind == "object" or "properties" in node:
+        errors += [k for k in OBJECT_ERRORS if k in node]
+    if kind == "string":
+        warnings += [k for k in STRING_WARNINGS if k in node]
+    return errors, warnings + [k for k in ("if", "not") if isinstance(node.get(k), dict)]
 
 
 def compat_findings(schema: object) -> tuple[list[str], list[str]]:
-    """Errors and warnings of a JSON schema, sorted; nodes are visited from a work list, references once each."""
+    """Errors and warnings of a JSON schema, sorted; nodes are visited from a work list, a reference once on each way down."""
+    if not isinstance(schema, dict):
+        return ["#: a schema must be an object"], []
     errors: set[str] = set()
     warnings: set[str] = set()
-    root = schema if isinstance(schema, dict) else {}
-    defs = {**(root.get("definitions") if isinstance(root.get("definitions"), dict) else {}), **(root.get("$defs") if isinstance(root.get("$defs"), dict) else {})}
-    todo, seen = [(schema, "#")], set()
+    defs = schema.get("$defs", schema.get("definitions"))
+    todo: list[tuple[object, str, frozenset]] = [(schema, "#", frozenset())]
+    visited = 0
     while todo:
-        node, path = todo.pop()
+        node, path, seen = todo.pop()
         if not isinstance(node, dict):
             continue
-        ref = node.get("$ref")
-        if isinstance(ref, str):
-            name = ref.rpartition("/")[2]
-            if ref.startswith(("#/$defs/", "#/definitions/")) and name in defs and name not in seen:
-                seen.add(name)
-                todo.append((defs[name], f"{path}/$ref({name})"))
+        visited += 1
+        if visited > MOST_NODES:
+            return ["#: references unfold to too many schemas"], []
+        if "$ref" in node:
+            ref = node["$ref"]
+            name = ref.rpartition("/")[2] if isinstance(ref, str) and ref.startswith(("#/$defs/", "#/definitions/")) else None
+            if isinstance(defs, dict) and name in defs and ref not in seen:
+                todo.append((defs[name], f"{path}/$ref({name})", seen | {ref}))
             continue
-        kind = node.get("type")
-        if kind == "array" or "items" in node or "prefixItems" in node:
-            items = node.get("items")
-            if "items" in node and not isinstance(items, (dict, bool)):
-                errors.add(f"{path}: items must be a schema")
-            errors.update(f"{path}: {k}" for k in ARRAY_ERRORS if k in node)
-            warnings.update(f"{path}: {k}" for k in ARRAY_WARNINGS if k in node)
-            todo += [(items, f"{path}/items"), (node.get("unevaluatedItems"), f"{path}/unevaluatedItems")]
-            if isinstance(node.get("prefixItems"), list):
-                todo += [(x, f"{path}/prefixItems/{i}") for i, x in enumerate(node["prefixItems"])]
-        if kind == "object" or "properties" in node:
-            errors.update(f"{path}: {k}" for k in OBJECT_ERRORS if k in node)
-            for group in ("properties", "patternProperties"):
-                if isinstance(node.get(group), dict):
-                    todo += [(x, f"{path}/{group}/{k}") for k, x in node[group].items()]
-            todo.append((node.get("additionalProperties"), f"{path}/additionalProperties"))
-        if kind == "string":
-            warnings.update(f"{path}: {k}" for k in STRING_WARNINGS if k in node)
-        warnings.update(f"{path}: {k}" for k in ("if", "not") if isinstance(node.get(k), dict))
-        for group in ("anyOf", "oneOf", "allOf"):
-            if isinstance(node.get(group), list):
-                todo += [(x, f"{path}/{group}/{i}") for i, x in enumerate(node[group])]
+        own_errors, own_warnings = node_findings(node)
+        errors.update(f"{path}: {x}" for x in own_errors)
+        warnings.update(f"{path}: {x}" for x in own_warnings)
+        todo += [(x, at, seen) for x, at in node_children(node, path)]
     return sorted(errors), sorted(warnings)
 
 

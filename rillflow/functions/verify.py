@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import _col, normalize_answer, normalize_question
+from rillflow.functions.text import after_think, _col, normalize_answer, normalize_question
 
 INT_TEXT = r"^[+-]?(0[xX](_?[0-9a-fA-F])+|0[oO](_?[0-7])+|0[bB](_?[01])+|0(_?0)*|[1-9](_?[0-9])*)$"
 FLOAT_TEXT = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$"
@@ -162,5 +162,5 @@ def context_shifted(arguments: Column | str, question: Column | str) -> Column:
 
 
 def yes_no(reply: Column | str) -> Column:
-    """A judge's reply as a boolean: true only if it begins with yes."""
-    return F.coalesce(F.startswith(F.lower(F.ltrim(_col(reply))), F.lit("yes")), F.lit(False))
+    """A judge's reply as a boolean: true only if it begins with yes, after what it thought."""
+    return F.coalesce(F.startswith(F.lower(F.regexp_replace(after_think(_col(reply)), r"^\s+", "")), F.lit("yes")), F.lit(False))

@@ -41,24 +41,29 @@ def newest(pool: DataFrame, n: int, category: str = "category") -> DataFrame:
     return pool.withColumn("rn", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("seq")))).where(F.col("rn") <= n)
 
 
-def distractors(prompts: DataFrame, pool: DataFrame, n: int, seed: int, prompt: str = "prompt_index", category: str = "category") -> DataFrame:
+def distractors(prompts: DataFrame, pool: DataFrame, n: int, seed: int, prompt: str | list[str] = "prompt_index", category: str = "category") -> DataFrame:
     """(prompt, category of the tool, seq): tools of n other categories, one of each, reproducibly at random.
 
-    The pool has at most cap rows a category. Each prompt draws its categories by rank from a shuffled list that is shared
-    by all prompts and offset by a hash, so prompts are matched on list positions, not paired with the whole pool.
+    Every prompt goes through the categories in an order of its own: from a place and by a step that its hash gives, modulo
+    a prime, so it meets each once. Prompts are matched on places in the list, not paired with the whole pool, which has at
+    most cap rows a category.
     """
+    keys = [prompt] if isinstance(prompt, str) else list(prompt)
     names = pool.select(category).distinct()
     listed = names.withColumn("pos", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), category), category)) - 1)  # one row per category
     total = listed.count()
     if total == 0 or n <= 0:
-        return prompts.select(prompt, F.lit(None).cast("string").alias(category), F.lit(None).cast("long").alias("seq")).limit(0)
-    draws = prompts.select(prompt, F.col(category).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(min(n, total - 1)))).alias("k"))
-    draws = draws.withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), prompt) + F.col("k"), F.lit(total)))
+        return prompts.select(*keys, F.lit(None).cast("string").alias(category), F.lit(None).cast("long").alias("seq")).limit(0)
+    prime = next(p for p in range(max(2, total), 2 * total + 2) if all(p % d for d in range(2, int(p**0.5) + 1)))
+    looks = min(prime, n + 1 + prime - total)  # its own category and the places that no category has may be among them
+    place, step = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(prime)), 1 + F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(max(1, prime - 1)))
+    draws = prompts.select(*keys, F.col(category).alias("own"), place.alias("place"), step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(looks - 1))).alias("k"))
+    draws = draws.select(*keys, "own", "k", F.pmod(F.col("place") + F.col("k") * F.col("step"), F.lit(prime)).alias("pos"))
     sized = pool.groupBy(category).agg(F.array_sort(F.collect_list("seq")).alias("seqs"))  # at most cap numbers
     got = draws.join(listed, "pos").where(~F.col(category).eqNullSafe(F.col("own"))).join(sized, category)
-    got = got.withColumn("rn", F.row_number().over(Window.partitionBy(prompt).orderBy("k"))).where(F.col("rn") <= n)
-    pick = F.pmod(F.xxhash64(F.lit(seed), prompt, category), F.size("seqs")).cast("int") + 1
-    return got.select(prompt, category, F.element_at("seqs", pick).alias("seq"))
+    got = got.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("k"))).where(F.col("rn") <= n)
+    pick = F.pmod(F.xxhash64(F.lit(seed + 2), *keys, category), F.size("seqs")).cast("int") + 1
+    return got.select(*keys, category, F.element_at("seqs", pick).alias("seq"))
 
 
 def admit(scored: DataFrame) -> DataFrame:
@@ -69,20 +74,33 @@ def counts(pool: DataFrame, category: str = "category") -> DataFrame:
     return pool.groupBy(category).agg(F.count("*").alias("n"))
 
 
-def merge_schemas(entries: DataFrame, prompt: str = "prompt_index") -> DataFrame:
+def add_builds(pool: DataFrame, scored: DataFrame, order: list[str], cap: int = POOL_CAP) -> DataFrame:
+    """The pool (category, seq, quality, code, tools) after the batch's admitted builds, added in order of `order`.
+
+    Numbers go on from the greatest of each category, so a batch is one run of the same fold.
+    """
+    own = pool.groupBy("category").agg(F.max("seq").alias("last"))
+    new = admit(scored).withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    new = new.join(own, "category", "left").select("category", (F.coalesce("last", F.lit(0)) + F.col("n")).alias("seq"), F.col("build_eval_reward").alias("quality"), "code", "tools")
+    return pool_state(pool.select("category", "seq", "quality", "code", "tools").unionByName(new), cap)
+
+
+def merge_schemas(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Tools of several pool entries for one prompt: the first entry with a function name gives its definition; entries that
-    give none add no code. entries: (prompt, pos, code, tools)."""
-    each = entries.select(prompt, "pos", "code", F.posexplode("tools").alias("at", "tool"))
-    first = each.withColumn("rn", F.row_number().over(Window.partitionBy(prompt, "tool.name").orderBy("pos", "at"))).where("rn = 1")
-    tools = first.groupBy(prompt).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at", "tool"))), lambda x: x["tool"]).alias("tools"))
-    codes = first.select(prompt, "pos", "code").distinct().groupBy(prompt).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "\n\n").alias("code"))
-    return tools.join(codes, prompt)
+    give none add no code. entries: (keys, pos, code, tools); keys name a prompt of a batch."""
+    keys = keys or ["batch_id", "prompt_index"]
+    each = entries.select(*keys, "pos", "code", F.posexplode("tools").alias("at", "tool"))
+    first = each.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "tool.name").orderBy("pos", "at"))).where("rn = 1")
+    tools = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at", "tool"))), lambda x: x["tool"]).alias("tools"))
+    codes = first.select(*keys, "pos", "code").distinct().groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "\n\n").alias("code"))
+    return tools.join(codes, keys)
 
 
 def evict_registry(sessions: DataFrame, most: int = 10_000) -> DataFrame:
-    """Drops the older half of the registered sessions when there are more than `most`."""
+    """Drops the older half (rounded down) of the registered sessions, by seq, when there are more than `most`."""
     total = sessions.count()
     if total <= most:
         return sessions
-    cut = sessions.agg(F.percentile_approx("seq", 0.5, 10_000).alias("m")).first()["m"]
-    return sessions.where(F.col("seq") > cut)
+    place = F.struct("seq", "session_id")
+    cut = sessions.select(place.alias("place")).orderBy("place").offset(total // 2 - 1).limit(1)  # the last one that goes
+    return sessions.join(F.broadcast(cut), place > F.col("place")).drop("place")

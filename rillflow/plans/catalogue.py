@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions import jsonx, numbers, pycode, text, verify
@@ -125,10 +125,11 @@ def capped_bands(spark, sf_dir):
     return rows.cumulative_cap(d, "lang", "doc_id", 60).select("doc_id", "lang")
 
 
-@query("SELECT doc_id, lang FROM documents a WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang = 'en' AND b.doc_id % 2 = 1 AND a.text = b.text) AND doc_id % 2 = 0")
+@query("SELECT doc_id, lang FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 1 AND a.text = b.text) AND (doc_id % 2 = 1) IS NOT TRUE")
 def cross_split_anti(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return rows.without_overlap(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "text").select("doc_id", "lang")
+    """The two splits are the odd ids and the rest; of the rest, the rows whose text the odd ones do not hold."""
+    d = table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 2 == 1, "train").otherwise("test"))
+    return rows.without_overlap(d.where("split = 'test'"), d.where("split = 'train'"), "text").select("doc_id", "lang")
 
 
 # ---- part: extraction and matching -----------------------------------------------------------------------------
@@ -324,11 +325,16 @@ def pool_evict(spark, sf_dir):
     return pool.pool_state(_tools(spark, sf_dir)).select("category", "seq", "quality")
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT p_brand AS category FROM part), n AS (SELECT count(*) AS n FROM c)
+SELECT o_orderkey AS prompt_index, CAST(least(3, n - CASE WHEN c.category IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS picks, CAST(least(3, n - CASE WHEN c.category IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS categories, 0::BIGINT AS own, 0::BIGINT AS strangers
+FROM orders CROSS JOIN n LEFT JOIN c ON c.category = 'Brand#' || (o_orderkey % 60)""")
 def pool_distractors(spark, sf_dir):
+    """Per prompt: tools drawn, their categories, draws from its own category, and draws that the pool does not hold."""
     tools = pool.pool_state(_tools(spark, sf_dir))
     prompts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("prompt_index"), F.concat(F.lit("Brand#"), F.col("o_orderkey") % 60).alias("category"))
-    return pool.distractors(prompts, tools, 2, 7)
+    drawn = pool.distractors(prompts, tools, 3, 7).join(prompts.select("prompt_index", F.col("category").alias("mine")), "prompt_index")
+    drawn = drawn.join(tools.select("category", "seq", F.lit(True).alias("there")), ["category", "seq"], "left")
+    return drawn.groupBy("prompt_index").agg(F.count("*").alias("picks"), F.count_distinct("category").alias("categories"), F.count_if(F.col("category") == F.col("mine")).alias("own"), F.count_if(F.col("there").isNull()).alias("strangers"))
 
 
 @query("SELECT p_brand AS task, p_partkey AS attempt, p_retailprice AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
@@ -401,25 +407,72 @@ def hanoi(spark, sf_dir):
 
 
 # ---- code, schemas, tools, tasks, whole rollouts ---------------------------------------------------------------
-@query()
+#: Source texts by p_partkey % 5, where {k} is the key: parses, names of functions, parameters of the first.
+_SOURCES = [
+    ("def f{k}(a, b):\\n    return a +\\n", "false", "''", "''"),
+    ("def f{k}(a, b):\\n    return g(a)\\ndef g(x):\\n    return x\\n", "true", "'f' || p_partkey || ',g'", "'a,b'"),
+    ("class C{k}:\\n    def __init__(self, p):\\n        self.p = p\\n", "true", "'__init__'", "'self,p'"),
+    ("async def f{k}(z):\\n    return z\\n", "true", "''", "''"),
+    ("x = {k}\\nif x:\\n    def late{k}(q, *rest, w=1):\\n        return w\\n", "true", "'late' || p_partkey", "'q'"),
+]
+
+
+def _case(key: str, values: list[str]) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{_case('p_partkey', [x[i] for x in _SOURCES])} AS {name}" for i, name in ((1, "ok"), (2, "names"), (3, "params"))) + " FROM part")
 def ast_facts(spark, sf_dir):
-    code = F.concat(F.lit("def f"), "p_partkey", F.lit("(a, b):\n    return a"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" +")).otherwise(F.lit("")), F.lit("\n"))
+    code = F.expr(_case("p_partkey", [f"replace('{x[0]}', '{{k}}', CAST(p_partkey AS STRING))" for x in _SOURCES]))
     p = table(spark, sf_dir, "part").select("p_partkey", pycode.py_facts(code).alias("facts"))
     return p.select("p_partkey", F.col("facts")["ok"].alias("ok"), F.array_join(pycode.function_names("facts"), ",").alias("names"), F.array_join(pycode.first_params("facts"), ",").alias("params"))
 
 
-@query()
+def _tool(function: object, **more: object) -> str:
+    return json.dumps([{"function": function, **more}])
+
+
+def _function(**change: object) -> dict:
+    own = {"name": "f", "description": "", "parameters": {"type": "object", "properties": {"a": {"type": "string"}}, "required": ["a"]}}
+    return {k: v for k, v in {**own, **change}.items() if v != "-"}
+
+
+def _parameters(properties: object, **more: object) -> dict:
+    return _function(parameters={"type": "object", "properties": properties, **more})
+
+
+#: Tool schemas: the text, the reason it is refused for, and the errors and warnings of its first function's parameters.
+_SCHEMAS: list[tuple[str, str | None, int, int]] = [
+    (_tool(_function()), None, 0, 0), (_tool(_function(), type="function"), None, 0, 0), ("[{", "invalid_json", 1, 0), ("[]", "not_a_nonempty_list", 1, 0), ("[1]", "tool_not_object", 1, 0),
+    (_tool(_function()).replace("function", "other"), "function_not_object", 1, 0), (_tool(_function(name=" ")), "missing_name", 0, 0), (_tool(_function(description="-")), "missing_description", 0, 0), (_tool(_function(description=1)), "description_not_string", 0, 0),
+    (_tool(_function(parameters=3)), "parameters_not_object", 1, 0), (_tool(_function(parameters={"type": "array", "uniqueItems": True, "minItems": 1})), "parameters_type_not_object", 1, 1), (_tool(_function(parameters={"type": "object"})), "properties_not_object", 0, 0),
+    (_tool(_parameters({"a": True})), "property_not_object", 0, 0), (_tool(_parameters({"a": {}})), "property_without_type", 0, 0), (_tool(_parameters({"a": {"type": ["string", "text"]}})), "property_type_unknown", 0, 0), (_tool(_parameters({"a": {"type": ["string", "null"]}})), None, 0, 0),
+    (_tool(_parameters({}, required="a")), "required_not_list", 0, 0), (_tool(_parameters({}, required=[1])), "required_not_string", 0, 0), (_tool(_parameters({}, required=["b"])), "required_not_in_properties", 0, 0),
+    (_tool(_parameters({"a": {"type": "array", "items": [{"type": "string"}]}})), None, 1, 0), (_tool(_parameters({"a": {"type": "array", "items": None, "maxItems": 2, "contains": {}}})), None, 1, 1), (_tool(_parameters({"a": {"type": "string", "contentEncoding": "base64"}, "b": {"type": "object", "not": {}, "dependentSchemas": {}}})), None, 1, 2),
+    (_tool(_parameters({"a": {"type": "object", "anyOf": [{"$ref": "#/$defs/x"}, {"$ref": "#/$defs/x"}]}}, **{"$defs": {"x": {"type": "array", "uniqueItems": True, "items": {"$ref": "#/$defs/x"}}}})), None, 2, 0),
+]
+
+
+@query("SELECT p_partkey, " + _case("p_partkey", ["'ok'" if r is None else f"'{r}'" for _, r, _, _ in _SCHEMAS]) + " AS problem, CAST(" + _case("p_partkey", [str(e) for _, _, e, _ in _SCHEMAS]) + " AS INTEGER) AS errors, CAST(" + _case("p_partkey", [str(w) for *_, w in _SCHEMAS]) + " AS INTEGER) AS warnings FROM part")
 def schema_checks(spark, sf_dir):
-    props = F.when(F.col("p_partkey") % 2 == 0, F.lit('{"type": "array", "items": [{"type": "string"}]}')).otherwise(F.lit('{"type": "array", "minItems": 1}'))
-    schema = F.concat(F.lit('[{"type": "function", "function": {"name": "'), "p_brand", F.lit('", "parameters": {"type": "object", "properties": {"a": '), props, F.lit('}, "required": ["a"]}}}]'))
-    p = table(spark, sf_dir, "part").select("p_partkey", schema.alias("schema")).withColumn("tools", jsonx.tool_definitions("schema")).withColumn("c", jsonx.schema_compat(F.try_element_at("tools", F.lit(1))["parameters"]))
-    return p.select("p_partkey", jsonx.tool_schema_check("schema")["ok"].alias("valid"), F.array_join(jsonx.param_names("tools"), ",").alias("params"), F.size(F.col("c")["errors"]).alias("errors"), F.size(F.col("c")["warnings"]).alias("warnings"))
+    """What is wrong with tool schemas of every kind of fault, and what a grammar could not hold of their parameters."""
+    schema = F.element_at(F.array(*[F.lit(x[0]) for x in _SCHEMAS]), (F.col("p_partkey") % len(_SCHEMAS) + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", schema.alias("schema")).withColumn("tools", jsonx.tool_definitions("schema"))
+    p = p.withColumn("c", jsonx.schema_compat(F.try_element_at("tools", F.lit(1))["parameters"])).withColumn("checked", jsonx.tool_schema_check("schema"))
+    return p.select("p_partkey", F.coalesce(F.col("checked")["reason"], F.lit("ok")).alias("problem"), F.size(F.col("c")["errors"]).alias("errors"), F.size(F.col("c")["warnings"]).alias("warnings"))
 
 
-@query()
+@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 < 2 THEN 'Error' ELSE 'Success' END AS status,
+  CASE n_nationkey % 5 WHEN 0 THEN 'Error: ' WHEN 1 THEN 'Error: arguments must be a JSON object' WHEN 2 THEN '(no output)' ELSE CAST(2 * n_nationkey AS VARCHAR) END AS tool_result,
+  CASE WHEN n_nationkey % 5 < 2 THEN -0.2::DOUBLE ELSE 0.3::DOUBLE END AS reward_delta FROM nation""")
 def tool_execution(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit("def twice(x):\n    return 2 * x").alias("code"), F.lit("twice").alias("function"), F.concat(F.lit('{"x": '), "n_nationkey", F.lit("}")).alias("args"), F.lit(10).alias("timeout"))
-    return execute.execute_jobs(n).select("id", "status", "tool_result", "reward_delta")
+    """Tools that answer, fail, say nothing, or get no object of arguments; of a failure's message only its beginning."""
+    kind = F.col("n_nationkey") % 5
+    code = F.when(kind == 0, F.lit("def twice(x):\n    raise ValueError(x)")).when(kind == 2, F.lit("def twice(x):\n    return ''")).otherwise(F.lit("def twice(x):\n    return 2 * x"))
+    args = F.when(kind == 1, F.lit("[1]")).otherwise(F.concat(F.lit('{"x": '), "n_nationkey", F.lit("}")))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), code.alias("code"), F.lit("twice").alias("function"), args.alias("args"), F.lit(10).alias("timeout"))
+    said = F.when(F.col("id") % 5 == 0, F.left("tool_result", F.lit(7))).otherwise(F.col("tool_result"))
+    return execute.execute_jobs(n).select("id", "status", said.alias("tool_result"), "reward_delta")
 
 
 def _task_query(task: str):
@@ -443,22 +496,45 @@ def task_verified(spark, sf_dir):
     return out
 
 
-@query()
+@query("""
+WITH u AS (SELECT n_nationkey AS k FROM nation)
+SELECT 'b' || (k % 2) AS batch_id, CAST(k AS BIGINT) AS prompt_index, 'use' AS kind, CAST(CASE WHEN k % 5 = 0 THEN -1 ELSE 2 * k END AS VARCHAR) AS answer, CAST(k % 5 <> 0 AS INTEGER) AS correct,
+  NULL::VARCHAR AS reason, NULL::DOUBLE AS score, 0.2::DOUBLE AS env_reward FROM u
+UNION ALL SELECT 'b' || (k % 2), 1000 + k, 'build', NULL, NULL, CASE WHEN k % 4 = 2 THEN 'schema_function_mismatch' END, CASE k % 4 WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE 2.0 END, CASE k % 4 WHEN 1 THEN 1.5 WHEN 2 THEN 0.0 ELSE 2.5 END FROM u""")
 def rollout_batch(spark, sf_dir):
-    """A batch of use prompts answered by replay: one tool call, then an answer; rewards per row."""
+    """Two batches answered by replay: use prompts with one tool call and an answer, and builds (right, wrong, or not fitting
+    their schema) that are run on two test questions."""
     from rillflow.sources.replay import batch_folder
 
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    meta = F.to_json(F.struct(F.concat(F.lit("double-train-"), "k").alias("id"), F.lit("use").alias("task_type"), F.concat(F.lit("Twice "), "k").alias("target_question"), (2 * F.col("k")).cast("string").alias("target_answer")))
-    prompts = n.select(F.lit("b0").alias("batch_id"), F.col("k").alias("prompt_index"), F.concat(F.lit("Go <tool_rl_metadata>"), meta, F.lit("</tool_rl_metadata>")).alias("prompt"))
-    schema = json.dumps([{"type": "function", "function": {"name": "twice", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}}, "required": ["x"]}}}])
-    tools = spark.range(1).select(F.lit("double").alias("category"), F.lit(1).cast("long").alias("seq"), F.lit("def twice(x):\n    return 2 * x").alias("code"), jsonx.tool_definitions(F.lit(schema)).alias("tools"))
-    first = F.concat(F.lit('<tool_call>{"name": "twice", "arguments": {"x": '), "k", F.lit("}}</tool_call>"))
-    asked = F.concat(F.lit("Twice "), "k")
-    told = F.concat(asked, F.lit("\n"), first, F.lit("\n\nTool result: "), 2 * F.col("k"))
-    replies = n.select(asked.alias("prompt"), F.lit(0).alias("turn"), first.alias("reply")).unionByName(n.select(told.alias("prompt"), F.lit(1).alias("turn"), F.concat(F.lit("\\boxed{"), F.when(F.col("k") % 5 == 0, F.lit(-1)).otherwise(2 * F.col("k")), F.lit("}")).alias("reply")))
-    use, _ = rollout.rollout(prompts, tools, execute.ReplayClient(replies), batch_folder(spark))
-    return use.select("batch_id", "prompt_index", "category", "answer", "target_answer", "correct", "turns", F.round("tool_exec_norm", 6).alias("tool_exec_norm"), F.round("env_reward", 6).alias("env_reward"), F.round("use_correct_reward", 6).alias("use_correct_reward"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    batch = F.concat(F.lit("b"), F.col("k") % 2)
+    fence = "`" * 3
+    tests = F.array(*[F.struct(F.lit(f"Thrice {i}").alias("question"), F.lit(str(3 * i)).alias("answer")) for i in (1, 2)])
+    use = F.to_json(F.struct(F.concat(F.lit("double-train-"), "k").alias("id"), F.lit("use").alias("task_type"), F.concat(F.lit("Twice "), "k").alias("target_question"), (2 * F.col("k")).cast("string").alias("target_answer")))
+    build = F.to_json(F.struct(F.concat(F.lit("triple-train-"), "k").alias("id"), F.lit("build").alias("task_type"), tests.alias("tool_test_set")))
+    marked = lambda said, meta: F.concat(said, F.lit(" <tool_rl_metadata>"), meta, F.lit("</tool_rl_metadata>"))
+    uses = n.select(batch.alias("batch_id"), F.col("k").alias("prompt_index"), marked(F.lit("Go"), use).alias("prompt"))
+    builds = n.select(batch.alias("batch_id"), (1000 + F.col("k")).alias("prompt_index"), marked(F.concat(F.lit("Build "), "k"), build).alias("prompt"), "k")
+    tool = lambda name: json.dumps([{"type": "function", "function": {"name": name, "description": "", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}}, "required": ["x"]}}}])
+    tools = spark.range(1).select(F.lit("double").alias("category"), F.lit(1).cast("long").alias("seq"), F.lit(0.5).alias("quality"), F.lit("def twice(x):\n    return 2 * x").alias("code"), jsonx.tool_definitions(F.lit(tool("twice"))).alias("tools"))
+
+    def answered(rows: DataFrame, asked: Column, name: str, x: Column, result: Column, answer: Column) -> DataFrame:
+        call = F.concat(F.lit(f'<tool_call>{{"name": "{name}", "arguments": {{"x": '), x, F.lit("}}</tool_call>"))
+        told = F.concat(asked, F.lit("\n"), call, F.lit("\n\nTool result: "), result)
+        first = rows.select(asked.alias("prompt"), F.lit(0).alias("turn"), call.alias("reply"))
+        return first.unionByName(rows.select(told.alias("prompt"), F.lit(1).alias("turn"), F.concat(F.lit("\\boxed{"), answer, F.lit("}")).alias("reply")))
+
+    factor = F.when(F.col("k") % 4 == 1, 4).otherwise(3)
+    body = F.concat(F.lit(f"{fence}python\ndef thrice(x):\n    return "), factor, F.lit(f" * x\n{fence}\n{fence}json\n"), F.when(F.col("k") % 4 == 2, F.lit(tool("other"))).otherwise(F.lit(tool("thrice"))), F.lit(f"\n{fence}"))
+    asked = F.concat(F.lit("Thrice "), "i")
+    trials = spark.range(1, 3).select(F.col("id").alias("i"), F.explode(F.array(F.lit(3), F.lit(4))).alias("by"))
+    replies = answered(n, F.concat(F.lit("Twice "), "k"), "twice", F.col("k"), 2 * F.col("k"), F.when(F.col("k") % 5 == 0, F.lit(-1)).otherwise(2 * F.col("k")))
+    replies = replies.unionByName(builds.select(text.strip_metadata("prompt").alias("prompt"), F.lit(0).alias("turn"), body.alias("reply")))
+    replies = replies.unionByName(answered(trials, asked, "thrice", F.col("i"), F.col("by") * F.col("i"), F.col("by") * F.col("i"))).distinct()
+    used, scored, _ = rollout.rollout(uses.unionByName(builds.drop("k")), tools, execute.ReplayClient(replies), batch_folder(spark))
+    left = used.select("batch_id", "prompt_index", F.lit("use").alias("kind"), "answer", "correct", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("score"), F.round("env_reward", 6).alias("env_reward"))
+    right = scored.select("batch_id", "prompt_index", F.lit("build").alias("kind"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("int").alias("correct"), F.col("step1_failure_reason").alias("reason"), "score", F.round("env_reward", 6).alias("env_reward"))
+    return left.unionByName(right)
 
 
 @query()

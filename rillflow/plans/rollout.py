@@ -7,14 +7,17 @@ number of steps; each step's states are written down, so a retried task repeats
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions import jsonx, pycode, text, verify
-from rillflow.operators import execute, pool, rewards
+from rillflow.operators import execute, pool, rewards, scoring
 from rillflow.operators.execute import ModelClient
 
+PROMPT = ["batch_id", "prompt_index"]
+Counter = Callable[[Column], Column]
 META = "struct<id:string,task_type:string,target_question:string,target_answer:string,tool_test_set:array<struct<question:string,answer:string>>>"
 
 
@@ -41,9 +44,10 @@ def gate_builds(outputs: DataFrame, reply: str = "reply") -> DataFrame:
     return rows.withColumn("step1", rewards.gate_rewards("step1_failure_reason", "format_ok")).select(*outputs.columns, "code", "tools", "format_ok", "step1_failure_reason", "step1.*")
 
 
-def use_turn(states: DataFrame, client: ModelClient, turn: int, timeout: int = 30) -> DataFrame:
-    """One turn of active states (prompt, code, tools, answer, tool_exec_raw, turns, done)."""
-    active = states.where("NOT done").withColumn("turn", F.lit(turn))
+def use_turn(states: DataFrame, client: ModelClient, turn: int, timeout: int = 30, count_tokens: Counter | None = None, max_model_len: int | None = None) -> DataFrame:
+    """One turn of active states (prompt, code, tools, answer, tool_exec_raw, turns, tool_ok, too_long, done)."""
+    short = scoring.fits("prompt", count_tokens, max_model_len)
+    active = states.where(~F.col("done") & short).withColumn("turn", F.lit(turn))
     got = client.generate(active).withColumn("said", F.coalesce("reply", F.lit("")))
     got = got.withColumn("answer", text.answer_boxed("said"))
     call = F.try_element_at(text.tool_call_blocks("said"), F.lit(1))
@@ -54,31 +58,61 @@ def use_turn(states: DataFrame, client: ModelClient, turn: int, timeout: int = 3
     jobs = got.where("answer IS NULL AND function IS NOT NULL").withColumn("args", plain).withColumn("timeout", F.lit(timeout))
     ran = execute.execute_jobs(jobs.select(*got.columns, "args", "timeout"))
     ran = ran.withColumn("tool_exec_raw", F.col("tool_exec_raw") + F.col("reward_delta")).withColumn("prompt", F.concat("prompt", F.lit("\n"), "said", F.lit("\n\nTool result: "), "tool_result")).withColumn("turns", F.col("turns") + 1)
+    ran = ran.withColumn("tool_ok", F.col("tool_ok") + (F.col("status") == "Success").cast("int"))
     rest = got.where("answer IS NOT NULL OR function IS NULL").withColumn("done", F.lit(True))
-    return states.where("done").unionByName(rest.select(*states.columns)).unionByName(ran.select(*states.columns))
+    long = states.where(~F.col("done") & ~short).withColumn("done", F.lit(True)).withColumn("too_long", F.lit(True))
+    return states.where("done").unionByName(long).unionByName(rest.select(*states.columns)).unionByName(ran.select(*states.columns))
 
 
-def run_use(states: DataFrame, client: ModelClient, folder: str, max_iters: int = 5) -> DataFrame:
+def run_use(states: DataFrame, client: ModelClient, folder: str, max_iters: int = 5, count_tokens: Counter | None = None, max_model_len: int | None = None) -> DataFrame:
     """Turns until none is active, at most max_iters; every turn is written to `folder`."""
     spark = states.sparkSession
-    rows = states.withColumns({"answer": F.lit(None).cast("string"), "tool_exec_raw": F.lit(0.0), "turns": F.lit(0), "done": F.lit(False)})
+    rows = states.withColumns({"answer": F.lit(None).cast("string"), "tool_exec_raw": F.lit(0.0), "turns": F.lit(0), "tool_ok": F.lit(0), "too_long": F.lit(False), "done": F.lit(False)})
     for turn in range(max_iters):
         path = f"{folder}/turn-{turn}-{uuid.uuid4().hex}"
-        use_turn(rows, client, turn).write.parquet(path)
+        use_turn(rows, client, turn, count_tokens=count_tokens, max_model_len=max_model_len).write.parquet(path)
         rows = spark.read.schema(rows.schema).parquet(path)
         if rows.where("NOT done").isEmpty():
             break
     return rows.withColumn("correct", F.coalesce(verify.answers_match("answer", "target_answer"), F.lit(False)).cast("int"))
 
 
-def rollout(prompts: DataFrame, tools: DataFrame, client: ModelClient, folder: str, max_tools: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(use rows with rewards, gated build rows). tools: the pool's snapshot (category, seq, code, tools)."""
+def offered_tools(use: DataFrame, tools: DataFrame, max_tools: int, max_distractors: int, seed: int) -> DataFrame:
+    """(batch_id, prompt_index, tools, code): for use prompts whose category the pool covers, its newest tools and some of
+    other categories, merged in an order shuffled for each prompt."""
+    picked = pool.newest(tools, max_tools).select("category", "seq", "code", "tools")
+    own = use.select(*PROMPT, "category").join(picked, "category").select(*PROMPT, "category", "seq", "code", "tools")
+    covered = own.select(*PROMPT, "category").distinct()
+    others = pool.distractors(covered, tools, max_distractors, seed, PROMPT).join(tools.select("category", "seq", "code", "tools"), ["category", "seq"])
+    every = own.unionByName(others.select(*own.columns))
+    return pool.merge_schemas(every.withColumn("pos", F.xxhash64(F.lit(seed), *PROMPT, "category", "seq")), PROMPT)
+
+
+def rollout(
+    prompts: DataFrame, tools: DataFrame, client: ModelClient, folder: str, max_tools: int = 2, max_distractors: int = 0, seed: int = 0, evaluator: ModelClient | None = None, judge: ModelClient | None = None,
+    partial: float = 0.0, colocated: bool = False, count_tokens: Counter | None = None, max_model_len: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(use rows with rewards, scored builds, the pool after the batch).
+
+    prompts: (batch_id, prompt_index, prompt), where only the pair names a prompt. tools: the pool's snapshot (category, seq,
+    quality, code, tools). Use prompts of covered categories go to the turns, all others build. Builds that pass the gates
+    are run on their own test questions by the evaluator (the client itself, if none is given) and enter the pool if they
+    score; a judge, if given, rates builds and settles answers that do not match.
+    """
     parsed = parse_prompts(prompts)
-    picked = pool.newest(tools, max_tools).select("category", F.col("rn").alias("pos"), "code", "tools")
-    covered = parsed.where(F.col("task_type") == "use").select("batch_id", "prompt_index", "category").join(picked, "category")
-    merged = pool.merge_schemas(covered, "prompt_index")
-    use = parsed.where(F.col("task_type") == "use").join(merged, "prompt_index").select("batch_id", "prompt_index", "category", F.col("meta")["target_question"].alias("prompt"), F.col("meta")["target_answer"].alias("target_answer"), "code", "tools")
-    use_rows = rewards.use_rewards(run_use(use, client, folder))
-    build = parsed.join(merged.select("prompt_index"), "prompt_index", "left_anti")
-    asked = client.generate(build.withColumn("prompt", F.col("clean_prompt")).withColumn("turn", F.lit(0)))
-    return use_rows, gate_builds(asked)
+    wanted = parsed.where(F.col("task_type") == "use")
+    merged = offered_tools(wanted, tools, max_tools, max_distractors, seed)
+    use = wanted.join(merged, PROMPT).select(*PROMPT, "category", F.col("meta")["target_question"].alias("prompt"), F.col("meta")["target_answer"].alias("target_answer"), "code", "tools")
+    used = run_use(use, client, folder, count_tokens=count_tokens, max_model_len=max_model_len)
+    used = rewards.use_rewards(scoring.judge_answers(used, judge) if judge else used)
+    build = parsed.join(merged.select(*PROMPT), PROMPT, "left_anti").withColumn("tests", F.col("meta")["tool_test_set"]).select(*PROMPT, "category", "tests", F.col("clean_prompt").alias("prompt"), F.lit(0).alias("turn"))
+    path = f"{folder}/builds-{uuid.uuid4().hex}"
+    gate_builds(client.generate(build)).write.parquet(path)  # read more than once from here on, asked and parsed once
+    gated = build.sparkSession.read.parquet(path)
+    questions = scoring.build_questions(gated.where("step1_failure_reason IS NULL"), "tests", PROMPT, least=scoring.LEAST_ITEMS if colocated else 1)
+    answered = run_use(questions, evaluator or client, folder, count_tokens=count_tokens, max_model_len=max_model_len)
+    scored = gated.join(scoring.build_evaluation(answered, PROMPT, partial, colocated), PROMPT, "left")
+    scored = scored.withColumn("env_reward", F.col("env_reward") + F.coalesce("build_eval_reward", F.lit(0.0)))
+    if judge:
+        scored = scoring.judge_builds(scored.withColumn("schema", F.try_element_at(text.code_blocks("reply", "json"), F.lit(-1))), judge, "tests").drop("schema")
+    return used, scored, pool.add_builds(tools, scored, PROMPT)
