@@ -6,7 +6,8 @@ role, and the shape of its text. The field has two states (main, other), weights
 transition; it is trained by gradient ascent of the likelihood on labelled pages (html_train) and decoded by Viterbi.
 
 Defined results: a null or empty page, or one without main text, gives the empty string; repeated pages are each
-extracted, alike; whole pages are read whatever their length; other columns are not used. A head without an end tag ends where the body or
+extracted, alike; whole pages are read whatever their length or depth; a comment or tag that the page does not end is no
+text; other columns are not used. A head without an end tag ends where the body or
 anything that cannot stand in a head begins. White space in a block
 (including <br>) becomes one space, character references are decoded, blocks are joined by one line feed in page order.
 """
@@ -14,6 +15,8 @@ anything that cannot stand in a head begins. White space in a block
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -34,48 +37,91 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 #: An open element of the first kind is closed by the start of one of the second, as the HTML standard has it.
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: An end tag does not reach beyond these, but its own.
+BARRIERS = ("body", "html", "table")
+#: Tags within an article that tell what is not its text.
+UNDER = frozenset("nav aside footer header form section div".split())
+#: What is left of a page that ends within a comment, declaration or tag.
+UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 LENGTHS = (20, 60, 120, 300, 800)
 HASHED = 1 << 12
 EPOCHS = 150
+#: Features whose weights a worker remembers before it starts afresh.
+HELD = 100_000
+#: Bytes of files, as they lie compressed, that a task reads about.
+TASK_BYTES = 4 << 20
+
+
+class Element:
+    """An open element, with what its leaves need to know of the elements around it. `new` names the features that no
+    element around it has, so a page's features take as much room as its tags, however deep they nest."""
+
+    __slots__ = ("tag", "parent", "new", "block", "under", "hidden", "linked")
+
+    def __init__(self, tag: str, parent: Element | None, new: list[str]) -> None:
+        self.tag, self.parent, self.new = tag, parent, new
+        shown = tag in BLOCKS and tag not in ("html", "body")
+        self.block = tag if shown else parent.block if parent else ""
+        self.under = frozenset() if tag in ("article", "main") else parent.under if parent else None
+        if self.under is not None and tag in UNDER:
+            self.under |= {tag}
+        self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
+        self.linked = tag == "a" or bool(parent and parent.linked)
 
 
 class _Leaves(HTMLParser):
-    """Collects (ancestors, text, characters inside links); ancestors are (tag, hints) from the outermost in."""
+    """Collects (innermost open element, text, characters inside links). Every step costs the same however deep it is."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.leaves: list[tuple[list, str, int]] = []
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.known: Counter = Counter()
+        self.leaves: list[tuple[Element | None, str, int]] = []
         self.parts: list[str] = []
         self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.leaves.append((list(self.stack), text, self.linked))
+            self.leaves.append((self.stack[-1] if self.stack else None, text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _push(self, tag: str, attrs: list) -> None:
+        words = re.split(r"[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower())
+        own = {f"hint={w}" for w in words if w} | (set() if tag in ("html", "body") else {f"in={tag}"})
+        new = sorted(f for f in own if not self.known[f])
+        self.known.update(new)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(tag, self.stack[-1] if self.stack else None, new))
+
     def _pop_to(self, at: int) -> None:
-        del self.stack[at:]
+        while len(self.stack) > at:
+            gone = self.stack.pop()
+            self.places[gone.tag].pop()
+            self.known.subtract(gone.new)
+
+    def _last(self, tag: str) -> int:
+        """Where the innermost open element of that tag stands, or -1."""
+        return self.places[tag][-1] if self.places.get(tag) else -1
 
     def _end_head(self) -> None:
-        if self.stack and self.stack[-1][0] == "head":
+        if self.stack and self.stack[-1].tag == "head":
             self.flush()
-            self.stack.pop()
+            self._pop_to(len(self.stack) - 1)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "head" and any(t != "html" for t, _ in self.stack):
+        if tag == "head" and len(self.stack) > len(self.places.get("html", ())):
             return  # only the first head of a page is one
         if tag == "body":
-            at = next((i for i, (t, _) in enumerate(self.stack) if t == "head"), None)
-            if at is not None:
-                self._pop_to(at)
+            if self.places.get("head"):
+                self._pop_to(self.places["head"][0])
         elif tag not in IN_HEAD:
             self._end_head()
         if tag in BLOCKS:
             self.flush()
             for i in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[i][0]
+                name = self.stack[i].tag
                 if name in CLOSED_BY_BLOCK or tag in SIBLINGS.get(name, ()):
                     self._pop_to(i)
                     break
@@ -84,8 +130,7 @@ class _Leaves(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
-            words = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-            self.stack.append((tag, tuple(w for w in re.split(r"[^a-z]+", words.lower()) if w)))
+            self._push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -95,44 +140,49 @@ class _Leaves(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop_to(i)
-                break
-            if self.stack[i][0] in ("body", "html", "table") and tag not in ("body", "html", "table"):
-                break
+        at = self._last(tag)
+        if at >= 0 and (tag in BARRIERS or at > max(map(self._last, BARRIERS))):
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if data.strip():
             self._end_head()
-        if any(t in HIDDEN for t, _ in self.stack):
+        inside = self.stack[-1] if self.stack else None
+        if inside and inside.hidden:
             return
         self.parts.append(data)
-        if any(t == "a" for t, _ in self.stack):
+        if inside and inside.linked:
             self.linked += len(data.strip())
 
 
-def leaves(html: str) -> list[tuple[list, str, int]]:
+def leaves(html: str) -> list[tuple[Element | None, str, int]]:
     reader = _Leaves()
     reader.feed(html)
+    if UNENDED.match(reader.rawdata):  # a comment or tag that the page does not end is no text
+        reader.rawdata = ""
     reader.close()
     reader.flush()
     return reader.leaves
 
 
-def features(block: tuple[list, str, int]) -> list[str]:
-    stack, text, linked = block
-    tags = [t for t, _ in stack if t not in ("html", "body")]
-    shown = [t for t in tags if t in BLOCKS]
-    out = ["bias", f"leaf={shown[-1] if shown else ''}", *{f"in={t}" for t in tags}, *{f"hint={h}" for _, hs in stack for h in hs}]
+def own_features(block: tuple[Element | None, str, int]) -> list[str]:
+    """The features of a leaf that are not its ancestors' tags and hints."""
+    element, text, linked = block
     share = linked / max(1, len(text))
-    out += [f"links={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}", f"length={sum(len(text) > x for x in LENGTHS)}"]
+    out = ["bias", f"leaf={element.block if element else ''}", f"links={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}", f"length={sum(len(text) > x for x in LENGTHS)}"]
     out.append("stop" if text[-1] in ".!?…:;。" else "nostop")
     if "©" in text:
         out.append("copyright")
-    main = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=-1)
-    if main >= 0:
-        out.append("under=" + "/".join(sorted({t for t in tags[main + 1 :] if t in ("nav", "aside", "footer", "header", "form", "section", "div")})))
+    if element and element.under is not None:
+        out.append("under=" + "/".join(sorted(element.under)))
+    return out
+
+
+def features(block: tuple[Element | None, str, int]) -> list[str]:
+    out, element = own_features(block), block[0]
+    while element:
+        out += element.new
+        element = element.parent
     return out
 
 
@@ -141,23 +191,54 @@ class Field:
 
     def __init__(self, emission: np.ndarray, transition: np.ndarray, start: np.ndarray) -> None:
         self.emission, self.transition, self.start = emission, transition, start
+        self.held: dict[str, tuple[float, float]] = {}
 
     @staticmethod
     def columns(names: list[str]) -> list[int]:
-        import zlib
-
         return [zlib.crc32(n.encode()) % (HASHED - 1) + 1 for n in names]
 
+    def weight(self, names: list[str], score: tuple[float, float] = (0.0, 0.0)) -> tuple[float, float]:
+        """score and the emission weights of features, as plain numbers: arrays of two cost more than the sums."""
+        main, other = score
+        for name in names:
+            got = self.held.get(name)
+            if got is None:
+                if len(self.held) >= HELD:
+                    self.held.clear()
+                got = self.held[name] = tuple(self.emission[self.columns([name])[0]].tolist())
+            main, other = main + got[0], other + got[1]
+        return main, other
+
+    def emissions(self, blocks: list[tuple[Element | None, str, int]]) -> np.ndarray:
+        """Each block's emission scores; those of its ancestors are summed once an element."""
+        known: dict[int, tuple[float, float]] = {}
+        out = []
+        for block in blocks:
+            chain, element = [], block[0]
+            while element and id(element) not in known:
+                chain.append(element)
+                element = element.parent
+            score = known[id(element)] if element else (0.0, 0.0)
+            for e in reversed(chain):
+                score = known[id(e)] = self.weight(e.new, score)
+            out.append(self.weight(own_features(block), score))
+        return np.array(out)
+
     def decode(self, rows: list[list[int]]) -> list[int]:
-        score = self.start + self.emission[rows[0]].sum(0)
+        return self.best_path(np.array([self.emission[r].sum(0) for r in rows]))
+
+    def best_path(self, emission: np.ndarray) -> list[int]:
+        """Viterbi."""
+        (aa, ab), (ba, bb) = self.transition.tolist()
+        a, b = (self.start + emission[0]).tolist()
         back = []
-        for r in rows[1:]:
-            step = score[:, None] + self.transition
-            back.append(step.argmax(0))
-            score = step.max(0) + self.emission[r].sum(0)
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
+        for ea, eb in emission[1:].tolist():
+            to_a, to_b = a + aa < b + ba, a + ab < b + bb
+            back.append((to_a, to_b))
+            a, b = (b + ba if to_a else a + aa) + ea, (b + bb if to_b else a + ab) + eb
+        path = [int(a < b)]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
         return path[::-1]
 
 
@@ -222,7 +303,7 @@ def main_text(html: str, field: Field) -> str:
     found = leaves(html)
     if not found:
         return ""
-    states = field.decode([Field.columns(features(b)) for b in found])
+    states = field.best_path(field.emissions(found))
     return "\n".join(t for (_, t, _), k in zip(found, states, strict=True) if k)
 
 
@@ -240,7 +321,13 @@ def extract(df: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id
     return rows.mapInPandas(read, f"{kinds}, text string")
 
 
+def dealt_by_size(pages: DataFrame) -> DataFrame:
+    """A scan dealt out evenly, whatever its keys, over as many tasks as its files' bytes ask for and all cores at least."""
+    size = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return pages.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, int(str(size)) // TASK_BYTES + 1))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One file of pages is dealt out before the Python work, which costs far more than the shuffle.
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").repartition(max(8, spark.sparkContext.defaultParallelism), "page_id")
+    # The Python work costs far more than the shuffle, and a table may be one file.
+    pages = dealt_by_size(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return extract(pages).withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 import zlib
 
 import duckdb
@@ -174,6 +175,34 @@ def test_html_open_head_and_formulas():
     assert html_text.main_text(formula, field) == "The sum is a+17 in all of the cases."
 
 
+def test_html_that_ends_within_markup():
+    field = html_text.default_field()
+    start = "<article><h1>A heading of it</h1><p>Good sentence, which is long enough to be read.</p>"
+    want = "A heading of it\nGood sentence, which is long enough to be read."
+    for end in ("<!-- unclosed <p>more text that is none</p>", '<a href="x', "</p", "<!DOCTYPE", "<?php echo"):
+        assert html_text.main_text(start + end, field) == want, end
+
+
+def test_deep_pages_take_time_in_proportion():
+    field = html_text.default_field()
+    took = {}
+    shapes = {"open": lambda n: "<div>x" * n, "hints": lambda n: "".join(f'<div class="{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}">x' for i in range(n)), "stray": lambda n: "<b><table>" + "<div>" * n + "</b>x" * n}
+    for name, page in shapes.items():
+        for n in (2_000, 32_000):
+            began = time.process_time()
+            html_text.main_text(page(n), field)
+            took[name, n] = time.process_time() - began
+        assert took[name, 32_000] < 60 * took[name, 2_000] + 1, took  # 16 times, not 256
+
+
+def test_scores_of_ancestors_are_those_of_their_features():
+    field = html_text.default_field()
+    for page in html_train.pages(20, seed=5):
+        found = html_text.leaves("".join(part for part, _ in page))
+        plain = np.array([field.emission[field.columns(html_text.features(b))].sum(0) for b in found])
+        assert np.allclose(field.emissions(found), plain)
+
+
 def test_html_held_out_accuracy():
     field, right, total = html_text.default_field(), 0, 0
     for page in html_train.pages(80, seed=99):
