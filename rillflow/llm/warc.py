@@ -1,7 +1,8 @@
 """WARC archives: one Zstandard frame per record, the dictionary in the leading skippable frame.
 
 An archive is a binary value: a row (archive, content) of a table in the shared folder, or a .warc.zst file, read with
-Spark's binaryFile source (column content). Writing deals records to archives of bounded size by a hash of their id;
+Spark's binaryFile source (column content). Writing deals records to archives of bounded size by a hash of id, address,
+payload and number among equal rows, so no id or payload makes an archive large;
 reading takes one archive at a time, loads its dictionary, decodes frame after frame, and validates every record.
 
 Equal payloads are written once: the record with the smallest id carries it, others are `revisit` records that refer to
@@ -33,8 +34,9 @@ VERSION = b"WARC/1.1"
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: An archive holds about so many records, and a frame at most so many bytes when decoded.
+#: An archive holds about so many records, or payloads of about so many bytes, whichever are fewer records.
 RECORDS = 512
+ARCHIVE_BYTES = 32 << 20
 DICT_BYTES = 16 << 10
 #: A dictionary is trained on at most so many bytes of an archive's own payloads.
 TRAIN_BYTES = 1 << 20
@@ -49,14 +51,21 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(key: str, url: str, payload: bytes | None, length: int, digest: str, refers_to: str | None) -> bytes:
-    """A response with its payload, or (payload None) a revisit. Ids and addresses are percent-encoded in headers."""
+def record_id(key: str, url: str, digest: str, copy: int) -> str:
+    """Unique within a collection: the page's id, and a digest of what tells records of one id apart."""
+    own = hashlib.sha1(f"{len(url)}:{url}{digest}{copy}".encode("utf-8", "surrogatepass")).hexdigest()[:24]
+    return f"<urn:page:{urllib.parse.quote(key, safe='')}:{own}>"
+
+
+def record_bytes(key: str, url: str, payload: bytes | None, length: int, digest: str, refers_to: str | None, copy: int = 0) -> bytes:
+    """A response with its payload, or (payload None) a revisit of the record with the id refers_to. Ids and addresses are
+    percent-encoded in headers."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = head + (payload or b"")
-    lines = [f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:page:{key}>", f"WARC-Date: {DATE}"]
+    lines = [f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: {record_id(key, url, digest, copy)}", f"WARC-Date: {DATE}"]
     lines += [f"WARC-Target-URI: {urllib.parse.quote(url, safe=':/?#[]@!$&()*+,;=%~-._')}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest32(block)}"]
     if payload is None:
-        lines += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {IDENTICAL}", f"WARC-Refers-To: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -139,33 +148,45 @@ def parse_record(raw: bytes) -> dict:
 
 
 def _key(value: str | None) -> str | None:
-    return None if value is None else value.removeprefix("<urn:page:").removesuffix(">")
+    """The page's id in a record's."""
+    return None if value is None else urllib.parse.unquote(value.removeprefix("<urn:page:").removesuffix(">").rpartition(":")[0])
 
 
 def write_records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """(archive, content): archives of all rows, written to the shared folder. Payloads of fewer than least_bytes are always responses."""
     rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"), F.col(key).cast("long").alias("rank"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    # The smallest id of each digest is found before the shuffle; a large group of copies sends one row a task.
-    first = rows.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("d")).agg(F.min(F.struct(F.col("rank").isNotNull().alias("some"), "rank", "key")).alias("first"), F.count("*").alias("n"))
-    first = materialize(first.where("n > 1").select("d", F.col("first.key").alias("first")), "warc-copies")
-    rows = rows.join(first, F.col("digest") == F.col("d"), "left").drop("d")
-    total = df.count()
-    archives = max(1, -(-total // RECORDS))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("key"), F.lit(archives)).cast("long"))
-    rows = rows.select("archive", "key", "url", "size", "digest", "first", F.when(F.col("first").isNull() | (F.col("first") == F.col("key")), F.col("payload")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+    own = ["key", "url", "digest"]
+    # Rows are counted before they are moved, so a large group of copies sends one row a task.
+    counts = materialize(rows.groupBy(*own, "rank", "size").agg(F.count("*").alias("n")), "warc-counts")
+    total, size = counts.agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
+    archives = max(1, -(-(total or 0) // RECORDS), -(-(size or 0) // ARCHIVE_BYTES))
+    place = F.struct(F.col("rank").isNotNull().alias("some"), "rank", "key", "url")
+    first = counts.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    first = materialize(first.select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url")), "warc-copies")
+    # Rows equal in all are told apart by a number: one goes on with its payload, the others are made from their count.
+    repeated = counts.where("n > 1").select(*own, "n")
+    again = rows.select(*own, "size", F.lit(0).cast("long").alias("copy"), "payload")
+    if not repeated.isEmpty():
+        alike = again.join(repeated, own, "left_semi").groupBy(*own, "size", "copy").agg(F.first("payload").alias("payload"))
+        others = counts.where("n > 1").select(*own, "size", F.explode(F.expr("sequence(1L, n - 1)")).alias("copy"), F.lit(None).cast("binary").alias("payload"))
+        if least_bytes:  # small ones are responses each, with a payload of their own
+            small = others.where(F.col("size") < least_bytes).drop("payload").join(alike.select(*own, "payload"), own)
+            others = others.where(F.col("size") >= least_bytes).unionByName(small)
+        again = again.join(repeated, own, "left_anti").unionByName(alike).unionByName(others)
+    again = again.join(first, "digest", "left")
+    revisits = F.col("first").isNotNull() & ((F.col("first") != F.col("key")) | (F.col("first_url") != F.col("url")) | (F.col("copy") > 0))
+    again = again.select(*own, "size", "copy", "first", "first_url", revisits.alias("revisits"), F.when(~revisits, F.col("payload")).alias("payload"))
+    again = again.withColumn("archive", F.pmod(F.xxhash64(*own, "copy"), F.lit(archives)).cast("long"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "digest"], kind="stable")
-        # Rows that share id and payload lie in one archive; only the first of them is the response.
-        again = pdf.duplicated(["key", "digest"])
         made = []
-        for r, repeated in zip(pdf.itertuples(), again, strict=True):
-            to = r.first if r.first is not None and (r.first != r.key or repeated) else None
-            made.append(record_bytes(r.key, r.url, bytes(r.payload) if to is None else None, r.size, base64.b32encode(bytes.fromhex(r.digest)).decode(), to))
+        for r in pdf.sort_values([*own, "copy"], kind="stable").itertuples():
+            digest = base64.b32encode(bytes.fromhex(r.digest)).decode()
+            made.append(record_bytes(r.key, r.url, None if r.revisits else bytes(r.payload), r.size, digest, record_id(r.first, r.first_url, digest, 0) if r.revisits else None, r.copy))
         return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "content": [write_archive(made)]})
 
-    return materialize(rows.groupBy("archive").applyInPandas(build, "archive long, content binary"), "warc")
+    return materialize(again.groupBy("archive").applyInPandas(build, "archive long, content binary"), "warc")
 
 
 def read_archives(archives: DataFrame, strict: bool = True) -> DataFrame:

@@ -245,6 +245,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_records(df.limit(0))).count() == 0
 
 
+def test_warc_of_many_equal_ids(spark):
+    """Ids that say nothing: many nulls, rows equal in all, one id with several payloads and addresses, large payloads."""
+    rows = [(None, "u", f"page {i} " * 40) for i in range(1500)] + [(None, "u", "same")] * 700 + [(5, "u", "same"), (5, "v", "same"), (5, "u", "other"), (5, "u", "other")]
+    rows += [(100 + i, "u", chr(97 + i) * (6 << 20)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archives = warc.write_records(df)
+    sizes = [sum(1 for _ in warc.frames(r["content"])) for r in archives.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) >= 4 and max(sizes) < 900
+    ids = [warc.parse_record(raw)["headers"]["warc-record-id"] for r in archives.collect() for raw in warc.frames(r["content"])]
+    assert len(set(ids)) == len(ids)
+    back = [warc.parse_record(raw) for r in archives.collect() for raw in warc.frames(r["content"])]
+    assert {x["headers"]["warc-refers-to"] for x in back if x["type"] == "revisit"} <= {x["headers"]["warc-record-id"] for x in back if x["type"] == "response"}
+    got = warc.read_archives(archives).groupBy("record_id", "record_type", "refers_to", "payload_bytes").count().collect()
+    found = {(r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"]): r["count"] for r in got}
+    assert found["null", "revisit", "null", 4] == 699 and found["5", "revisit", "null", 4] == 2
+    assert found["5", "response", None, 5] == found["5", "revisit", "5", 5] == 1 and found["null", "response", None, 4] == 1
+    assert all(r["record_type"] == "response" for r in warc.read_archives(warc.write_records(df, least_bytes=1 << 30)).collect())
+
+
 def test_warc_damage(spark):
     records = [warc.record_bytes(str(i), "u", f"body {i}".encode() * 30, 30 * len(f"body {i}"), warc.digest32(f"body {i}".encode() * 30), None) for i in range(60)]
     content = warc.write_archive(records)
