@@ -4,7 +4,10 @@ Terms are words and the beginnings of words. From a bounded sample of labelled t
 tell the labels apart best (chi squared) are indexed; all other words together are one more term of small weight, so a
 vector's direction says how frequent the indexed terms are. Postings are grouped in blocks of examples with the greatest
 weight of each block: a query visits blocks in order of their bounds and stops when no bound can beat its K-th best
-cosine, which keeps the result exact. Neighbours vote with the inverse of their distance.
+cosine, which keeps the result exact. Neighbours vote with the inverse of their distance, and the votes are calibrated: each
+example is voted on by the others, and votes count what share of the examples with such votes has label 1.
+
+The index is of chosen terms because all terms give wrong results: rare ordinary words outweigh those that tell (README).
 
 Defined results: a null or empty text, or one without words, scores the examples' share of label 1 (0 if there is none);
 repeated rows are each scored; equal texts score alike; whole texts are read; other columns are not used.
@@ -75,6 +78,9 @@ class BlockMaxIndex:
             self.postings.append(parts)
         self.words: dict[str, tuple[int, ...]] = {}
         self.seen: dict[bytes, tuple[float, list]] = {}
+        self.curve = (np.zeros(0), np.zeros(0))
+        if len(rows):
+            self.calibrate(rows)
 
     def query(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Columns and counts of the indexed terms and of all words."""
@@ -93,12 +99,12 @@ class BlockMaxIndex:
         columns, n = np.unique(np.array([*hits], np.int64), return_counts=True)
         return np.append(columns, len(self.idf) - 1), np.append(n, len(found)).astype(float)
 
-    def nearest(self, columns: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the K nearest examples; ties go to the earlier position."""
+    def nearest(self, columns: np.ndarray, n: np.ndarray, most: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the `most` nearest examples; ties go to the earlier position."""
         w = n * self.idf[columns]
         w = w / np.linalg.norm(w)
         bounds = w @ self.bounds[columns]
-        k = min(NEAREST, self.size)
+        k = min(most, self.size)
         ids, cos, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
         for b in np.argsort(-bounds, kind="stable"):
             if len(ids) >= k and bounds[b] < worst - 1e-12:
@@ -113,6 +119,41 @@ class BlockMaxIndex:
             worst = cos[-1]
         return ids, cos
 
+    def share(self, ids: np.ndarray, cos: np.ndarray) -> float:
+        """The neighbours' votes for label 1, each weighted by the inverse of its distance."""
+        weight = 1 / (1 - np.minimum(cos, 1) + NEARLY)
+        return float((weight * self.labels[ids]).sum() / weight.sum())
+
+    def calibrate(self, rows: np.ndarray) -> None:
+        """Fits the curve from votes to the frequency of label 1 among examples that got such votes from the others.
+
+        rows: the examples' weights. The curve never falls (adjacent violators are pooled) and is a line between pools.
+        """
+        votes = np.empty(len(rows))
+        for i, row in enumerate(rows):
+            columns = np.nonzero(row)[0]
+            ids, cos = self.nearest(columns, row[columns] / self.idf[columns], NEAREST + 1)
+            other = ids != i
+            votes[i] = self.share(ids[other][:NEAREST], cos[other][:NEAREST]) if other.any() else self.prior
+        pools: list[list[float]] = []  # sum of votes, sum of labels, number
+        for i in np.argsort(votes, kind="stable"):
+            pools.append([votes[i], self.labels[i], 1.0])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        self.curve = (np.array([v / n for v, _, n in pools]), np.array([y / n for _, y, n in pools]))
+
+    def calibrated(self, vote: float) -> float:
+        """The vote on the curve; beyond its ends half way on to 0 or 1, so more votes never score less."""
+        at, to = self.curve
+        if not len(at):
+            return vote
+        if vote < at[0]:
+            return float(to[0] * (1 + vote / at[0]) / 2)
+        if vote > at[-1]:
+            return float(to[-1] + (1 - to[-1]) * (vote - at[-1]) / (1 - at[-1]) / 2)
+        return float(np.interp(vote, at, to))
+
     def vote(self, text: str) -> tuple[float, list]:
         """Score, and the three nearest examples as (key, cosine, label)."""
         found = self.query(text) if self.size else None
@@ -121,10 +162,9 @@ class BlockMaxIndex:
         mark = found[0].tobytes() + found[1].tobytes() if len(found[0]) > 1 else b"none"
         if mark not in self.seen:
             ids, cos = self.nearest(*found)
-            weight = 1 / (1 - np.minimum(cos, 1) + NEARLY)
             if len(self.seen) > CACHE_WORDS:
                 self.seen = {}
-            self.seen[mark] = (float((weight * self.labels[ids]).sum() / weight.sum()), [(self.keys[i], float(c), int(self.labels[i])) for i, c in zip(ids[:3], cos[:3], strict=True)])
+            self.seen[mark] = (self.calibrated(self.share(ids, cos)), [(self.keys[i], float(c), int(self.labels[i])) for i, c in zip(ids[:3], cos[:3], strict=True)])
         return self.seen[mark]
 
 
@@ -175,4 +215,4 @@ def score(df: DataFrame, index: BlockMaxIndex, text: str = "text", key: str = "d
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, LABELLED))
-    return score(spread(docs), index).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(spread(docs), index).select("doc_id", "evidence", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
