@@ -31,8 +31,10 @@ from rillflow.llm.components import connected_components
 from rillflow.llm.simhash import fingerprints, hex64
 
 #: Variants that a task makes at once, and the table in which it finds those that may meet.
-SLICE = 1 << 21
-SLOT_BITS = 23
+SLICE = 1 << 19
+SLOT_BITS = 21
+#: Variants of a part, about.
+PART = 1 << 21
 #: First bits that variants are shuffled on, at least; rows of a part from which on it is shuffled by STEP more.
 LEAST_BITS = 6
 CROWD = 1 << 19
@@ -88,11 +90,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meetings(x: np.ndarray, left: np.ndarray, bits: int, reach: int, radius: int):
-    """Arrays (a, b) of links between fingerprints that have a variant in common, flipping at most `left` of the lowest bits.
+    """Forests (a, b) of links between fingerprints that have a variant in common, flipping at most `left` of the lowest bits.
 
-    Variants are made and sorted in slices of bounded size: what is too much for one is split at the highest open bit.
+    Variants are made and sorted in slices of bounded size: what is too much for one is split at the highest open bit. A
+    slice gives a link a fingerprint at most, however many meet.
     """
-    flips = [np.array(sum(masks(bits, r), []), np.uint64) for r in range(reach + 1)] if bits <= 64 else []
+    flips = [np.array(sum(masks(bits, r), []), np.uint64) for r in range(reach + 1)]
     todo = [(x, x & np.uint64((1 << bits) - 1), left, bits)]
     while todo:
         x, v, left, bits = todo.pop()
@@ -113,18 +116,18 @@ def meetings(x: np.ndarray, left: np.ndarray, bits: int, reach: int, radius: int
                 origin.append(np.repeat(own, len(flip)))
         variants, origin = np.concatenate(variants), np.concatenate(origin)
         # Most variants are met by nobody: those whose slot of a small table is theirs alone are left before sorting.
-        slot = (variants * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-        crowded = np.bincount(slot.astype(np.int64), minlength=1 << SLOT_BITS)[slot.astype(np.int64)] > 1
+        slot = ((variants * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        crowded = (np.bincount(slot, minlength=1 << SLOT_BITS) > 1)[slot]
         variants, origin = variants[crowded], origin[crowded]
         order = np.argsort(variants, kind="stable")
         variants, member = variants[order], x[origin[order]]
-        starts = np.nonzero(np.r_[True, variants[1:] != variants[:-1]])[0] if len(variants) else np.zeros(0, int)
-        if not len(starts):
+        if not len(variants):
             continue
+        starts = np.nonzero(np.r_[True, variants[1:] != variants[:-1]])[0]
         least = np.repeat(np.minimum.reduceat(member, starts), np.diff(np.r_[starts, len(member)]))
         linked = (least != member) & (np.bitwise_count(least ^ member) <= radius)
         if linked.any():
-            yield np.unique(np.stack([least[linked], member[linked]]), axis=1)
+            yield forest(least[linked], member[linked])
 
 
 def ball_links(prints: DataFrame, radius: int) -> DataFrame:
@@ -136,14 +139,19 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
     if radius % 2 or not 0 < radius < 64:
         raise ValueError("the radius must be even, and less than 64")
     reach = radius // 2
-    bits = max(LEAST_BITS, min(32, (prints.count() * ball_size(64, reach) // SLICE).bit_length()))
+    bits = max(LEAST_BITS, min(32, (prints.count() * ball_size(64, reach) // PART).bit_length()))
+    tasks = max(1 << LEAST_BITS, 1 << bits >> 3)  # of some parts each: rows are small, but not the work that they stand for
     rows = materialize(spread(prints.select(F.lit(0).cast("long").alias("part"), "x", F.lit(reach).alias("left")), 0, bits, reach), "neardup-parts")
 
     def meet(at: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf["x"].to_numpy(np.int64).view(np.uint64)
-            found = list(meetings(x, pdf["left"].to_numpy(np.int64), 64 - at, reach, radius))
-            a, b = forest(*np.concatenate(found, axis=1)) if found else (x[:0], x[:0])
+            a, b = x[:0], x[:0]
+            for more_a, more_b in meetings(x, pdf["left"].to_numpy(np.int64), 64 - at, reach, radius):
+                a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
+                if len(a) > SLICE:
+                    a, b = forest(a, b)
+            a, b = forest(a, b)
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         return run
@@ -153,9 +161,10 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
         crowded = rows.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
         crowded = materialize(crowded.select("part"), "neardup-crowds")
         if at + STEP > 64 or crowded.isEmpty():
-            links.append(rows.groupBy("part").applyInPandas(meet(at), "a long, b long"))
+            links.append(rows.repartition(tasks, "part").groupBy("part").applyInPandas(meet(at), "a long, b long"))
             break
-        links.append(rows.join(crowded, "part", "left_anti").groupBy("part").applyInPandas(meet(at), "a long, b long"))
+        calm = rows.join(crowded, "part", "left_anti")
+        links.append(calm.repartition(tasks, "part").groupBy("part").applyInPandas(meet(at), "a long, b long"))
         rows = materialize(spread(rows.join(crowded, "part", "left_semi"), at, STEP, reach), "neardup-parts")
         at += STEP
     return reduce(DataFrame.unionByName, links).distinct()
