@@ -3,7 +3,8 @@
 Each source gets a target number of words (a share of the whole by weight, filled like connected vessels below a cap
 per source). A document is wanted `lam` times: its whole copies are certain, and its remainder is its inclusion
 probability. Documents are ranked by random odds over inclusion odds; the first ones are taken until the source's
-remaining words are met as nearly as whole documents allow. The random number is a hash of id and seed, so reruns agree.
+remaining words are met as nearly as whole documents allow. The random number is a hash of id, text and seed, so reruns
+agree.
 
 No task sees a whole source: ranks are cut into bins, bins are summed, and only the one bin of a source in which its
 cut falls is ordered by row.
@@ -23,15 +24,18 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import WORD, materialize, table
 
 BINS = 4096
+#: Steps of merit to each doubling, for the level that meets a source's target.
+MERIT_STEPS = 256
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def unit_hash(key: Column, seed: int) -> Column:
-    """In (0, 1), from the first 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def unit_hash(key: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from the first 52 bits of an MD5 of key and text: rows without an id of their own are drawn apart."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
@@ -69,21 +73,28 @@ def mix(
 ) -> DataFrame:
     """(key, source, size, source_size, target, copies, taken), one row per row of df.
 
-    merit names a positive column that scales a document's wanted copies within its source (null: none are wanted);
-    without it all documents of a source are wanted equally. Wanted copies never exceed cap.
+    merit names a positive column that a document's wanted copies are in proportion to within its source, up to cap (null:
+    none are wanted); without it all documents of a source are wanted equally.
     """
     rows = df.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+        F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), unit_hash(F.col(key), F.col(text), seed).alias("u"),
         (F.coalesce(F.col(merit).cast("double"), F.lit(0.0)) if merit else F.lit(1.0)).alias("merit"),
     )
     rows = materialize(rows, "mix-sizes")
     targets = source_targets(rows, weights, share, cap)
-    mean = rows.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("size") * F.col("merit")) / F.sum("size")).alias("mean_merit"))
-    targets = targets.join(mean, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "mean_merit")
+    # The level c at which the words wanted, cap or c * merit times a size, are the target: documents are taken as capped
+    # from the greatest merit down, and of the levels that follow the greatest is right, as with the sources.
+    step = F.when(F.col("merit") > 0, F.floor(F.log2("merit") * MERIT_STEPS))
+    steps = rows.withColumn("step", step).where("step IS NOT NULL").groupBy("source", "step").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("merit")).alias("worth"))
+    above = Window.partitionBy("source").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole_source = Window.partitionBy("source")
+    steps = steps.select(F.col("source").alias("s"), F.coalesce(F.sum("words").over(above), F.lit(0)).alias("capped"), (F.sum("worth").over(whole_source) - F.coalesce(F.sum("worth").over(above), F.lit(0.0))).alias("worth"))
+    targets = targets.join(steps, F.col("source").eqNullSafe(F.col("s")), "left")
+    level = F.try_divide(F.col("target") - F.lit(float(cap)) * F.col("capped"), F.col("worth"))
+    targets = targets.groupBy(F.col("source").alias("s"), "source_size", "target").agg(F.max(level).alias("level"))
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    lam = F.least(F.lit(float(cap)), F.try_divide("target", F.col("source_size")) * F.try_divide("merit", "mean_merit"))
-    u = unit_hash(F.col("key"), seed)
-    rows = rows.withColumn("lam", F.greatest(F.lit(0.0), F.coalesce(lam, F.lit(0.0)))).withColumn("whole", F.floor("lam")).withColumn("pi", F.col("lam") - F.col("whole")).withColumn("u", u)
+    lam = F.least(F.lit(float(cap)), F.col("level") * F.col("merit"))
+    rows = rows.withColumn("lam", F.greatest(F.lit(0.0), F.coalesce(lam, F.lit(0.0)))).withColumn("whole", F.floor("lam")).withColumn("pi", F.col("lam") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
     rows = rows.withColumn("v", F.when(F.col("pi") > 0, odds / (1 + odds))).withColumn("bin", F.coalesce(F.floor(F.col("v") * BINS), -1 - F.floor(F.col("u") * BINS)).cast("int"))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
@@ -108,7 +119,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+    (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -42,6 +42,42 @@ def test_mixing_equals_sql(spark, texts, tmp_path):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_unequal_probabilities_equal_brute_force(spark):
+    """Pareto sampling with a merit per document, drawn again in plain Python; and over many seeds, each document as often as wanted."""
+    r = np.random.default_rng(14)
+    sizes, merit, source = r.integers(1, 40, 240), r.uniform(0.2, 3, 240), r.integers(0, 3, 240)
+    rows = [(i, " ".join(["w"] * int(sizes[i])), f"s{source[i]}", float(merit[i])) for i in range(240)] + [(240, "w w", "s0", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, merit double")
+    got, wanted = {x["doc_id"]: x for x in mixing.mix(df, merit="merit").collect()}, {}
+    for k in range(3):
+        own = [i for i, _, s, _ in rows if s == f"s{k}"]
+        size = {i: len(rows[i][1].split()) for i in own}
+        good = {i: rows[i][3] or 0.0 for i in own}
+        total, target = sum(size.values()), got[own[0]]["target"]
+        levels, capped, worth = [], 0, sum(size[i] * good[i] for i in own)
+        for i in sorted(own, key=good.get, reverse=True):
+            if good[i]:
+                levels.append((target - 2 * capped) / worth)
+            capped, worth = capped + size[i], worth - size[i] * good[i]
+        want = {i: min(2.0, max(levels) * good[i]) for i in own}
+        wanted.update(want)
+        certain = sum(int(want[i]) * size[i] for i in own)
+        u = {i: (int(hashlib.md5(f"17:{i}:{hashlib.md5(rows[i][1].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in own}
+        odds = {i: u[i] / (1 - u[i]) / ((want[i] % 1) / (1 - want[i] % 1)) for i in own if want[i] % 1}
+        upto, copies = 0, {i: int(want[i]) for i in own}
+        for i in sorted(odds, key=odds.get):
+            upto += size[i]
+            copies[i] += upto - size[i] / 2 <= target - certain
+        assert {i: got[i]["copies"] for i in own} == copies and got[own[0]]["source_size"] == total
+    assert got[240]["copies"] == 0
+    often = np.zeros(241)
+    for seed in range(25):
+        for x in mixing.mix(df, merit="merit", seed=seed).select("doc_id", "copies").collect():
+            often[x["doc_id"]] += x["copies"] / 25
+    want = np.array([wanted[i] for i in range(241)])
+    assert np.abs(often - want).mean() < 0.1 and np.corrcoef(often, want)[0, 1] > 0.95
+
+
 def test_packing_equals_brute_force(spark, texts):
     from tokenizers import Tokenizer
 
