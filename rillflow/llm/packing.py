@@ -99,11 +99,12 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(df: DataFrame, text: str, key: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """(key, piece, start, length, ids_crc32): the rows to be packed. Token ids are not kept."""
+    """(key, piece, start, length, ids_crc32, n): the rows to be packed. Token ids are not kept; n numbers a task's rows, so
+    that equal rows can be dealt to several."""
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer)
+        ids, made = word_ids(tokenizer), 0
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for row_key, value in zip(batch.column(0), batch.column(1), strict=True):
@@ -113,11 +114,13 @@ def pieces(df: DataFrame, text: str, key: str, tokenizer: str, capacity: int, en
                     part = data[at : at + 4 * capacity]
                     for column, x in zip(out, (row_key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(x)
-            yield pa.record_batch([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["key", "piece", "start", "length", "ids_crc32"])
+            out.append(list(range(made, made + len(out[0]))))
+            made += len(out[0])
+            yield pa.record_batch([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["key", "piece", "start", "length", "ids_crc32", "n"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"key {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, f"key {kind}, piece int, start long, length long, ids_crc32 long, n long")
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -180,10 +183,10 @@ def pack(
     sent = spark.sparkContext.broadcast(plan)
 
     groups = spark.createDataFrame([(k, -(-n // RANK_GROUP)) for k, n in histogram.items()], "length long, groups long")
-    rows = rows.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.col("groups"))).drop("groups")
+    rows = rows.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("key", "piece", "ids_crc32", "n"), F.col("groups"))).drop("groups")
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
-    within = Window.partitionBy("length", "part").orderBy("key", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "part").orderBy("key", "piece", "start", "ids_crc32", "n")
     ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "part"])
     ranked = ranked.select("key", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
 
