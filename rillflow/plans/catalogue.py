@@ -537,6 +537,29 @@ def rollout_batch(spark, sf_dir):
     return left.unionByName(right)
 
 
+@query("""SELECT n_nationkey AS key, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS rounds, CASE WHEN n_nationkey % 4 IN (1, 2) THEN 1 ELSE 0 END::BIGINT AS made, CASE WHEN n_nationkey % 4 = 1 THEN 1 ELSE 0 END::BIGINT AS fine,
+  CASE n_nationkey % 4 WHEN 0 THEN 3 WHEN 3 THEN 2 ELSE 5 END AS messages, CASE n_nationkey % 4 WHEN 0 THEN n_nationkey % 3 = 0 WHEN 1 THEN true ELSE false END AS correct, CASE WHEN n_nationkey % 4 = 3 THEN 'ValueError: no model' END AS error FROM nation""")
+def dialogue_rounds(spark, sf_dir):
+    """Conversations that answer at once, call a tool, call one that is not there, or lose the model."""
+    from rillflow.operators import dialogue
+    from rillflow.sources.replay import batch_folder
+
+    def model(messages, offered, choice):
+        k = int(messages[1]["content"])
+        if k % 4 == 3:
+            raise ValueError("no model")
+        if messages[-1]["role"] == "tool":
+            return {"content": "FINAL_ANSWER: " + messages[-1]["content"]}
+        if k % 4 == 0:
+            return {"content": f"FINAL_ANSWER: {2 * k if k % 3 == 0 else 'none'}"}
+        return {"tool_calls": [{"id": "1", "name": "twice" if k % 4 == 1 else "thrice", "arguments": f'{{"x": {k}}}'}]}
+
+    schema = json.dumps([{"name": "twice", "description": "", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}}}}])
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_nationkey").cast("string").alias("question"), (2 * F.col("n_nationkey")).cast("string").alias("target"), F.lit("def twice(x):\n    return 2 * x").alias("code"), jsonx.tool_definitions(F.lit(schema)).alias("tools"))
+    log = dialogue.evaluate_dataset(n, dialogue.FunctionChat(model), batch_folder(spark), "gcd", max_rounds=3)
+    return log.select("key", F.col("total_rounds").alias("rounds"), F.col("tool_calls_made").alias("made"), F.col("tool_calls_successful").alias("fine"), F.col("conversation_length").alias("messages"), "correct", "error")
+
+
 @query()
 def tool_making(spark, sf_dir):
     """Two proposals for each of two tasks, scored on test questions; the better one of each."""
