@@ -37,6 +37,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive holds about so many records, or payloads of about so many bytes, whichever are fewer records.
 RECORDS = 512
 ARCHIVE_BYTES = 32 << 20
+#: Payload bytes of a task that writes archives, about.
+TASK_BYTES = 32 << 20
 DICT_BYTES = 16 << 10
 #: A dictionary is trained on at most so many bytes of an archive's own payloads.
 TRAIN_BYTES = 1 << 20
@@ -186,7 +188,9 @@ def write_records(df: DataFrame, key: str = "page_id", url: str = "url", payload
             made.append(record_bytes(r.key, r.url, None if r.revisits else bytes(r.payload), r.size, digest, record_id(r.first, r.first_url, digest, 0) if r.revisits else None, r.copy))
         return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "content": [write_archive(made)]})
 
-    return materialize(again.groupBy("archive").applyInPandas(build, "archive long, content binary"), "warc")
+    # As many tasks as the payloads' bytes ask for, whatever the session's own number is.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // TASK_BYTES + 1)
+    return materialize(again.repartition(tasks, "archive").groupBy("archive").applyInPandas(build, "archive long, content binary"), "warc")
 
 
 def read_archives(archives: DataFrame, strict: bool = True) -> DataFrame:
