@@ -368,6 +368,63 @@ def test_block_max_search_is_exact(spark):
         assert np.allclose(np.sort(cos)[::-1][: toxicity.NEAREST], index.nearest(columns, n)[1], atol=1e-9)
 
 
+def dense_index(index):
+    dense = np.zeros((index.size, len(index.idf)))
+    for j, parts in enumerate(index.postings):
+        for b, (at, w) in parts.items():
+            dense[b * toxicity.BLOCK + at, j] = w
+    return dense
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Votes and calibration in plain Python, from all cosines."""
+    df, labels, _ = labelled_docs(spark)
+    index = toxicity.fit(labelled.labelled_sample(df, labels, "toxic", F.lit(True), 300))
+    dense = dense_index(index)
+
+    def vote(q, without=None):
+        cos = dense @ (q / np.linalg.norm(q))
+        order = [i for i in np.lexsort((np.arange(len(cos)), -np.round(cos, 12))) if i != without][: toxicity.NEAREST]
+        weight = [1 / (1 - min(cos[i], 1) + toxicity.NEARLY) for i in order]
+        return sum(w * index.labels[i] for w, i in zip(weight, order, strict=True)) / sum(weight)
+
+    votes = np.array([vote(row, i) for i, row in enumerate(dense)])
+    order = np.argsort(votes, kind="stable")
+    y = index.labels[order]
+    pooled = [max(min(y[i : k + 1].mean() for k in range(j, len(y))) for i in range(j + 1)) for j in range(len(y))]  # isotonic, by its definition
+    at, to = index.curve
+    assert (np.diff(at) > -1e-12).all() and (np.diff(to) > 0).all() and abs(np.interp(votes[order], at, to) - pooled).max() < 1 and np.allclose(sorted(set(np.round(pooled, 9))), np.round(to, 9))
+    for r in df.limit(80).collect():
+        columns, n = index.query(r["text"])
+        q = np.zeros(len(index.idf))
+        q[columns] = n * index.idf[columns]
+        score, near = index.vote(r["text"])
+        assert score == pytest.approx(index.calibrated(vote(q)), abs=1e-6) and 0 <= score <= 1
+        assert near[0][1] == pytest.approx((dense @ (q / np.linalg.norm(q))).max())
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Neighbours and votes from all cosines, one text at a time."""
+    df, labels, _ = labelled_docs(spark)
+    model = quality.fit(labelled.labelled_sample(df, labels, "quality", F.lit(True), 300))
+    texts = [r["text"] for r in df.limit(60).collect()] + ["one", "###"]
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        z = model.project(model.weigh(quality.counts(text)[None]))[0].astype(np.float64)
+        cos = model.vectors.astype(np.float64) @ z
+        last = np.sort(cos)[-quality.NEAREST]
+        sure, border = np.nonzero(cos > last + 1e-5)[0], np.nonzero(abs(cos - last) <= 1e-5)[0]
+
+        def vote(first):
+            """With those of label `first` before others among the ones that tie, up to rounding, for the last places."""
+            rest = sorted(border, key=lambda k: abs(model.labels[k] - first))[: quality.NEAREST - len(sure)]
+            near = [*sure, *rest]
+            weight = np.exp(quality.SHARPNESS * (cos[near] - 1))
+            return (weight * model.labels[near]).sum() / weight.sum()
+
+        assert vote(0) - 1e-3 <= got[i] <= vote(1) + 1e-3
+
+
 def test_pipeline(spark, tmp_path):
     df, labels, marks = labelled_docs(spark)
     extra = df.where("doc_id IN (1, 2, 3)").withColumn("doc_id", F.col("doc_id") + 1000)

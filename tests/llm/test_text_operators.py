@@ -113,6 +113,23 @@ def test_lines_at_the_bound_are_found(spark):
     assert share[10] == share[18] == 1 and share[40] >= 0.99, share
 
 
+def test_bands_meet_pairs_at_the_bound(spark):
+    """By bands alone: pairs at Jaccard 0.8 of 10, 20 and 50 shingles in all, and unlike ones of 20."""
+    r = np.random.default_rng(19)
+    share = {}
+    for union, common, pairs in ((10, 8, 600), (20, 16, 600), (50, 40, 600), (20, 4, 600)):
+        only = (union - common) // 2
+        lines = []
+        for _ in range(pairs):
+            middle = "".join(r.choice(list("abcdefghijklmnop"), common + linededup.WIDTH - 1))
+            lines += [middle + "".join(r.choice(list("qrst"), only)), middle + "".join(r.choice(list("uvwx"), only))]
+        df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+        met = linededup.bands(df).select("lid", "bucket", (F.col("lid") / 2).cast("long").alias("pair")).distinct()
+        share[union, common] = met.groupBy("pair", "bucket").count().where("count > 1").select("pair").distinct().count() / pairs
+    assert min(share[10, 8], share[20, 16], share[50, 40]) >= 0.97, share
+    assert share[20, 4] <= 0.15, share
+
+
 def test_tiny_lines_and_low_bounds_are_met_exactly(spark):
     r = np.random.default_rng(10)
     texts = sorted({"".join(r.choice(list("ab"), r.integers(1, 4))) * int(r.integers(1, 9)) for _ in range(120)} | {"a" * k for k in range(8, 26)})
