@@ -118,3 +118,50 @@ def hanoi_moves(disks: Column | str) -> Column:
     rods = F.when(d % 2 == 1, F.array(F.lit("A"), F.lit("B"), F.lit("C"))).otherwise(F.array(F.lit("A"), F.lit("C"), F.lit("B")))
     rod = lambda k: F.element_at(rods, (k % 3) + 1)
     return F.transform(F.sequence(F.lit(1), count), lambda m: F.struct(rod(m.bitwiseAND(m - 1)).alias("from"), rod(m.bitwiseOR(m - 1) + 1).alias("to")))
+
+
+def chain_sum(text: Column | str) -> Column:
+    """The value of numbers joined by + and -, whatever stands around them; 0 without a number."""
+    terms = F.transform(F.regexp_extract_all(_col(text), F.lit(r"[+-]?\s*\d+"), F.lit(0)), lambda t: F.regexp_replace(t, r"\s", "").cast("long"))
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda acc, t: acc + t)
+
+
+def bitwise(a: Column | str, op: Column | str, b: Column | str) -> Column:
+    """a op b for + - * << >> & | ^, over 64-bit integers; null for any other sign."""
+    x, o, y = _col(a).cast("long"), _col(op), _col(b).cast("long")
+    n = y.cast("int")
+    out = F.when(o == "+", x + y).when(o == "-", x - y).when(o == "*", x * y).when(o == "<<", F.call_function("shiftleft", x, n)).when(o == ">>", F.call_function("shiftright", x, n))
+    return out.when(o == "&", x.bitwiseAND(y)).when(o == "|", x.bitwiseOR(y)).when(o == "^", x.bitwiseXOR(y))
+
+
+def linear_root(a: Column | str, b: Column | str, total: Column | str) -> Column:
+    """x with a * x + b = total; null where a is 0."""
+    return F.try_divide(_col(total) - _col(b), _col(a))
+
+
+def poly_product(p: Column | str, q: Column | str) -> Column:
+    """Coefficients of the product of two polynomials, both given from the constant term up."""
+    a, b = _col(p), _col(q)
+    term = lambda k: F.aggregate(F.sequence(F.greatest(F.lit(0), k - F.size(b) + 1), F.least(k, F.size(a) - 1)), F.lit(0).cast("long"), lambda acc, i: acc + F.get(a, i) * F.get(b, k - i))
+    return F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), term)
+
+
+def poly_value(p: Column | str, x: Column | str) -> Column:
+    """By Horner's rule."""
+    return F.aggregate(F.reverse(_col(p)), F.lit(0.0), lambda acc, c: acc * _col(x).cast("double") + c)
+
+
+def poly_integral(p: Column | str) -> Column:
+    """Coefficients of the antiderivative whose constant is 0."""
+    return F.concat(F.array(F.lit(0.0)), F.transform(_col(p), lambda c, i: c / (i + 1)))
+
+
+def ladder_holds(words: Column | str) -> Column:
+    """Whether each word of an array differs from the one before it in exactly one letter."""
+    w = _col(words)
+    near = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 1))
+    return (F.size(w) < 2) | F.forall(near, lambda x: x)
+
+
+def implies(a: Column | str, b: Column | str) -> Column:
+    return ~_col(a) | _col(b)

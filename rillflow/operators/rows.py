@@ -30,8 +30,23 @@ def cumulative_cap(df: DataFrame, band: str, order: str, per_band: int) -> DataF
     if not takes:
         return rows
     small = df.sparkSession.createDataFrame(takes, f"{band} {df.schema[band].dataType.simpleString()}, take long")
-    rank = F.row_number().over(Window.partitionBy(band).orderBy(order))
-    return rows.withColumn("_rn", rank).join(F.broadcast(small), band).where("_rn <= take").select(*df.columns)
+    return rank_within(rows, band, order, "_rn").join(F.broadcast(small), band).where("_rn <= take").select(*df.columns)
+
+
+def rank_within(df: DataFrame, by: str, order: str, name: str, ranges: int = 64) -> DataFrame:
+    """df with `name`: a row's number within `by` in order of `order` (a number; equal ones in any order, null ones first).
+
+    A key's rows are cut into ranges at quantiles, numbered range by range and offset by the rows before, so no task orders
+    a whole key, however few keys there are.
+    """
+    cuts = df.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    rows = df.join(cuts, F.col(by).eqNullSafe(F.col("_by")))
+    rows = rows.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_by", "_cuts")
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)))
+    rows = rows.join(counts.select("_by", "_r", before.alias("_before")), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    return rows.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
 
 
 def newest_per_key(df: DataFrame, key: str, seq: str, n: int) -> DataFrame:

@@ -93,8 +93,8 @@ def dedup_keep_first(spark, sf_dir):
 
 @query("SELECT doc_id, lang, CAST(2 + (rn - 1) // 70 AS INTEGER) AS difficulty FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)")
 def difficulty_bands(spark, sf_dir):
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", (2 + F.floor((rn - 1) / 70)).cast("int").alias("difficulty"))
+    d = rows.rank_within(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", "rn")
+    return d.select("doc_id", "lang", (2 + F.floor((F.col("rn") - 1) / 70)).cast("int").alias("difficulty"))
 
 
 @query("""
@@ -379,6 +379,22 @@ def gcd_lcm_bits(spark, sf_dir):
     return pairs.select("l_partkey", "l_suppkey", numbers.gcd("l_partkey", "l_suppkey").alias("g"), numbers.lcm("l_partkey", "l_suppkey").alias("l"), numbers.count_bits("l_partkey").alias("bits"))
 
 
+@query("""SELECT p_partkey, p_size + p_partkey - 7 AS chain, CASE p_partkey % 4 WHEN 0 THEN p_size * 5 WHEN 1 THEN p_size * 32 WHEN 2 THEN p_size // 4 ELSE xor(p_size, p_partkey) END AS bits,
+  (p_partkey - p_size) / 3::DOUBLE AS root, (3 * p_size) || ',' || (p_size * p_partkey + 6) || ',' || (2 * p_partkey) AS product, (p_size + 3.0::DOUBLE * p_partkey) AS value, p_size + 1.0::DOUBLE * p_partkey AS area, p_partkey % 3 <> 1 AS ladder, p_partkey % 2 = 1 OR p_size > 20 AS implied FROM part""")
+def solvers(spark, sf_dir):
+    """Answers of task generators as columns: sums, bits, roots, products, values and integrals of polynomials, ladders, logic."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_size").cast("long").alias("s"))
+    sign, other = F.element_at(F.array(*map(F.lit, ("*", "<<", ">>", "^"))), (F.col("k") % 4 + 1).cast("int")), F.element_at(F.array(F.lit(5), F.lit(5), F.lit(2), F.col("k")), (F.col("k") % 4 + 1).cast("int"))
+    line, first = F.array("s", F.col("k")), F.array(F.col("s"), F.lit(2).cast("long"))
+    words = F.when(F.col("k") % 3 == 0, F.array(F.lit("cold"), F.lit("cord"), F.lit("card"))).when(F.col("k") % 3 == 1, F.array(F.lit("cold"), F.lit("card"))).otherwise(F.array(F.lit("cold")))
+    anti = numbers.poly_integral(line)
+    return p.select(
+        F.col("k").alias("p_partkey"), numbers.chain_sum(F.concat(F.lit("Calculate "), "s", F.lit(" + "), "k", F.lit(" - 7."))).alias("chain"), numbers.bitwise("s", sign, other).alias("bits"), numbers.linear_root(F.lit(3), F.col("s"), F.col("k")).alias("root"),
+        F.array_join(numbers.poly_product(first, F.array(F.lit(3).cast("long"), F.col("k"))).cast("array<string>"), ",").alias("product"), numbers.poly_value(line, F.lit(3)).alias("value"),
+        (numbers.poly_value(anti, F.lit(2)) - numbers.poly_value(anti, F.lit(0))).alias("area2"), numbers.ladder_holds(words).alias("ladder"), numbers.implies(F.col("k") % 2 == 0, F.col("s") > 20).alias("implied"),
+    ).withColumn("area", F.col("area2") / 2).drop("area2")
+
+
 @query("SELECT p_partkey, lower(to_base(p_partkey, 16)) AS hex, to_base(p_partkey, 2) AS bin, lower(to_base(p_partkey, 7)) AS seven, translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'DEFGHIJKLMNOPQRSTUVWXYZABCdefghijklmnopqrstuvwxyzabc') AS caesar, reverse(p_name) AS backward FROM part")
 def base_caesar_backward(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
@@ -489,7 +505,7 @@ for _task in task_source.BANDS:
 @query()
 def task_verified(spark, sf_dir):
     """Share of generated rows that their verifier confirms, by task."""
-    parts = [task_source.generate(spark, t).groupBy("task").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified")) for t in ("gcd", "lcm", "cryptarithm", "tower_of_hanoi", "countdown")]
+    parts = [task_source.generate(spark, t).groupBy("task").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified")) for t in task_source.BANDS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -560,10 +576,12 @@ def dialogue_rounds(spark, sf_dir):
     return log.select("key", F.col("total_rounds").alias("rounds"), F.col("tool_calls_made").alias("made"), F.col("tool_calls_successful").alias("fine"), F.col("conversation_length").alias("messages"), "correct", "error")
 
 
-@query()
+@query("""SELECT 'twice' AS task, 1 AS attempt, count(*) AS hit, count(*) AS total, 1.0::DOUBLE AS accuracy FROM nation UNION ALL SELECT 'square', 0, count(*), count(*), 1.0::DOUBLE FROM nation""")
 def tool_making(spark, sf_dir):
-    """Two proposals for each of two tasks, scored on test questions; the better one of each."""
-    tests = spark.createDataFrame([("twice", str(i), str(2 * i)) for i in range(5)] + [("square", str(i), str(i * i)) for i in range(5)], "task string, question string, answer string")
+    """Two proposals for each of two tasks, run on a question per nation; the better one of each, the first of equals."""
+    k = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    tests = k.select(F.lit("twice").alias("task"), F.col("k").cast("string").alias("question"), (2 * F.col("k")).cast("string").alias("answer"))
+    tests = tests.unionByName(k.select(F.lit("square").alias("task"), F.col("k").cast("string").alias("question"), (F.col("k") * F.col("k")).cast("string").alias("answer")))
     code = "def f(question):\n    return {0}"
     proposals = spark.createDataFrame([(t, a, code.format(e), "f") for t, a, e in (("twice", 0, "int(question) + 2"), ("twice", 1, "2 * int(question)"), ("square", 0, "int(question) ** 2"), ("square", 1, "int(question) * int(question)"))], "task string, attempt int, code string, function string")
     return evaluate.tool_making(proposals, tests).select("task", "attempt", "hit", "total", F.round("accuracy", 6).alias("accuracy"))
