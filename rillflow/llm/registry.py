@@ -17,4 +17,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_mixing": mixing.SQL,
+    "op7_warc": warc.SQL,
 }

@@ -223,3 +223,16 @@ def read_archives(archives: DataFrame, strict: bool = True) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archives(write_records(table(spark, sf_dir, "pages")))
     return back.select(F.expr("try_cast(record_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
+
+
+#: Base32 of the hexadecimal SHA-1: its 160 bits, five at a time.
+SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), h AS (
+  SELECT page_id, body, octet_length(body) AS n, array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', instr('0123456789abcdef', c) * 4 - 3, 4) for c in string_split(sha1(body), '')], '') AS bits FROM p
+), d AS (
+  SELECT page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1) for i in range(32)], '') AS digest, min(page_id) OVER (PARTITION BY body) AS head FROM h
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM d
+"""

@@ -275,6 +275,9 @@ def test_warc_round_trip(spark, tmp_path):
         data, to = (h or "").encode(), first[h or ""]
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if to == i else ("revisit", to))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.execute(warc.SQL).fetchall()) == sorted(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got.values())
     back = {r["record_id"]: r for r in warc.read_archives(warc.write_records(df)).collect()}
     assert bytes(back["2"]["payload"]).decode() == "y" * 200_000 and back["3"]["url"] == "http://é/ b"
     assert all(r["record_type"] == "response" for r in warc.read_archives(warc.write_records(df, least_bytes=1 << 30)).collect())
