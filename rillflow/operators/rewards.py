@@ -105,7 +105,7 @@ def renorm(step1: Column | str, step2: Column | str, reward: Column | str, w1: f
 
 
 def capped_penalty(amount: Column | str, cap: float = 2.0) -> Column:
-    return -F.least(F.lit(cap), _col(amount))
+    return 0.0 - F.least(F.lit(cap), _col(amount))  # never a negative zero
 
 
 def correctness_reward(shifted: Column, truth: Column, answer: Column, matched: Column, judged: Column) -> Column:
