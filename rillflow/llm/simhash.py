@@ -15,6 +15,8 @@ other columns are not used.
 
 from __future__ import annotations
 
+import json
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +27,8 @@ from rillflow.llm.common import materialize, table, words
 #: The Hamming radius of the search, and the blocks that a fingerprint's 128 bits are cut into for it.
 RADIUS = 3
 BLOCKS = 5
+#: Ranges of ids, at most, in which the next document is looked for.
+RANGES = 4096
 #: Bits j and j + 32, as one 64-bit number with two counters.
 PAIR = (1 << 32) + 1
 
@@ -99,15 +103,16 @@ def next_in_order(ids: DataFrame, group: int = 4096) -> DataFrame:
     Ids are cut into ranges at quantiles, so a task orders the ids of its range only; a range's last row takes its
     neighbour from a table of one row per range.
     """
-    spark = ids.sparkSession
-    total = ids.count()
-    parts = max(1, total // group)
-    cuts = ids.agg(F.percentile_approx("id0", [i / parts for i in range(1, parts)], 10 * parts).alias("c")).first()["c"] if parts > 1 and parts <= 4096 else []
-    if parts > 4096:  # the cuts stay a bounded literal; ranges then grow instead
-        cuts = ids.agg(F.percentile_approx("id0", [i / 4096 for i in range(1, 4096)], 40960).alias("c")).first()["c"]
+    parts = min(RANGES, max(1, ids.count() // group))  # cuts stay a bounded literal; beyond RANGES of them ranges grow
+    cuts = ids.agg(F.percentile_approx("id0", [i / parts for i in range(1, parts)], 10 * parts).alias("c")).first()["c"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    ids = ids.withColumn("g", F.size(F.filter(bounds, lambda c: c <= F.col("id0"))))
+    # The number of cuts at or below an id: whole chunks of them first, then those of one chunk.
+    wide = max(1, math.isqrt(len(cuts)))
+    chunks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)] or [[]]
+    starts = F.from_json(F.lit(json.dumps([c[0] for c in chunks[1:]])), "array<bigint>")
+    upto = lambda array: F.size(F.filter(array, lambda c: c <= F.col("id0")))
+    ids = ids.withColumn("chunk", upto(starts))
+    ids = ids.withColumn("g", F.col("chunk") * wide + upto(F.get(F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>"), F.col("chunk")))).drop("chunk")
     order = [F.col("id0").desc(), F.col("h").desc()]
     within = Window.partitionBy("g").orderBy(*order)
     firsts = ids.groupBy("g").agg(F.max(F.struct("id0", "h")).alias("top"))

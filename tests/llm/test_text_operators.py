@@ -195,6 +195,14 @@ def test_edited_fingerprints(spark, corpus, tmp_path):
     assert set(got[corpus.index("")]["fingerprint"]) == {"0"}
 
 
+def test_the_next_in_order_over_many_ranges(spark):
+    ids = sorted({int(x) for x in np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 3000)} | set(range(50)))
+    df = spark.createDataFrame([(i, h) for i in ids for h in ((0, 7) if i % 5 == 0 else (0,))], "id0 long, h long").repartition(3)
+    order = sorted(((r["id0"], r["h"]) for r in df.collect()), reverse=True)
+    got = {(r["id0"], r["h"]): (r["next_id"], r["next_h"]) for r in simhash.next_in_order(df, 40).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_edited_fingerprints_of_repeated_rows(spark, tmp_path):
     rows = [(3, "one two three", "en", "s", 13)] * 3 + [(2, "four five", "en", "s", 9), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
