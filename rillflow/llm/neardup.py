@@ -173,13 +173,16 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """(key, fp, component): component is the smallest key among the documents reachable over links."""
     docs = materialize(shingle_fingerprints(df, text, key, width), "neardup-prints")
-    least = materialize(docs.groupBy("fp").agg(F.min("key").alias("least")), "neardup-distinct")
+    least = materialize(docs.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "neardup-distinct")
     linked = connected_components(ball_links(least.select(F.col("fp").alias("x")), radius))
     named = linked.join(least, linked["node"] == least["fp"]).select("node", "component", "least")
     smallest = named.groupBy("component").agg(F.min("least").alias("id"))
-    names = named.join(smallest, "component").select(F.col("node").alias("fp"), "id")
-    names = least.join(names, "fp", "left").select("fp", F.coalesce("id", "least").alias("component"))
-    return docs.join(names, "fp").select(F.col("key").alias(key), "fp", "component")
+    names = named.join(smallest, "component").select(F.col("node").alias("fp"), "id", F.lit(True).alias("linked"))
+    # A document whose fingerprint nobody shares or is linked to is its own; the others look their name up in a table that
+    # is dealt anew, so that Spark can split a fingerprint which many have.
+    known = least.join(names, "fp", "left").where("n > 1 OR linked").select("fp", F.coalesce("id", "least").alias("component"))
+    rows = docs.join(materialize(known, "neardup-names"), "fp", "left")
+    return rows.select(F.col("key").alias(key), "fp", F.coalesce("component", "key").alias("component"))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
