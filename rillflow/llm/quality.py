@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import spread, table
+from rillflow.llm.common import slices, spread, table
 from rillflow.llm.labelled import fold, labelled_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -93,7 +93,7 @@ def fit(sample: DataFrame) -> LatentModel:
     """sample: (key, text, label), of bounded size. Only its feature counts reach the driver."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             key, label, text = batch.columns
             yield pa.record_batch([key, label, pa.array([counts(t).tobytes() for t in text.to_pylist()], pa.binary())], names=["key", "label", "row"])
 
@@ -109,7 +109,7 @@ def score(df: DataFrame, model: LatentModel, text: str = "text", key: str = "doc
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array(sent.value.score(batch.column(1).to_pylist()), pa.float64())], names=[key, "score"])
 
     rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -121,7 +121,7 @@ def keep(df: DataFrame, model: LatentModel, text: str = "text", least: float = 0
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(sent.value.score([t or "" for t in batch.column(at).to_pylist()]) >= least))
 
     return df.mapInArrow(choose, df.schema)

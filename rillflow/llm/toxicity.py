@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import materialize, spread, table
+from rillflow.llm.common import materialize, slices, spread, table
 from rillflow.llm.labelled import fold, labelled_sample
 
 #: Labelled rows that are indexed, at most.
@@ -203,7 +203,7 @@ def score(df: DataFrame, index: BlockMaxIndex, text: str = "text", key: str = "d
     evidence = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [sent.value.vote(t) for t in batch.column(1).to_pylist()]
             near = [[{"id": str(k), "cosine": c, "label": y} for k, c, y in e] for _, e in got]
             yield pa.record_batch([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(near, evidence)], names=[key, "score", "evidence"])
