@@ -22,7 +22,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,15 +144,15 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
     rows = materialize(spread(prints.select(F.lit(0).cast("long").alias("part"), "x", F.lit(reach).alias("left")), 0, bits, reach), "neardup-parts")
 
     def meet(at: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf["x"].to_numpy(np.int64).view(np.uint64)
+        def run(rows: pa.Table) -> pa.Table:
+            x = rows.column("x").to_numpy().astype(np.int64).view(np.uint64)
             a, b = x[:0], x[:0]
-            for more_a, more_b in meetings(x, pdf["left"].to_numpy(np.int64), 64 - at, reach, radius):
+            for more_a, more_b in meetings(x, rows.column("left").to_numpy().astype(np.int64), 64 - at, reach, radius):
                 a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
                 if len(a) > SLICE:
                     a, b = forest(a, b)
             a, b = forest(a, b)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         return run
 
@@ -161,10 +161,10 @@ def ball_links(prints: DataFrame, radius: int) -> DataFrame:
         crowded = rows.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
         crowded = materialize(crowded.select("part"), "neardup-crowds")
         if at + STEP > 64 or crowded.isEmpty():
-            links.append(rows.repartition(tasks, "part").groupBy("part").applyInPandas(meet(at), "a long, b long"))
+            links.append(rows.repartition(tasks, "part").groupBy("part").applyInArrow(meet(at), "a long, b long"))
             break
         calm = rows.join(crowded, "part", "left_anti")
-        links.append(calm.repartition(tasks, "part").groupBy("part").applyInPandas(meet(at), "a long, b long"))
+        links.append(calm.repartition(tasks, "part").groupBy("part").applyInArrow(meet(at), "a long, b long"))
         rows = materialize(spread(rows.join(crowded, "part", "left_semi"), at, STEP, reach), "neardup-parts")
         at += STEP
     return reduce(DataFrame.unionByName, links).distinct()

@@ -178,11 +178,12 @@ def pack(
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = df.sparkSession
     rows = materialize(pieces(df, text, key, tokenizer, capacity, end_id), "pack-pieces")
-    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    lengths = materialize(rows.groupBy("length").agg(F.count("*").alias("n")), "pack-lengths")  # at most `capacity` rows
+    histogram = {r["length"]: r["n"] for r in lengths.collect()}
     plan = best_fit_plan(histogram, capacity)
     sent = spark.sparkContext.broadcast(plan)
 
-    groups = spark.createDataFrame([(k, -(-n // RANK_GROUP)) for k, n in histogram.items()], "length long, groups long")
+    groups = lengths.select("length", F.ceil(F.col("n") / RANK_GROUP).alias("groups"))
     rows = rows.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("key", "piece", "ids_crc32", "n"), F.col("groups"))).drop("groups")
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
