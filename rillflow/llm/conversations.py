@@ -14,7 +14,7 @@ that costs. The roles given to R and I follow from the audit, as roles alternate
 Rows are dealt by conversation once; windows and the fold use that order. A conversation's repaired text is one value, so a
 conversation must fit a row; the fold copies its audit, a byte a turn, with each turn (10,000 turns: 0.2 GB copied).
 
-Defined results: a null role or text counts as one space, and stays so where it is kept; turns are taken by number, nulls
+Defined results: a null role or text counts as one space, and stays so where it is kept; an empty role is none of the three; turns are taken by number, nulls
 first, and equal numbers by role and text; a null conversation id is a conversation like others; of rows without turns (all
 dropped) all counts are 0, the audit is empty and the text is empty; columns other than the four are not used, whatever
 their names; an empty table gives an empty result; repeated rows are repeated turns.
