@@ -17,16 +17,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import html_train
-from rillflow.llm.common import table
+from rillflow.llm.common import slices, table
 
 #: Fixed values of HTML: elements that stand as blocks, that have no end tag, and whose text is not shown.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul button label select option textarea video audio iframe".split())
@@ -247,7 +248,7 @@ def train(labelled: list[list[tuple[str, bool]]], epochs: int = EPOCHS) -> Field
     rows, labels = [], []
     for page in labelled:
         # The page is read as a whole; a zero-width mark tells which fragment a text came from.
-        html = "".join(f"{part}" if not main else re.sub(r">([^<]+)", lambda m: ">⁣" + m[1] if m[1].strip() else m[0], part) for part, main in page)
+        html = "".join(f"{part}" if not main else re.sub(r"(^|>)([^<]+)", lambda m: m[1] + "⁣" + m[2] if m[2].strip() else m[0], part) for part, main in page)
         got = leaves(html)
         labels.append([int("⁣" in t) for _, t, _ in got])
         rows.append([Field.columns(features((s, t.replace("⁣", "") or " ", n))) for s, t, n in got])
@@ -311,14 +312,15 @@ def extract(df: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id
     """keys and text for every row of df."""
     sent = df.sparkSession.sparkContext.broadcast(field or default_field())
 
-    def read(batches):
-        for pdf in batches:
-            page = pdf.pop("_html")
-            yield pdf.assign(text=[main_text(h, sent.value) for h in page])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [main_text(h, sent.value) for h in batch.column(0).to_pylist()]
+            yield pa.record_batch([*batch.columns[1:], pa.array(texts, pa.string())], names=[*keys, "text"])
 
-    rows = df.select(*keys, F.coalesce(F.col(html), F.lit("")).alias("_html"))
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInPandas(read, f"{kinds}, text string")
+    # Keys go through as Arrow columns, so that a null among 64-bit numbers changes none of them.
+    rows = df.select(F.coalesce(F.col(html), F.lit("")).alias("_html"), *[df[k] for k in keys])
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(read, f"{kinds}, text string")
 
 
 def dealt_by_size(pages: DataFrame) -> DataFrame:

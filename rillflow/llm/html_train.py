@@ -87,6 +87,36 @@ def _side(r: random.Random, kind: str) -> str:
     return f"<{(t := r.choice(['section', 'div', 'ol']))} {_hint(r, 'comments', 'comment', 'replies', 'discussion')}><h3>{r.randint(1, 40)} {_word(r)}</h3>" + "".join(f'<div class="comment"><b>{_word(r)}</b><p>{_paragraph(r)}</p></div>' for _ in range(r.randint(1, 4))) + f"</{t}>"
 
 
+#: Names of boxes that are not the article: one word of a class, id or role tells them wherever they stand.
+BOXES = {
+    "comments": "comments comment replies reply responses respond discussion disqus reactions feedback commentlist",
+    "aside": "sidebar related widget recommended recommendations popular trending aside rail teaser more readmore",
+    "notice": "cookie notice consent gdpr popup newsletter signup subscribe subscription modal paywall alert overlay",
+    "ad": "ad ads advert advertisement sponsored sponsor promo promotion banner adsense",
+    "share": "share social tags sharing follow",
+    "nav": "menu navbar nav breadcrumb breadcrumbs pagination toc navigation",
+    "footer": "footer copyright colophon legal",
+}
+
+
+def _box(r: random.Random) -> str:
+    """A box of paragraphs like the article's: nothing but its name tells it apart."""
+    names = BOXES[r.choice(list(BOXES))].split()
+    names = names[:2] if r.random() < 0.4 else names
+    tag = r.choice(["div", "div", "section", "aside", "ul"] if r.random() < 0.8 else ["p"])
+    inner = "".join(f"<p>{_paragraph(r)}</p>" for _ in range(r.choice([1, 1, 1, 2, 3]))) if tag not in ("p", "ul") else _sentence(r) if tag == "p" else f"<li>{_sentence(r)}</li><li>{_sentence(r)}</li>"
+    hint = r.choice([f'class="{r.choice(names)}-{r.choice(names)}"', f'class="{_word(r)}_{r.choice(names)}"', _hint(r, *names), _hint(r, *names)])
+    return f"<{tag} {hint}>{inner}</{tag}>"
+
+
+def _bare(r: random.Random) -> list[tuple[str, bool]]:
+    """A page of text without an article's element, or without any element."""
+    head = r.choice(["", "<html><body>", "<body>", "<html><head></head><body>"])
+    if r.random() < 0.4:
+        return [(head, False), (" ".join(_sentence(r) for _ in range(r.choice([1, 1, 2, 5]))), True)]
+    return [(head, False), *((f"<p>{_paragraph(r)}</p>", True) for _ in range(r.choice([1, 1, 2, 3])))]
+
+
 def pages(count: int = 400, seed: int = 11) -> list[list[tuple[str, bool]]]:
     """Pages as fragments in order, each with whether its text is main text."""
     r, out = random.Random(seed), []
@@ -102,6 +132,10 @@ def pages(count: int = 400, seed: int = 11) -> list[list[tuple[str, bool]]]:
             if r.random() < 0.12:
                 at = r.randint(1, len(body)) if kind in ("ad", "aside") else len(body)
                 body.insert(at, (_side(r, kind), False))
+        for at, share in ((len(body), 0.3), (r.randint(0, len(body)), 0.3)):
+            if r.random() < share:
+                body.insert(at, (_box(r), False))
+        front, behind = ([(_box(r), False) for _ in range(r.choice([1, 1, 2]))] if r.random() < share else [] for share in (0.45, 0.7))
         head = f"<!DOCTYPE html><html><head><title>{_sentence(r, 2, 6)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"
-        out.append([(head, False), *((_side(r, k), False) for k in before), (open_, False), *body, (close, False), *((_side(r, k), False) for k in after), ("</body></html>" if r.random() < 0.9 else "", False)])
-    return out
+        out.append([(head, False), *((_side(r, k), False) for k in before), *front, (open_, False), *body, (close, False), *behind, *((_side(r, k), False) for k in after), ("</body></html>" if r.random() < 0.9 else "", False)])
+    return out + [_bare(r) for _ in range(count // 16)]

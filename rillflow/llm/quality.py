@@ -104,36 +104,6 @@ def fit(sample: DataFrame) -> LatentModel:
     return LatentModel(matrix, np.array([r["label"] for r in got], np.float32))
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.prior)
-        if not len(self.labels):
-            return out
-        k = min(NEAREST, len(self.labels))
-        for at in range(0, len(texts), BLOCK):
-            rows = np.stack([counts(t) for t in texts[at : at + BLOCK]])
-            cos = self.project(self.weigh(rows)) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            votes = np.exp(SHARPNESS * (np.take_along_axis(cos, near, 1).astype(np.float64) - 1))
-            vote = (votes * self.labels[near]).sum(1) / votes.sum(1)
-            out[at : at + BLOCK] = np.where(rows.any(1), np.clip(vote, 0, 1), self.prior)
-        return out
-
-
-def fit(sample: DataFrame) -> LatentModel:
-    """sample: (key, text, label), of bounded size. Only its feature counts reach the driver."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            key, label, text = batch.columns
-            yield pa.record_batch([key, label, pa.array([counts(t).tobytes() for t in text.to_pylist()], pa.binary())], names=["key", "label", "row"])
-
-    rows = sample.select(F.col("key").cast("string").alias("key"), "label", "text")
-    got = rows.mapInArrow(features, "key string, label int, row binary").toArrow().to_pandas()
-    got = got.sort_values(["key", "row"])
-    rows = np.stack([np.frombuffer(r, np.float32) for r in got["row"]]) if len(got) else np.zeros((0, BUCKETS + EXTRA), np.float32)
-    return LatentModel(rows, got["label"].to_numpy(np.float32))
-
-
 def score(df: DataFrame, model: LatentModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score): the likelihood of label 1, for every row of df."""
     sent = df.sparkSession.sparkContext.broadcast(model)
