@@ -12,9 +12,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rillflow.functions import jsonx, pycode, text
 from rillflow.operators import evaluate, execute, metrics
@@ -42,22 +44,22 @@ class FunctionChat:
         self.function = function
 
     def chat(self, rows: DataFrame) -> DataFrame:
-        names = ("content", "tool_calls", "prompt_tokens", "completion_tokens", "error")
+        reply = StructType.fromDDL(REPLY)
 
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                said = []
-                for messages, tools, choice in zip(pdf["messages"], pdf["tools"], pdf["choice"], strict=True):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = to_arrow_schema(reply)
+            for batch in batches:
+                said: list[dict] = []
+                for messages, tools, choice in zip(*(batch.column(c).to_pylist() for c in ("messages", "tools", "choice")), strict=True):
                     try:
                         said.append(self.function([_plain(m) for m in messages], [_plain(t) for t in tools], choice))
                     except Exception as e:  # noqa: BLE001  a call that fails is a row that says so
                         said.append({"error": f"{type(e).__name__}: {e}"})
-                kept = pdf[["key"]].reset_index(drop=True)
-                yield pd.concat([kept, pd.DataFrame([{n: r.get(n) for n in names} for r in said], columns=list(names), dtype=object)], axis=1)
+                made = [pa.array([r.get(f.name) for r in said], f.type) for f in kinds]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *kinds.names])
 
-        kind = rows.schema["key"].dataType.simpleString()
-        replies = rows.select("key", "messages", "tools", "choice").mapInPandas(ask, f"key {kind}, {REPLY}")
-        return rows.join(replies, "key")
+        # A row carries its reply: nothing is asked twice or joined back, so keys may be null or repeated.
+        return rows.mapInArrow(ask, StructType([*rows.schema.fields, *reply.fields]))
 
 
 def _plain(value: object) -> object:
@@ -99,14 +101,14 @@ def start(questions: DataFrame, system: str) -> DataFrame:
 def one_round(states: DataFrame, client: ChatClient, number: int, choice: str, timeout: float, folder: str, sandbox: str | None = None) -> DataFrame:
     """All states after one more round of those still open."""
     spark, path = states.sparkSession, f"{folder}/replies-{number}-{uuid.uuid4().hex}"
-    client.chat(states.where("NOT done").drop("error").withColumn("choice", F.when(F.size("tools") > 0, F.lit(choice)).otherwise(F.lit("none")))).write.parquet(path)
-    said = spark.read.parquet(path)  # asked once, read twice
-    calls = said.where("error IS NULL").select("key", "code", "tools", F.posexplode("tool_calls").alias("at", "call")).withColumns({"function": F.col("call.name"), "args": F.col("call.arguments"), "timeout": F.lit(timeout)})
+    client.chat(states.where("NOT done").drop("error").withColumn("choice", F.when(F.size("tools") > 0, F.lit(choice)).otherwise(F.lit("none")))).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    said = spark.read.parquet(path)  # asked once, read twice; a row's number holds from here on, whatever its key
+    calls = said.where("error IS NULL").select("_row", "code", "tools", F.posexplode("tool_calls").alias("at", "call")).withColumns({"function": F.col("call.name"), "args": F.col("call.arguments"), "timeout": F.lit(timeout)})
     known = F.exists("tools", lambda t: t["name"] == F.col("function"))
-    ran = execute.execute_jobs(calls.where(known).select("key", "at", "code", "function", "args", "timeout"), sandbox=sandbox).select("key", "at", "function", (F.col("status") == "Success").alias("ok"), F.when(F.col("status") == "Success", F.col("stdout")).otherwise(F.col("tool_result")).alias("content"))
-    strange = calls.where(~known).select("key", "at", "function", F.lit(False).alias("ok"), F.concat(F.lit("function : "), "function", F.lit(" does not exist")).alias("content"))
-    results = ran.unionByName(strange).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "function", "ok", "content"))).alias("results"))
-    rows = said.join(results, "key", "left").withColumn("results", F.coalesce("results", F.array().cast("array<struct<at: int, function: string, ok: boolean, content: string>>")))
+    ran = execute.execute_jobs(calls.where(known).select("_row", "at", "code", "function", "args", "timeout"), sandbox=sandbox).select("_row", "at", "function", (F.col("status") == "Success").alias("ok"), F.when(F.col("status") == "Success", F.col("stdout")).otherwise(F.col("tool_result")).alias("content"))
+    strange = calls.where(~known).select("_row", "at", "function", F.lit(False).alias("ok"), F.concat(F.lit("function : "), "function", F.lit(" does not exist")).alias("content"))
+    results = ran.unionByName(strange).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "function", "ok", "content"))).alias("results"))
+    rows = said.join(results, "_row", "left").withColumn("results", F.coalesce("results", F.array().cast("array<struct<at: int, function: string, ok: boolean, content: string>>")))
     fine, called = F.col("error").isNull(), F.size("results") > 0
     good = F.filter("results", lambda r: r["ok"])
     own = F.struct(F.lit("assistant").alias("role"), F.col("content"), F.lit(None).cast("string").alias("name"), "tool_calls")

@@ -11,11 +11,14 @@ import subprocess
 import sys
 import tempfile
 import urllib.request
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillflow.operators.rewards import EXEC_FAILED, EXEC_OK
 
@@ -79,10 +82,10 @@ def execute_jobs(jobs: DataFrame, partitions: int | None = None, sandbox: str |
     sandbox = sandbox or jobs.sparkSession.conf.get("rillflow.sandbox.url", None)
     rows = jobs.repartition(partitions) if partitions else jobs
 
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for code, function, args, timeout in zip(pdf["code"], pdf["function"], pdf["args"], pdf["timeout"], strict=True):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for code, function, args, timeout in zip(*(batch.column(c).to_pylist() for c in ("code", "function", "args", "timeout")), strict=True):
                 try:
                     given = json.loads(args or "{}")
                 except ValueError:
@@ -93,10 +96,12 @@ def execute_jobs(jobs: DataFrame, partitions: int | None = None, sandbox: str |
                     got = run_in_sandbox(sandbox, code or "", function, given, float(timeout or 10)) if sandbox else run_code(code or "", function, given, float(timeout or 10))
                 ok = got["status"] == "Success"
                 out.append({**got, "tool_result": (got["stdout"] or "(no output)") if ok else f"Error: {got['stderr']}", "reward_delta": EXEC_OK if ok else EXEC_FAILED})
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["status", "stdout", "stderr", "tool_result", "reward_delta"])], axis=1)
+            made = [pa.array([r[f.name] for r in out], pa.float64() if f.name == "reward_delta" else pa.string()) for f in result]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *result.names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema)
-    return rows.mapInPandas(work, f"{kinds}, {RESULT}")
+    # The jobs' own columns stay Arrow arrays, so keys come back as they were, nulls among 64-bit numbers too.
+    result = StructType.fromDDL(RESULT)
+    return rows.mapInArrow(work, StructType([*jobs.schema.fields, *result.fields]))
 
 
 class ModelClient(Protocol):

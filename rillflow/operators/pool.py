@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,22 +20,28 @@ def pool_state(events: DataFrame, cap: int = POOL_CAP, category: str = "category
     cap = max(1, cap)
     columns = [category, "seq", "quality", *[c for c in events.columns if c not in (category, "seq", "quality")]]
 
-    def fold(batches):
-        own, held = None, []
-        for pdf in batches:
-            done = []
-            for row in pdf.itertuples(index=False, name=None):
-                if row[0] != own:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, schema = None, [], None
+        for batch in batches:
+            done, schema = [], batch.schema
+            for row in batch.to_pylist():
+                if row[category] != own:
                     done += held
-                    own, held = row[0], []
+                    own, held = row[category], []
                 if len(held) >= cap:
-                    held.remove(min(held, key=lambda t: (t[2], t[1])))
+                    held.remove(min(held, key=worth))
                 held.append(row)
-            yield pd.DataFrame(done, columns=columns)
-        yield pd.DataFrame(held, columns=columns)
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     rows = events.select(*columns)
-    return rows.repartition(category).sortWithinPartitions(category, "seq").mapInPandas(fold, rows.schema)
+    return rows.repartition(category).sortWithinPartitions(category, "seq").mapInArrow(fold, rows.schema)
+
+
+def worth(tool: dict) -> tuple:
+    """What the tool that goes has least of: quality, then age; nulls are least of all."""
+    return tool["quality"] is not None, tool["quality"] or 0.0, tool["seq"] is not None, tool["seq"] or 0
 
 
 def newest(pool: DataFrame, n: int, category: str = "category") -> DataFrame:

@@ -70,11 +70,6 @@ def build_total(env: Column | str, score: Column | str, items: Column | str) ->
     return _col(env) + F.coalesce(F.try_divide(_col(score), _col(items)), F.lit(0.0))
 
 
-def judge_gate(syntax_ok: Column, reason: Column, judged: Column) -> Column:
-    """-0.5 for a syntax error, 0 where the code lacks the function, half the judge's score for another mismatch, else the score."""
-    return F.when(~syntax_ok, -0.5).when(reason == "function_not_found", 0.0).when(reason.isNotNull(), F.coalesce(judged, F.lit(0.0)) * 0.5).otherwise(F.coalesce(judged, F.lit(0.0)))
-
-
 def spam_penalty(text: Column | str, most: float = 2.0, per: float = 0.5) -> Column:
     return spam_penalty_of(answer_tag_count(text), most, per)
 

@@ -19,18 +19,14 @@ def alias_eval(df: DataFrame) -> DataFrame:
 def cumulative_cap(df: DataFrame, band: str, order: str, per_band: int) -> DataFrame:
     """Keeps rows with an answer, in order of band, up to per_band times the bands so far: a short band is topped up by the next."""
     rows = df.where("answer IS NOT NULL")
-    counts = rows.groupBy(band).agg(F.count("*").alias("n"))
-    every = Window.orderBy(band)  # one row per band
-    upto = counts.withColumn("i", F.row_number().over(every)).orderBy(band).collect()
-    kept, takes = 0, []
-    for r in upto:
-        take = max(0, min(r["n"], per_band * r["i"] - kept))
-        takes.append((r[band], take))
-        kept += take
-    if not takes:
-        return rows
-    small = df.sparkSession.createDataFrame(takes, f"{band} {df.schema[band].dataType.simpleString()}, take long")
-    return rank_within(rows, band, order, "_rn").join(F.broadcast(small), band).where("_rn <= take").select(*df.columns)
+    counts = rows.groupBy(F.col(band).alias("_band")).agg(F.count("*").alias("_n"))
+    every = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per band
+    counts = counts.withColumn("_cap", F.row_number().over(Window.orderBy("_band")) * per_band).withColumn("_upto", F.sum("_n").over(every))
+    # The rows kept so far are what the tightest of the caps up to here leaves: all since then, or all there are.
+    counts = counts.withColumn("_kept", F.col("_upto") + F.least(F.lit(0), F.min(F.col("_cap") - F.col("_upto")).over(every)))
+    takes = counts.select("_band", (F.col("_kept") - F.coalesce(F.lag("_kept").over(Window.orderBy("_band")), F.lit(0))).alias("_take"))
+    ranked = rank_within(rows, band, order, "_rn").join(takes, F.col(band).eqNullSafe(F.col("_band")))
+    return ranked.where("_rn <= _take").select(*df.columns)
 
 
 def rank_within(df: DataFrame, by: str, order: str, name: str, ranges: int = 64) -> DataFrame:

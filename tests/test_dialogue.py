@@ -98,3 +98,20 @@ def test_connectors(spark, server, tmp_path):
     score, log = dialogue.full_test(tool, tests, dialogue.http_chat(f"{server}/v1", "m"), str(tmp_path), "twice_task", sandbox=f"{server}/run")
     assert score.first().asDict() | {"usage": 1.0} == {"hit": 1, "total": 2, "accuracy": 0.5, "usage": 1.0}
     assert {r["total_prompt_tokens"] for r in log.collect()} == {10}
+
+
+BIG = 2**53
+
+
+def test_keys_come_back_as_they_are(spark, tmp_path):
+    """64-bit keys beside a null one, repeated ones too: through tool runs and whole conversations."""
+    code = "def twice(x):\n    return 2 * x"
+    rows = [(BIG + 1, "go", "8", code), (None, "go", "8", code), (BIG + 3, "plain", "8", code), (BIG + 3, "crash", "8", code)]
+    asked = questions(spark, rows).coalesce(1)
+    jobs = asked.select("key", "code", F.lit("twice").alias("function"), F.lit('{"x": 4}').alias("args"), F.lit(10).alias("timeout"), "tools")
+    ran = execute.execute_jobs(jobs).collect()
+    assert sorted(((r["key"], r["stdout"]) for r in ran), key=repr) == sorted([(BIG + 1, "8"), (None, "8"), (BIG + 3, "8"), (BIG + 3, "8")], key=repr)
+    assert ran[0]["tools"][0]["name"] == "twice"
+    log = dialogue.converse(asked, client(), str(tmp_path), max_rounds=3).collect()
+    assert sorted((r["key"], r["question"], r["error"] is None) for r in log if r["key"]) == [(BIG + 1, "go", True), (BIG + 3, "crash", False), (BIG + 3, "plain", True)]
+    assert [(r["key"], r["total_rounds"]) for r in log if r["key"] is None] == [(None, 2)]
