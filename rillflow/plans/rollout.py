@@ -105,7 +105,7 @@ def rollout(
     use = wanted.join(merged, PROMPT).select(*PROMPT, "category", F.col("meta")["target_question"].alias("prompt"), F.col("meta")["target_answer"].alias("target_answer"), "code", "tools")
     used = run_use(use, client, folder, count_tokens=count_tokens, max_model_len=max_model_len)
     used = rewards.use_rewards(scoring.judge_answers(used, judge) if judge else used)
-    build = parsed.join(merged.select(*PROMPT), PROMPT, "left_anti").withColumn("tests", F.col("meta")["tool_test_set"]).select(*PROMPT, "category", "tests", F.col("clean_prompt").alias("prompt"), F.lit(0).alias("turn"))
+    build = parsed.join(merged.select(*PROMPT), PROMPT, "left_anti").withColumn("tests", F.col("meta")["tool_test_set"]).select(*PROMPT, "category", "task_type", "tests", F.col("clean_prompt").alias("prompt"), F.lit(0).alias("turn"))
     path = f"{folder}/builds-{uuid.uuid4().hex}"
     gate_builds(client.generate(build)).write.parquet(path)  # read more than once from here on, asked and parsed once
     gated = build.sparkSession.read.parquet(path)
