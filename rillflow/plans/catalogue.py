@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillflow.functions import jsonx, numbers, pycode, text, verify
-from rillflow.operators import evaluate, execute, metrics, pool, rewards, rows
+from rillflow.functions import jsonx, logic, numbers, pycode, text, verify
+from rillflow.operators import evaluate, execute, ladder, metrics, pool, rewards, rows
 from rillflow.plans import rollout
 from rillflow.sources import tasks as task_source
 
@@ -356,6 +356,93 @@ def judge_left_join(spark, sf_dir):
     return rows.with_scores(table(spark, sf_dir, "customer").select("c_custkey"), scores, "c_custkey").select("c_custkey", F.round("score", 2).alias("score"))
 
 
+# ---- logic, ladders and deadlines ------------------------------------------------------------------------------
+@query(r"""
+WITH RECURSIVE said AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+'), lambda w: regexp_full_match(w, '[a-z]{4}')) AS ws FROM documents),
+words AS (SELECT DISTINCT unnest(ws) AS word FROM said),
+keys AS (SELECT word, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS pattern FROM words, range(1, 5) r(i)),
+edges AS (SELECT DISTINCT a.word AS a, b.word AS b FROM keys a JOIN keys b USING (pattern) WHERE a.word <> b.word),
+puzzles AS (SELECT DISTINCT list_min(ws) AS start, list_max(ws) AS target FROM said WHERE len(ws) > 0),
+walk(start, word, steps, ladder) USING KEY (start, word) AS (
+  SELECT DISTINCT start, start, 0, start FROM puzzles
+  UNION SELECT w.start, e.b, w.steps + 1, min(w.ladder || ',' || e.b) FROM walk w JOIN edges e ON e.a = w.word
+    WHERE w.steps < 5 AND NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.start = w.start AND r.word = e.b) GROUP BY w.start, e.b, w.steps)
+SELECT p.start, p.target, w.steps, w.ladder FROM puzzles p LEFT JOIN walk w ON w.start = p.start AND w.word = p.target""")
+def word_ladders(spark, sf_dir):
+    """Shortest ladders of at most five steps from the least to the greatest word of four small letters of every document, over all of
+    their words."""
+    found = F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{4}$"))
+    said = table(spark, sf_dir, "documents").select(found.alias("ws"))
+    puzzles = said.where("size(ws) > 0").select(F.array_min("ws").alias("start"), F.array_max("ws").alias("target"))
+    ladders = ladder.shortest_ladders(puzzles, said.select(F.explode("ws").alias("word")), 5)
+    return ladders.select("start", "target", "steps", F.array_join("ladder", ",").alias("ladder"))
+
+
+_OPS = ("AND", "OR", "IMPLIES", "IFF")
+
+
+def _sql_op(op: str, a: str, b: str) -> str:
+    return f"(CASE {op} WHEN 0 THEN {a} AND {b} WHEN 1 THEN {a} OR {b} WHEN 2 THEN NOT ({a}) OR {b} ELSE ({a}) = ({b}) END)"
+
+
+_MIXED = f"CASE WHEN o1 <= o2 AND NOT (o1 = 2 AND o2 = 2) THEN {_sql_op('o2', _sql_op('o1', 'p', 'q'), 'NOT r')} ELSE {_sql_op('o1', 'p', _sql_op('o2', 'q', 'NOT r'))} END"
+_GROUPED = f"NOT {_sql_op('o3', 'r', _sql_op('o1', 's', 'q'))}"
+_GOAL = _sql_op("o3", "p", _sql_op("o2", "NOT s", "r"))
+
+
+@query(f"""
+WITH w AS (SELECT range AS w, range & 1 = 1 AS p, range & 2 = 2 AS q, range & 4 = 4 AS r, range & 8 = 8 AS s FROM range(16)),
+o AS (SELECT p_partkey, p_size, p_partkey % 4 AS o1, (p_partkey // 4) % 4 AS o2, (p_partkey // 16) % 4 AS o3 FROM part),
+v AS (SELECT p_partkey, p_size, w, {_MIXED} AS mixed, {_GROUPED} AS grouped, {_GOAL} AS goal FROM o, w)
+SELECT p_partkey, CAST(sum(CASE WHEN w < 8 AND mixed THEN 1 << w ELSE 0 END) AS BIGINT) AS mixed, CAST(sum(CASE WHEN mixed AND w < 8 THEN 1 ELSE 0 END) AS BIGINT) AS models,
+  CAST(sum(CASE WHEN grouped AND w & 1 = 0 THEN 1 << (w >> 1) ELSE 0 END) AS BIGINT) AS grouped, bool_and(NOT (mixed AND grouped) OR goal) AS entailed, bool_or(goal AND w = p_size % 16) AS here FROM v GROUP BY p_partkey""")
+def logic_tables(spark, sf_dir):
+    """Formulas whose connectives depend on the row, without and with parentheses: truth tables, models, entailment, truth in a world."""
+    op = lambda n: F.element_at(F.array(*map(F.lit, _OPS)), (F.floor(F.col("p_partkey") / n) % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", op(1).alias("o1"), op(4).alias("o2"), op(16).alias("o3"))
+    mixed, grouped, goal = F.format_string("P %s Q %s NOT R", "o1", "o2"), F.format_string("not (R %s (S %s Q))", "o3", "o1"), F.format_string("P %s (~S %s R)", "o3", "o2")
+    rows = p.select("p_partkey", "p_size", mixed.alias("a"), grouped.alias("b"), goal.alias("c"))
+    bit = lambda i: F.getbit("p_size", F.lit(i)) == 1
+    world = F.create_map(F.lit("P"), bit(0), F.lit("R"), bit(2), F.lit("S"), bit(3))
+    tables = rows.select("p_partkey", logic.truth_table("a").alias("mixed"), logic.truth_table("b").alias("grouped"), logic.entails(F.array("a", "b"), "c").alias("entailed"), logic.evaluate("c", world).alias("here"))
+    return tables.withColumn("models", logic.models("mixed"))
+
+
+_CLAIM = "CASE k{0} WHEN 0 THEN NOT x{1} WHEN 1 THEN x{1} WHEN 2 THEN x{1} AND NOT x{2} WHEN 3 THEN NOT x{0} OR NOT x{1} WHEN 4 THEN NOT x{1} OR x{2} ELSE x{1} = x{2} END"
+
+
+@query(f"""
+WITH w AS (SELECT range & 1 = 1 AS x0, range & 2 = 2 AS x1, range & 4 = 4 AS x2 FROM range(8)),
+k AS (SELECT c_custkey, c_custkey % 6 AS k0, (c_custkey // 6) % 6 AS k1, (c_custkey // 36) % 6 AS k2 FROM customer),
+f AS (SELECT c_custkey, x0, x1, x2, ({_CLAIM.format(0, 1, 2)}) = x0 AND ({_CLAIM.format(1, 2, 0)}) = x1 AND ({_CLAIM.format(2, 0, 1)}) = x2 AS fits FROM k, w)
+SELECT c_custkey, count(*) FILTER (WHERE fits) AS worlds, CASE WHEN count(*) FILTER (WHERE fits) = 1 THEN max(CASE WHEN fits THEN 'Ann is a ' || CASE WHEN x0 THEN 'knight' ELSE 'knave' END || ', Bob is a ' || CASE WHEN x1 THEN 'knight' ELSE 'knave' END || ', Cid is a ' || CASE WHEN x2 THEN 'knight' ELSE 'knave' END END) END AS solution
+FROM f GROUP BY c_custkey""")
+def knights_solved(spark, sf_dir):
+    """Three people's statements, as nested tuples that depend on the row: the worlds that fit, and the answer where one does."""
+    kind = lambda i: (F.floor(F.col("c_custkey") / 6**i) % 6 + 1).cast("int")
+    forms = ("('lying', {1})", "('telling-truth', {1})", "('and', ('telling-truth', {1}), ('lying', {2}))", "('or', ('lying', {0}), ('lying', {1}))", "('->', ('telling-truth', {1}), ('telling-truth', {2}))", "('<=>', ('telling-truth', {1}), ('not', ('lying', {2})))")
+    said = [F.element_at(F.array(*[F.lit(f.format(i, (i + 1) % 3, (i + 2) % 3)) for f in forms]), kind(i)) for i in range(3)]
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("("), F.concat_ws(", ", *said), F.lit(")")).alias("said"))
+    rows = rows.select("c_custkey", logic.statement_masks("said").alias("masks"))
+    people = F.array(*map(F.lit, ("Ann", "Bob", "Cid")))
+    return rows.select("c_custkey", F.bit_count(logic.knights_worlds("masks")).cast("long").alias("worlds"), logic.knights_solution("masks", people).alias("solution"))
+
+
+@query("""
+WITH s AS (SELECT event_id, ts, value, greatest(30 * 5 * (event_id % 16) + 60, 40) AS deadline FROM events), r AS (SELECT event_id - 7 AS event_id, ts AS scored_at, value AS score FROM events)
+SELECT s.event_id, CAST(s.deadline AS BIGINT) AS deadline, CASE WHEN r.scored_at BETWEEN s.ts AND least(s.ts + INTERVAL 1 HOUR, s.ts + to_seconds(s.deadline)) THEN r.score ELSE 0 END AS score,
+  coalesce(r.scored_at BETWEEN s.ts AND least(s.ts + INTERVAL 1 HOUR, s.ts + to_seconds(s.deadline)), false) AS in_time FROM s LEFT JOIN r USING (event_id)""")
+def deadline_scores(spark, sf_dir):
+    """Every event is a state, scored by the event seven later; scores past the deadline of its number of questions leave 0."""
+    from rillflow.streaming import deadlines
+
+    events = table(spark, sf_dir, "events")
+    due = deadlines.build_deadline(F.lit(30), F.lit(5), F.col("event_id") % 16)
+    states = events.select("event_id", F.col("ts").alias("asked_at"), due.cast("long").alias("deadline"))
+    scores = events.select((F.col("event_id") - 7).alias("event_id"), F.col("ts").alias("scored_at"), F.col("value").alias("score"))
+    return deadlines.scores_in_time(states, scores, "event_id").drop("asked_at")
+
+
 # ---- dates and numbers -----------------------------------------------------------------------------------------
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%A') AS weekday, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS days, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1 AS days_inclusive,
   (o_orderdate::DATE + (o_orderkey % 200)::INT)::DATE AS later, (o_orderdate::DATE - (o_orderkey % 200)::INT)::DATE AS earlier, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap FROM orders""")
