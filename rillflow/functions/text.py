@@ -15,6 +15,7 @@ TOOL_CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 THINK_END = "</think>"
 TOOL_RESPONSE_END = "</tool_response>"
 ANSWER_MARK = "FINAL_ANSWER"
+ANSWER_TAG = r"(?i)FINAL[_\s]*ANSWER\s*:"
 BOXED_ONE_LEVEL = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 MAIN_GUARD = r"^if\s+__name__\s*==\s*['\"]__main__['\"]\s*:"
 
@@ -101,9 +102,7 @@ def answer_box_first(text: Column | str) -> Column:
 
 
 def balanced_boxed(text: Column | str) -> Column:
-    """The body of the last \\boxed{ whose braces balance, at any depth, by a fold over characters; null if it never closes."""
-    t = _col(text)
-    tail = F.when(F.contains(t, F.lit("\\boxed{")), F.substring_index(t, "\\boxed{", -1))
+    """The body of the last \\boxed{ whose braces balance, at any depth, by a fold over characters; null if none closes."""
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -111,15 +110,20 @@ def balanced_boxed(text: Column | str) -> Column:
         end = F.when((acc["end"] < 0) & (depth == 0), acc["at"]).otherwise(acc["end"])
         return F.struct(depth.alias("depth"), (acc["at"] + 1).alias("at"), end.alias("end"))
 
-    end = F.aggregate(F.split(tail, ""), start, step)["end"]
-    return F.when(end >= 0, F.substring(tail, F.lit(1), end))
+    def body(tail: Column) -> Column:
+        end = F.aggregate(F.split(tail, ""), start, step)["end"]
+        return F.when(end >= 0, F.substring(tail, F.lit(1), end))
+
+    tails = lambda parts: F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: body(F.array_join(F.slice(parts, i, F.size(parts)), "\\boxed{")))
+    found = F.transform(F.array(F.split(_col(text), r"\\boxed\{", -1)), lambda parts: F.when(F.size(parts) > 1, F.try_element_at(F.filter(tails(parts), lambda x: x.isNotNull()), F.lit(-1))))
+    return F.get(found, F.lit(0))
 
 
 def answer_rewards(text: Column | str) -> Column:
-    """C: after the thoughts, the last marked line, else the last balanced \\boxed{}, else an <answer> element."""
+    """C: after the thoughts, the last marked line if it is not empty, else the last balanced \\boxed{}, else an <answer> element."""
     t = after_think(_col(text))
-    marked = blank_to_null(strip_space(F.try_element_at(F.regexp_extract_all(t, F.lit(rf"{ANSWER_MARK}:[ \t]*([^\n]*)"), F.lit(1)), F.lit(-1))))
-    tagged = blank_to_null(strip_space(F.regexp_extract(t, r"(?s)<answer>(.*?)</answer>", 1)))
+    marked = blank_to_null(strip_space(F.try_element_at(F.regexp_extract_all(t, F.lit(rf"{ANSWER_TAG}\s*([^\n\r]*)"), F.lit(1)), F.lit(-1))))
+    tagged = F.when(F.regexp_like(t, F.lit(r"(?s)<answer>.*?</answer>")), strip_space(F.regexp_extract(t, r"(?s)<answer>(.*?)</answer>", 1)))
     return F.coalesce(marked, strip_space(balanced_boxed(t)), tagged)
 
 
@@ -195,7 +199,7 @@ def template_delta(before: Column | str, after: Column | str, result: Column | s
 
 def answer_tag_count(text: Column | str) -> Column:
     t = _col(text)
-    return F.greatest(F.regexp_count(t, F.lit(f"{ANSWER_MARK}:")), F.regexp_count(t, F.lit(r"\\boxed\{")))
+    return F.greatest(F.regexp_count(t, F.lit(ANSWER_TAG)), F.regexp_count(t, F.lit(r"\\boxed\{")))
 
 
 def clip(text: Column | str, size: int, end: bool = False) -> Column:

@@ -103,6 +103,39 @@ def cryptarithm_parse(puzzle: Column | str) -> tuple[Column, Column]:
     return F.split(F.substring_index(flat, "=", 1), "\\+"), F.substring_index(flat, "=", -1)
 
 
+def cryptarithm_block(question: Column | str) -> Column:
+    """struct(words, result, leading_zero) of a word sum set out in lines: words, dashes, the result; null without one."""
+    q = _col(question)
+    body = r"(?s)cryptarithm:\s*\n\n(.*?)\n\nEach letter"
+    lines = F.filter(F.transform(F.split(F.regexp_extract(q, body, 1), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def read(rows: Column) -> Column:
+        at = F.array_position(F.transform(rows, lambda x: F.regexp_like(x, F.lit("^-+$"))), True).cast("int")
+        after = F.filter(F.slice(rows, at + 1, F.size(rows)), lambda x: ~F.regexp_like(x, F.lit("^-+$")))
+        words = F.transform(F.slice(rows, F.lit(1), at - 1), lambda x: F.regexp_replace(x, r"^\+\s*", ""))
+        found = (at > 1) & (F.size(after) > 0)
+        return F.when(found, F.struct(words.alias("words"), F.get(after, F.lit(0)).alias("result"), F.contains(q, F.lit("Leading letters may be zero")).alias("leading_zero")))
+
+    return F.get(F.transform(F.array(lines), lambda rows: F.when(F.array_contains(F.transform(rows, lambda x: F.regexp_like(x, F.lit("^-+$"))), True), read(rows))), F.lit(0))
+
+
+def letter_digits(text: Column | str) -> Column:
+    """map<string,int> of the parts `A=1` of a text cut at commas; parts without = are left out, of a letter's the last counts;
+    null where a digit is no integer, or none is given."""
+    parts = F.filter(F.split(_col(text), ","), lambda x: F.contains(x, F.lit("=")))
+    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).try_cast("int").alias("v")))
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda later: later["k"] == p["k"]))
+    return F.get(F.transform(F.array(pairs), lambda ps: F.when((F.size(ps) > 0) & F.forall(ps, lambda p: p["v"].isNotNull()), F.map_from_entries(last(ps)))), F.lit(0))
+
+
+def cryptarithm_solved(question: Column | str, predicted: Column | str) -> Column:
+    """Whether an answer solves the word sum of its question; false where the question has none."""
+    sum_ = cryptarithm_block(question)
+    given = letter_digits(predicted)
+    strict, loose = (cryptarithm_holds(sum_["words"], sum_["result"], given, zero) for zero in (False, True))
+    return F.coalesce(sum_.isNotNull() & given.isNotNull() & F.when(sum_["leading_zero"], loose).otherwise(strict), F.lit(False))
+
+
 def knights_roles(text: Column | str) -> Column:
     """Sorted distinct 'name:role' of the statements `X is a knight/knave`."""
     p = r"(?i)\b([a-z]+)\s+is\s+an?\s+([a-z]+)"
@@ -157,7 +190,7 @@ def context_shifted(arguments: Column | str, question: Column | str) -> Column:
     """Whether question-like arguments (array of texts) exist and none matches the expected question."""
     q = normalize_question(question)
     said = F.transform(_col(arguments), lambda a: normalize_question(a))
-    near = lambda a: (a != "") & ((a == q) | ((F.length(a) >= 20) & (F.length(q) >= 20) & (F.contains(a, q) | F.contains(q, a))))
+    near = lambda a: (a != "") & ((a == q) | ((F.length(a) >= 20) & (F.contains(a, q) | F.contains(q, a))))
     return (F.size(said) > 0) & (q != "") & ~F.exists(said, near)
 
 

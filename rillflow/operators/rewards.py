@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import _col, answer_tag_count
+from rillflow.functions.text import ANSWER_TAG, _col, answer_tag_count
 
 #: Fixed values of the reward design.
 EXEC_OK, EXEC_FAILED = 0.3, -0.2
@@ -81,7 +81,7 @@ def spam_penalty_of(count: Column | str, most: float = 2.0, per: float = 0.5) ->
 
 def format_reward(text: Column | str) -> Column:
     t = _col(text)
-    return F.when(F.contains(t, F.lit("FINAL_ANSWER:")) | F.contains(t, F.lit("\\boxed{")), 0.5).otherwise(0.0)
+    return F.when(F.regexp_like(t, F.lit(ANSWER_TAG)) | F.contains(t, F.lit("\\boxed{")), 0.5).otherwise(0.0)
 
 
 def tool_usage_reward(names: Column | str) -> Column:

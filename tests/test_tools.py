@@ -12,7 +12,7 @@ def completions(spark):
 
     rows = [
         ("a", "How many cows are there now?", [said("", [{"name": "create_tool", "arguments": '{"code": "def f(: pass", "question": "how many COWS are there now"}'}]), said("ok", role="tool", name="call_tool")]),
-        ("b", "How many cows?", [said(f'<tool_call>{{"name": "f", "arguments": {{"question": "other"}}}}</tool_call><tool_call>{{bad</tool_call>\n{FENCE}json\n{{\n{FENCE}\n{FENCE}python\nx = (\n{FENCE}')]),
+        ("b", "How many cows?", [said(f'<tool_call>{{"name": "f", "arguments": {{"question": "other"}}}}</tool_call><tool_call>{{bad}}</tool_call>\n{FENCE}json\n{{\n{FENCE}\n{FENCE}python\nx = (\n{FENCE}')]),
         ("c", None, [said("nothing")]), ("d", "q", []),
     ]
     return spark.createDataFrame(rows, MESSAGES)
@@ -28,7 +28,7 @@ def test_payloads(spark):
 def test_penalties(spark):
     got = {r["rollout_id"]: (r["python_penalty"], r["json_penalty"], r["both_penalty"]) for r in payloads.penalties(completions(spark)).collect()}
     assert got["b"] == (-1.0, -1.0, -2.0) and got["c"] == got["d"] == (0.0, 0.0, 0.0)
-    assert {r["rollout_id"]: r["score"] for r in payloads.step2_scores(completions(spark)).collect()} == {"a": 0.5, "b": 0.0, "c": 0.0, "d": 0.0}
+    assert {r["rollout_id"]: r["score"] for r in payloads.step2_scores(completions(spark)).collect()} == dict.fromkeys("abcd", 0.0)  # none calls a tool
 
 
 def test_shifted(spark):
