@@ -599,17 +599,10 @@ def task_verified(spark, sf_dir):
     return out
 
 
-@query("""
-WITH u AS (SELECT n_nationkey AS k FROM nation)
-SELECT 'b' || (k % 2) AS batch_id, CAST(k AS BIGINT) AS prompt_index, 'use' AS kind, CAST(CASE WHEN k % 5 = 0 THEN -1 ELSE 2 * k END AS VARCHAR) AS answer, CAST(k % 5 <> 0 AS INTEGER) AS correct,
-  NULL::VARCHAR AS reason, NULL::DOUBLE AS score, 0.2::DOUBLE AS env_reward FROM u
-UNION ALL SELECT 'b' || (k % 2), 1000 + k, 'build', NULL, NULL, CASE WHEN k % 4 = 2 THEN 'schema_function_mismatch' END, CASE k % 4 WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE 2.0 END, CASE k % 4 WHEN 1 THEN 1.5 WHEN 2 THEN 0.0 ELSE 2.5 END FROM u""")
-def rollout_batch(spark, sf_dir):
-    """Two batches answered by replay: use prompts with one tool call and an answer, and builds (right, wrong, or not fitting
-    their schema) that are run on two test questions."""
+def _replayed(spark: SparkSession, n: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """plans.rollout of two batches, answered by replay, with a use prompt and a build for each k of n."""
     from rillflow.sources.replay import batch_folder
 
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     batch = F.concat(F.lit("b"), F.col("k") % 2)
     fence = "`" * 3
     tests = F.array(*[F.struct(F.lit(f"Thrice {i}").alias("question"), F.lit(str(3 * i)).alias("answer")) for i in (1, 2)])
@@ -634,12 +627,75 @@ def rollout_batch(spark, sf_dir):
     replies = answered(n, F.concat(F.lit("Twice "), "k"), "twice", F.col("k"), 2 * F.col("k"), F.when(F.col("k") % 5 == 0, F.lit(-1)).otherwise(2 * F.col("k")))
     replies = replies.unionByName(builds.select(text.strip_metadata("prompt").alias("prompt"), F.lit(0).alias("turn"), body.alias("reply")))
     replies = replies.unionByName(answered(trials, asked, "thrice", F.col("i"), F.col("by") * F.col("i"), F.col("by") * F.col("i"))).distinct()
-    used, scored, _ = rollout.rollout(uses.unionByName(builds.drop("k")), tools, execute.ReplayClient(replies), batch_folder(spark))
+    return rollout.rollout(uses.unionByName(builds.drop("k")), tools, execute.ReplayClient(replies), batch_folder(spark))
+
+
+@query("""
+WITH u AS (SELECT n_nationkey AS k FROM nation)
+SELECT 'b' || (k % 2) AS batch_id, CAST(k AS BIGINT) AS prompt_index, 'use' AS kind, CAST(CASE WHEN k % 5 = 0 THEN -1 ELSE 2 * k END AS VARCHAR) AS answer, CAST(k % 5 <> 0 AS INTEGER) AS correct,
+  NULL::VARCHAR AS reason, NULL::DOUBLE AS score, 0.2::DOUBLE AS env_reward FROM u
+UNION ALL SELECT 'b' || (k % 2), 1000 + k, 'build', NULL, NULL, CASE WHEN k % 4 = 2 THEN 'schema_function_mismatch' END, CASE k % 4 WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE 2.0 END, CASE k % 4 WHEN 1 THEN 1.5 WHEN 2 THEN 0.0 ELSE 2.5 END FROM u""")
+def rollout_batch(spark, sf_dir):
+    """Two batches answered by replay: use prompts with one tool call and an answer, and builds (right, wrong, or not fitting
+    their schema) that are run on two test questions."""
+    used, scored, _ = _replayed(spark, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k")))
     left = used.select("batch_id", "prompt_index", F.lit("use").alias("kind"), "answer", "correct", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("score"), F.round("env_reward", 6).alias("env_reward"))
     right = scored.select("batch_id", "prompt_index", F.lit("build").alias("kind"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("int").alias("correct"), F.col("step1_failure_reason").alias("reason"), "score", F.round("env_reward", 6).alias("env_reward"))
     return left.unionByName(right)
 
 
+@query("""
+WITH k AS (SELECT s_suppkey AS k FROM supplier),
+rows AS (
+  SELECT 'b' || (k % 2) AS batch_id, 'use' AS kind, 'double' AS category, 1.0::DOUBLE AS turns, 0.2::DOUBLE AS env, CASE WHEN k % 5 = 0 THEN 0.0 ELSE 2 * 0.88 END AS won, k % 5 <> 0 AS correct, NULL AS reason, 0.0 AS calls, 0.0 AS fine, 0.0 AS score FROM k
+  UNION ALL SELECT 'b' || (k % 2), 'build', 'triple', 0.0, CASE k % 4 WHEN 1 THEN 1.5 WHEN 2 THEN 0.0 ELSE 2.5 END, 0.0, false, CASE WHEN k % 4 = 2 THEN 'schema_function_mismatch' END, CASE WHEN k % 4 = 2 THEN 0.0 ELSE 2.0 END, CASE WHEN k % 4 = 2 THEN 0.0 ELSE 2.0 END, CASE WHEN k % 4 IN (1, 2) THEN 0.0 ELSE 1.0 END FROM k),
+m AS (
+  SELECT batch_id, 'num_turns_mean' AS name, avg(turns) AS value FROM rows GROUP BY 1 UNION ALL SELECT batch_id, 'num_turns_min', min(turns) FROM rows GROUP BY 1 UNION ALL SELECT batch_id, 'num_turns_max', max(turns) FROM rows GROUP BY 1
+  UNION ALL SELECT batch_id, 'rollout/' || kind || '/env_reward', avg(env) FROM rows GROUP BY batch_id, kind
+  UNION ALL SELECT batch_id, 'rollout/' || kind || '/step1_failed_rate', avg(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) FROM rows GROUP BY batch_id, kind
+  UNION ALL SELECT batch_id, 'rollout/' || kind || '/step1_fail_' || g || '_rate', avg(CASE WHEN reason = g THEN 1 ELSE 0 END) FROM rows, unnest(['missing_python_or_schema', 'schema_missing_function_name', 'schema_function_mismatch', 'schema_param_mismatch', 'invalid_tool_schema', 'xgrammar_incompatible_schema']) t(g) GROUP BY batch_id, kind, g
+  UNION ALL SELECT batch_id, 'rollout/' || kind || '/' || c, avg(CASE WHEN kind = 'use' OR (reason IS NOT NULL AND c = 'schema_param_reward') THEN 0.0 WHEN c = 'build_format_reward' THEN CASE WHEN reason IS NULL THEN 1.5 ELSE 0 END WHEN reason IS NOT NULL AND c = 'schema_fn_reward' THEN 0.0 ELSE 0.5 END)
+    FROM rows, unnest(['build_format_reward', 'step1_format_reward', 'schema_fn_reward', 'schema_param_reward']) t(c) GROUP BY batch_id, kind, c
+  UNION ALL SELECT batch_id, 'rollout/build/build_eval_reward', avg(score) FROM rows WHERE kind = 'build' GROUP BY 1 UNION ALL SELECT DISTINCT batch_id, 'rollout/build/judge_reward', 0.0 FROM rows
+  UNION ALL SELECT batch_id, 'rollout/build/tool_call_count', avg(calls) FROM rows WHERE kind = 'build' GROUP BY 1 UNION ALL SELECT batch_id, 'rollout/build/tool_success_call_count', avg(fine) FROM rows WHERE kind = 'build' GROUP BY 1
+  UNION ALL SELECT DISTINCT batch_id, 'rollout/build/tool_error_call_count', 0.0 FROM rows UNION ALL SELECT batch_id, 'rollout/build/tool_success_call_rate', avg(CASE WHEN calls > 0 THEN fine / calls ELSE 0 END) FROM rows WHERE kind = 'build' GROUP BY 1
+  UNION ALL SELECT DISTINCT batch_id, name, value FROM rows, (VALUES ('rollout/use/tool_exec_raw', 0.3), ('rollout/use/tool_exec_norm', 0.2), ('rollout/use/tool_exec_scaled', 0.2), ('rollout/use/efficiency_multiplier', 0.88), ('rollout/use/no_answer_penalty', 0.0), ('rollout/use/pool_coverage_rate', 1.0)) v(name, value)
+  UNION ALL SELECT batch_id, 'rollout/use/final_answer_reward', avg(won) FROM rows WHERE kind = 'use' GROUP BY 1 UNION ALL SELECT batch_id, 'rollout/use/final_answer_correct_rate', avg(CASE WHEN correct THEN 1 ELSE 0 END) FROM rows WHERE kind = 'use' GROUP BY 1
+  UNION ALL SELECT batch_id, 'rollout/by_task/' || category || '/env_reward', avg(env) FROM rows GROUP BY batch_id, category
+  UNION ALL SELECT DISTINCT batch_id, 'rollout/pool/total_tools', 1.0 + (SELECT least(count(*) FILTER (WHERE k % 4 IN (0, 3)), 10) FROM k) FROM rows)
+SELECT batch_id, name, round(CAST(value AS DOUBLE), 6) AS value FROM m""")
+def rollout_metric_table(spark, sf_dir):
+    """Every metric of two batches, from the rows that a rollout returns, with a use prompt and a build for each supplier."""
+    used, scored, after = _replayed(spark, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")))
+    return metrics.rollout_metrics(used, scored, after).select("batch_id", "name", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM conversations GROUP BY conv_id), k AS (SELECT *, conv_id % 8 AS k FROM c)
+SELECT CAST(conv_id AS VARCHAR) AS rollout_id, CASE WHEN k IN (0, 1, 5, 6) THEN 2.0 WHEN k = 2 AND size % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS correctness_reward, CASE k WHEN 5 THEN 1.0 WHEN 6 THEN 0.3 ELSE 0.0 END::DOUBLE AS tool_usage_reward,
+  CASE WHEN k = 4 THEN 0.0 ELSE 0.5 END::DOUBLE AS format_reward, CASE WHEN k = 3 THEN -least(2.0, 0.5 * (n - 1)) ELSE 0.0 END::DOUBLE AS final_answer_spam_penalty, CASE WHEN k = 6 THEN -1.0 ELSE 0.0 END::DOUBLE AS tool_python_syntax_penalty,
+  CASE WHEN k = 7 THEN -0.5 ELSE 0.0 END::DOUBLE AS tool_json_schema_penalty, CASE WHEN k = 5 THEN CASE WHEN n % 2 = 0 THEN 1.0 ELSE 0.5 END ELSE 0.0 END::DOUBLE AS step1, CASE WHEN k = 5 THEN 1.0 WHEN k = 7 THEN 0.5 ELSE 0.0 END::DOUBLE AS step2 FROM k""")
+def reward_stage_table(spark, sf_dir):
+    """All rewards of a completion for each conversation: its turns, then an answer of its length, said rightly, boxed, in words for the
+    judge, again and again, not at all, through tools, with broken code, or about another question."""
+    from rillflow.operators import execute, reward_stage
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    k, size = F.col("conv_id") % 8, F.col("size").cast("string")
+    answers = (F.concat(F.lit("FINAL_ANSWER: "), size), F.concat(F.lit("so \\boxed{"), size, F.lit("}")), F.concat(F.lit("FINAL_ANSWER: as many as "), F.when(F.col("size") % 3 == 0, "are there").otherwise("I like")), F.repeat(F.lit("FINAL_ANSWER: none\n"), F.col("n").cast("int")), F.lit("I do not know"), F.concat(F.lit("FINAL_ANSWER: "), size), F.concat(F.lit("FINAL_ANSWER: "), size), F.concat(F.lit("FINAL_ANSWER: "), size))
+    last = F.element_at(F.array(*answers), (k + 1).cast("int"))
+    call = "array<struct<name: string, arguments: string>>"
+    code = F.to_json(F.struct(F.when(F.col("n") % 2 == 0, "x = 1").otherwise("raise ValueError(1)").alias("code")))
+    calls = F.when(k == 5, F.array(F.struct(F.lit("create_tool").alias("name"), code.alias("arguments")), F.struct(F.lit("call_tool").alias("name"), F.lit('{"schema": "{}"}').alias("arguments"))))
+    calls = calls.when(k == 6, F.array(F.struct(F.lit("create_tool").alias("name"), F.lit('{"code": "x = ("}').alias("arguments")))).when(k == 7, F.array(F.struct(F.lit("call_tool").alias("name"), F.lit('{"question": "How old is the captain?", "arguments": 3}').alias("arguments"))))
+    message = lambda role, content, own: F.struct(role.alias("role"), content.alias("content"), F.lit(None).cast("string").alias("name"), own.cast(call).alias("tool_calls"))
+    said = F.transform("turns", lambda t: message(F.lit("user"), t["text"], F.lit(None)))
+    completions = turns.select(F.col("conv_id").cast("string").alias("rollout_id"), F.lit("How many letters are in all of these turns?").alias("question"), size.alias("answer"), F.array_append(said, message(F.lit("assistant"), last, calls)).alias("messages"))
+    judge = execute.FunctionClient(lambda texts: ["yes" if "are there" in t else "no" for t in texts])
+    kept = ("correctness_reward", "tool_usage_reward", "format_reward", "final_answer_spam_penalty", "tool_python_syntax_penalty", "tool_json_schema_penalty", "step1", "step2")
+    return reward_stage.reward_table(completions, judge).select("rollout_id", *kept)
+
+
 @query("""SELECT n_nationkey AS key, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS rounds, CASE WHEN n_nationkey % 4 IN (1, 2) THEN 1 ELSE 0 END::BIGINT AS made, CASE WHEN n_nationkey % 4 = 1 THEN 1 ELSE 0 END::BIGINT AS fine,
   CASE n_nationkey % 4 WHEN 0 THEN 3 WHEN 3 THEN 2 ELSE 5 END AS messages, CASE n_nationkey % 4 WHEN 0 THEN n_nationkey % 3 = 0 WHEN 1 THEN true ELSE false END AS correct, CASE WHEN n_nationkey % 4 = 3 THEN 'ValueError: no model' END AS error FROM nation""")
 def dialogue_rounds(spark, sf_dir):
