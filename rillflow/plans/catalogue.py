@@ -356,6 +356,91 @@ def judge_left_join(spark, sf_dir):
     return rows.with_scores(table(spark, sf_dir, "customer").select("c_custkey"), scores, "c_custkey").select("c_custkey", F.round("score", 2).alias("score"))
 
 
+# ---- texts, tokens, tools and puzzles as rows hold them ---------------------------------------------------------
+@query(r"""
+SELECT p_partkey, 'Q: ' || p_name AS asked, 'Question 1: ' || p_name || chr(10) || 'Answer: ' || p_brand || chr(10) || chr(10) || 'Question 2: ' || p_type || chr(10) || 'Answer: ' || p_size || chr(10) || chr(10) AS shots,
+  md5('Questions:' || chr(10) || '- ' || p_name || chr(10) || '- ' || left(repeat(p_type, 60), 300) || chr(10) || '- ' || p_brand || chr(10) || chr(10) || 'Code:' || chr(10)
+    || CASE WHEN length(p_name) * p_size * 20 > 6000 THEN left(repeat(p_name, p_size * 20), 6000) || chr(10) || '# ... truncated' ELSE repeat(p_name, p_size * 20) END || chr(10) || chr(10) || 'Schema:' || chr(10) || p_brand) AS judged,
+  '[system] ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END || chr(10) || chr(10) || '[user] ' || p_name AS logged, CASE WHEN p_size % 3 = 0 THEN '<tool>' || p_type ELSE chr(10) || chr(10) || 'Tool result: ' || p_type END AS added,
+  left(p_name, 5) AS head, right(p_name, 5) AS tail FROM part""")
+def prompt_texts(spark, sf_dir):
+    """Prompts made from rows: prefix, few-shot examples, the judge's prompt with its limits, a log of messages, what a tool's message
+    adds to a rendered chat, clips."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("int")
+    shots = F.array(F.struct(F.col("p_name").alias("question"), F.col("p_brand").alias("answer")), F.struct(F.col("p_type").alias("question"), F.col("p_size").cast("string").alias("answer")))
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.when(size % 2 == 0, F.col("p_type")).alias("content")), F.struct(F.lit("user").alias("role"), F.col("p_name").alias("content")))
+    judged = text.judge_prompt(F.array("p_name", F.repeat("p_type", F.lit(60)), "p_brand", F.lit("a fourth")), F.repeat("p_name", size * 20), "p_brand")
+    after = F.when(size % 3 == 0, F.concat("p_name", F.lit("<tool>"), "p_type")).otherwise(F.concat(F.lit("other "), "p_name"))
+    return p.select("p_partkey", text.user_question("p_name", "Q: ").alias("asked"), text.few_shot_block(shots).alias("shots"), F.md5(judged.cast("binary")).alias("judged"), text.format_messages(messages).alias("logged"), text.template_delta("p_name", after, "p_type").alias("added"), text.clip("p_name", 5).alias("head"), text.clip("p_name", 5, end=True).alias("tail"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, range(p_size % 4) AS ids, range(p_size % 3 + 1) AS new, range(p_size % 2 + 1) AS tool, p_size FROM part),
+j AS (SELECT *, list_concat(ids, new, tool) AS every FROM r)
+SELECT p_partkey, array_to_string(every, ',') AS ids, array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(new, lambda x: 1), list_transform(tool, lambda x: 0)), ',') AS mask,
+  round(CASE WHEN p_size % 5 = 0 THEN 0 ELSE len(ids) * -0.5 END + CASE WHEN p_size % 7 = 0 THEN 0 ELSE len(new) * -0.25 END, 6)::DOUBLE AS logprob, len(every) AS n, round(-0.125 * (p_size % 6), 6)::DOUBLE AS sampled FROM j""")
+def token_arrays(spark, sf_dir):
+    """Tokens of a rollout: the model's with mask 1 and their log probabilities (0 where there are none yet), the tools' with mask 0."""
+    size = F.col("p_size").cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    p = table(spark, sf_dir, "part").select("p_partkey", size.alias("s"), upto(size % 4).alias("ids"), upto(size % 3 + 1).alias("new"), upto(size % 2 + 1).alias("tool"))
+    all_of = lambda xs, v: F.transform(xs, lambda x: F.lit(v))
+    p = p.withColumn("a", jsonx.append_model_tokens(F.col("ids"), all_of("ids", 1), F.when(F.col("s") % 5 != 0, all_of("ids", -0.5)), F.col("new"), F.when(F.col("s") % 7 != 0, all_of("new", -0.25))))
+    p = p.withColumn("b", jsonx.append_tool_tokens(F.col("a.ids"), F.col("a.mask"), F.col("a.logprobs"), F.col("tool")))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    tokens = F.transform(upto(F.col("s") % 6), lambda x: F.create_map(F.concat(F.lit("t"), x), F.lit(-0.125), F.lit("other"), F.lit(-9.0)))
+    return p.select("p_partkey", F.array_join("b.ids", ",").alias("ids"), F.array_join("b.mask", ",").alias("mask"), F.round(total("b.logprobs"), 6).alias("logprob"), F.size("b.ids").cast("long").alias("n"), F.round(total(jsonx.sampled_logprobs(F.array_append(tokens, F.create_map().cast("map<string,double>")))), 6).alias("sampled"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, p_size, 'f_' || string_split(p_name, ' ')[1] AS f, 'x_' || string_split(p_name, ' ')[2] AS x, p_size % 6 AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 5 THEN '' WHEN k = 4 THEN f || ',helper' ELSE 'helper,' || f END AS functions, CASE WHEN k = 5 THEN NULL WHEN k = 1 THEN 'self,' || x || ',y' ELSE x || ',y' END AS params, f AS tools, CASE WHEN k = 3 THEN x || ',z' WHEN k = 2 THEN x ELSE x || ',y' END AS wanted,
+  CASE k WHEN 5 THEN 'syntax_error' WHEN 2 THEN 'parameter_mismatch' WHEN 3 THEN 'parameter_mismatch' END AS reason, k NOT IN (3, 5) AS covered, CASE WHEN k = 5 THEN 0 ELSE 1 END AS loadable,
+  CASE WHEN p_size % 4 = 0 THEN 1 ELSE 2 END AS calls, p_size % 3 <> 0 AS listed FROM w""")
+def tool_facts(spark, sf_dir):
+    """Code and schemas made from rows: names and parameters of functions, agreement of code and schema, what may be loaded, calls
+    that are allowed, lists of words."""
+    w = F.split("p_name", " ")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_size") % 6).alias("k"), F.concat(F.lit("f_"), F.get(w, F.lit(0))).alias("f"), F.concat(F.lit("x_"), F.get(w, F.lit(1))).alias("x"), w.alias("w"))
+    own = F.concat(F.when(F.col("k") == 4, F.lit("async def ")).otherwise("def "), "f", F.lit("("), F.when(F.col("k") == 1, "self, ").otherwise(""), "x", F.lit(", y):\n    return y\n"))
+    code = F.when(F.col("k") == 5, F.lit("def broken(:")).when(F.col("k") == 4, F.concat(own, F.lit("def helper(a):\n    return a\n"))).otherwise(F.concat(F.lit("def helper(a):\n    return a\n"), own))
+    second = F.when(F.col("k") == 3, F.lit(', "z": {}')).when(F.col("k") == 2, F.lit("")).otherwise(F.lit(', "y": {}'))
+    parameters = F.concat(F.lit('{"type": "object", "properties": {"'), "x", F.lit('": {}'), second, F.lit("}}"))
+    schema = F.concat(F.lit('[{"name": "'), "f", F.lit('", "description": "", "parameters": '), parameters, F.lit("}]"))
+    p = p.withColumn("facts", pycode.py_facts(code)).withColumn("defs", jsonx.tool_definitions(schema))
+    calls = F.array(F.struct(F.col("f").alias("name")), F.struct(F.lit("helper").alias("name")), F.struct(F.lit("strange").alias("name")))
+    allowed = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("f", F.lit("helper")))
+    fence = "`" * 3
+    listed = jsonx.word_list_equal(F.concat(F.lit(f"so {fence}json\n"), F.to_json(F.when(F.col("p_size") % 3 == 0, F.reverse(F.array_append("w", F.lit("more")))).otherwise(F.col("w"))), F.lit(f"\n{fence}")), F.array_join("w", " "))
+    return p.select(
+        "p_partkey", F.array_join(pycode.function_names("facts", with_async=True), ",").alias("functions"), F.array_join(pycode.params_of("facts", F.col("f")), ",").alias("params"), F.array_join(jsonx.tool_names("defs"), ",").alias("tools"), F.array_join(jsonx.param_names("defs"), ",").alias("wanted"),
+        pycode.alignment("facts", "defs").alias("reason"), pycode.schema_params_covered("facts", "defs").alias("covered"), F.size(pycode.loadable("defs", "facts")).alias("loadable"), F.size(jsonx.valid_tool_calls(calls, allowed, F.col("f"))).alias("calls"), listed.alias("listed"),
+    )
+
+
+@query("""
+WITH d AS (SELECT p_partkey, p_size, p_partkey % 9 + 1 AS a, (p_partkey // 9) % 9 + 1 AS b, p_name FROM part), t AS (SELECT *, a + b AS s FROM d),
+v AS (SELECT *, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS off, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS extra FROM t)
+SELECT p_partkey, extra = 0 AND CASE WHEN s < 10 THEN a <> b AND s + off <> a AND s + off <> b AND s + off < 10 AND off = 0 ELSE a <> b AND s // 10 NOT IN (a, b) AND s % 10 NOT IN (a, b) AND s // 10 <> s % 10 AND off = 0 END AS solved,
+  p_size % 3 <> 1 AS knights, p_size % 4 <> 2 AS same, p_size % 2 = 0 AND p_name <> '' AS kept FROM v""")
+def puzzle_checks(spark, sf_dir):
+    """Answers to puzzles made from rows, right and wrong: word sums of two digits, knights and knaves, exact ones; rows set apart."""
+    p = table(spark, sf_dir, "part").withColumns({"a": F.col("p_partkey") % 9 + 1, "b": F.floor(F.col("p_partkey") / 9) % 9 + 1})
+    p = p.withColumn("s", F.col("a") + F.col("b")).withColumn("two", F.col("s") >= 10)
+    question = F.concat(F.lit("Solve this cryptarithm:\n\n  A\n+ B\n----\n "), F.when(F.col("two"), "CD").otherwise("C"), F.lit("\n\nEach letter is a digit."))
+    off = F.when(F.col("p_size") % 5 == 0, 1).otherwise(0)
+    first, second = F.when(F.col("two"), F.floor(F.col("s") / 10)).otherwise(F.col("s") + off), F.col("s") % 10 + off
+    given = F.concat(F.lit("A="), "a", F.lit(", B="), "b", F.lit(", C="), first.cast("string"), F.when(F.col("two"), F.concat(F.lit(", D="), second.cast("string"))).otherwise(""), F.when(F.col("p_size") % 7 == 0, ",X=0").otherwise(""))
+    names = F.split("p_name", " ")
+    role = lambda i, k: F.concat(F.get(names, F.lit(i)), F.lit(f" is a {k}"))
+    truth = F.concat(role(0, "knight"), F.lit(", "), role(1, "knave"))
+    said = F.when(F.col("p_size") % 3 == 0, F.concat(role(1, "KNAVE"), F.lit(" and "), role(0, "knight"))).when(F.col("p_size") % 3 == 1, F.concat(role(0, "knave"), F.lit(", "), role(1, "knave"))).otherwise(truth)
+    rows_ = p.select("p_partkey", verify.cryptarithm_solved(question, given).alias("solved"), verify.knights_match(said, truth).alias("knights"), verify.exact("p_name", F.when(F.col("p_size") % 4 != 2, F.col("p_name"))).alias("same"), (F.col("p_size") % 2 == 0).alias("fine"))
+    good, bad = rows.quarantine(rows_, F.when(F.col("fine"), F.lit(True)))
+    return rows.assert_all(good, F.col("fine"), "set apart wrongly").select("p_partkey", "solved", "knights", "same", F.lit(True).alias("kept")).unionByName(bad.select("p_partkey", "solved", "knights", "same", F.lit(False).alias("kept")))
+
+
 # ---- logic, ladders and deadlines ------------------------------------------------------------------------------
 @query(r"""
 WITH RECURSIVE said AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+'), lambda w: regexp_full_match(w, '[a-z]{4}')) AS ws FROM documents),
