@@ -142,7 +142,7 @@ def _part(spark, sf_dir):
     return table(spark, sf_dir, "part").withColumn("said", F.expr(_COMPLETION))
 
 
-@query("SELECT p_partkey, 'a{' || p_size || '}b' AS boxed, 'a{' || p_size || '}b' AS box_first, CASE WHEN p_partkey % 4 = 0 THEN 'a{' || p_size || '}b' ELSE p_size || ' ' || p_brand END AS rewards, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size || ' ' || p_brand END AS offline, CASE WHEN p_partkey % 4 = 0 THEN 'a{' || p_size || '}b' ELSE p_size || ' ' || p_brand END AS mixed FROM part")
+@query(f"WITH s AS (SELECT *, split_part({_COMPLETION_SQL}, '</think>', 2) AS t FROM part) SELECT p_partkey, 'a{{' || p_size || '}}b' AS boxed, 'a{{' || p_size || '}}b' AS box_first, trim(regexp_extract_all(t, '(?i)FINAL[_\\s]*ANSWER\\s*:\\s*([^\\n\\r]*)', 1)[-1]) AS rewards, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size || ' ' || p_brand END AS offline, CASE WHEN p_partkey % 4 = 0 THEN 'a{{' || p_size || '}}b' ELSE p_size || ' ' || p_brand END AS mixed FROM s")
 def extract_final_answer(spark, sf_dir):
     p = _part(spark, sf_dir)
     offline = text.answer_offline("said")
