@@ -441,6 +441,27 @@ def puzzle_checks(spark, sf_dir):
     return rows.assert_all(good, F.col("fine"), "set apart wrongly").select("p_partkey", "solved", "knights", "same", F.lit(True).alias("kept")).unionByName(bad.select("p_partkey", "solved", "knights", "same", F.lit(False).alias("kept")))
 
 
+@query("""
+WITH c AS (SELECT p_partkey, p_size, p_name, p_brand, unnest(range(p_size % 4)) AS "at" FROM part)
+SELECT p_partkey, CAST("at" AS INTEGER) AS "at", 'call' AS kind, p_name || "at" AS name, '{"x":' || (p_size + "at") || '}' AS body, p_brand AS answer FROM c
+UNION ALL SELECT p_partkey, CAST(i AS INTEGER), 'code', NULL, 'x = ' || (p_size + i), p_brand FROM part, range(2) r(i) WHERE i < 1 + p_size % 2""")
+def sql_functions_of_texts(spark, sf_dir):
+    """Plain SQL over completions: calls and code blocks as rows, by table functions, beside the boxed answer."""
+    from rillflow.functions import sql_functions
+
+    sql_functions.register(spark)
+    fence, size = "`" * 3, F.col("p_size").cast("int")
+    several = lambda n, one: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), one), "\n")
+    calls = several(size % 4, lambda i: F.concat(F.lit('<tool_call>{"name": "'), "p_name", i, F.lit('", "arguments": {"x":'), size + i, F.lit("}}</tool_call>\n<tool_call>{bad}</tool_call>")))
+    code = several(1 + size % 2, lambda i: F.concat(F.lit(f"{fence}python\nx = "), size + i, F.lit(f"\n{fence}\n{fence}json\n1\n{fence}")))
+    said = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<think>\\boxed{0}</think>"), calls, F.lit("\n"), code, F.lit("\n\\boxed{none} \\boxed{"), "p_brand", F.lit("}")).alias("t"))
+    return spark.sql(
+        """SELECT c.p_partkey, f.at, 'call' AS kind, f.name, f.arguments AS body, rf_answer_box_first(c.t) AS answer FROM {said} c, LATERAL rf_tool_calls(c.t) f
+        UNION ALL SELECT c.p_partkey, f.at, 'code', NULL, f.body, rf_answer_boxed(c.t) FROM {said} c, LATERAL rf_code_blocks(c.t, 'python') f""",
+        said=said,
+    )
+
+
 # ---- logic, ladders and deadlines ------------------------------------------------------------------------------
 @query(r"""
 WITH RECURSIVE said AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+'), lambda w: regexp_full_match(w, '[a-z]{4}')) AS ws FROM documents),
