@@ -87,6 +87,69 @@ def http_chat(base_url: str, model: str, api_key: str = "", timeout: float = 30.
     return FunctionChat(ask)
 
 
+#: Models whose names begin so are asked by the Messages API, all others by chat completions; what a call asks for.
+MESSAGES_MODELS = ("claude", "anthropic")
+TEMPERATURE, MAX_TOKENS = 0.7, 8192
+MESSAGES_VERSION = "2023-06-01"
+CHOICES = {"auto": "auto", "required": "any", "none": "none"}
+
+
+def as_blocks(messages: list[dict]) -> tuple[str, list[dict]]:
+    """System text and messages of the Messages API: calls are blocks of an assistant's message, their results, in order of the
+    calls, blocks of the user's message behind it."""
+    system, out, open_calls = [], [], []
+    for m in messages:
+        if m["role"] == "system":
+            system.append(m.get("content") or "")
+        elif m["role"] == "tool":
+            block = {"type": "tool_result", "tool_use_id": open_calls.pop(0) if open_calls else "", "content": m.get("content") or ""}
+            if out and out[-1]["role"] == "user" and isinstance(out[-1]["content"], list):
+                out[-1]["content"].append(block)
+            else:
+                out.append({"role": "user", "content": [block]})
+        elif m.get("tool_calls"):
+            open_calls = [c["id"] for c in m["tool_calls"]]
+            text_ = [{"type": "text", "text": m["content"]}] if m.get("content") else []
+            out.append({"role": "assistant", "content": text_ + [{"type": "tool_use", "id": c["id"], "name": c["name"], "input": _object(c["arguments"])} for c in m["tool_calls"]]})
+        else:
+            out.append({"role": m["role"], "content": m.get("content") or ""})
+    return "\n\n".join(x for x in system if x), out
+
+
+def _object(arguments: str | None) -> dict:
+    try:
+        value = json.loads(arguments or "{}")
+    except ValueError:
+        value = None
+    return value if isinstance(value, dict) else {}
+
+
+def messages_chat(base_url: str, model: str, api_key: str = "", timeout: float = 30.0, temperature: float = TEMPERATURE, max_tokens: int = MAX_TOKENS, **options: object) -> FunctionChat:
+    """A client of a Messages API endpoint."""
+
+    def ask(messages: list, tools: list, choice: str) -> dict:
+        system, blocks = as_blocks(messages)
+        offered = [{"name": t["name"], "description": t.get("description") or "", "input_schema": _object(t.get("parameters"))} for t in tools]
+        body = {"model": model, "messages": blocks, "max_tokens": max_tokens, "temperature": temperature, **({"system": system} if system else {}), **options, **({"tools": offered, "tool_choice": {"type": CHOICES.get(choice, "auto")}} if offered else {})}
+        headers = {"Content-Type": "application/json", "x-api-key": api_key, "anthropic-version": MESSAGES_VERSION}
+        asked = urllib.request.Request(f"{base_url.rstrip('/')}/messages", json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(asked, timeout=timeout) as got:
+            reply = json.load(got)
+        said = [b["text"] for b in reply["content"] if b.get("type") == "text"]
+        calls = [{"id": b.get("id"), "name": b["name"], "arguments": json.dumps(b.get("input") or {})} for b in reply["content"] if b.get("type") == "tool_use"]
+        usage = reply.get("usage") or {}
+        return {"content": "".join(said) if said else None, "tool_calls": calls, "prompt_tokens": usage.get("input_tokens"), "completion_tokens": usage.get("output_tokens")}
+
+    return FunctionChat(ask)
+
+
+def model_chat(base_url: str, model: str, api_key: str = "", timeout: float = 30.0, **options: object) -> FunctionChat:
+    """The client that a model's name asks for, with the published temperature unless another is given."""
+    if model.startswith(MESSAGES_MODELS):
+        return messages_chat(base_url, model, api_key, timeout, **options)
+    return http_chat(base_url, model, api_key, timeout, **{"temperature": TEMPERATURE, **options})
+
+
 def start(questions: DataFrame, system: str) -> DataFrame:
     """States from (key, question, target, code, tools); other columns are not carried."""
     first = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(CALLS).alias("tool_calls"))

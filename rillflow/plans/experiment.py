@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     data = task_source.dataset(spark, args.task)
     train, test = (task_source.load_split(data, s) for s in (task_source.V, task_source.T))
-    chat, folder = dialogue.http_chat(args.base_url, args.model_name, args.api_key), batch_folder(spark)
+    chat, folder = dialogue.model_chat(args.base_url, args.model_name, args.api_key), batch_folder(spark)
     if args.baseline:
         print(baseline(test, args.task, chat, folder, artifacts=args.experiment_dir))
     else:

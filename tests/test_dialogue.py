@@ -64,6 +64,8 @@ def test_external_rollout(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def server():
+    asked = []
+
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
@@ -74,6 +76,14 @@ def server():
                 tool = body["messages"][-1]["role"] == "user"
                 call = [{"id": "a", "type": "function", "function": {"name": body["tools"][0]["function"]["name"], "arguments": '{"x": 21}'}}]
                 out = {"choices": [{"message": {"content": None, "tool_calls": call} if tool else {"content": "FINAL_ANSWER: " + body["messages"][-1]["content"]}}], "usage": {"prompt_tokens": 5, "completion_tokens": 1}}
+            elif self.path == "/v1/messages":
+                asked.append((dict(self.headers), body))
+                last = body["messages"][-1]["content"]
+                if isinstance(last, str):
+                    content = [{"type": "text", "text": "let me see"}, {"type": "tool_use", "id": "t1", "name": body["tools"][0]["name"], "input": {"x": 21}}, {"type": "tool_use", "id": "t2", "name": "other", "input": {}}]
+                else:
+                    content = [{"type": "text", "text": "FINAL_ANSWER: "}, {"type": "text", "text": last[0]["content"]}]
+                out = {"content": content, "usage": {"input_tokens": 7, "output_tokens": 2}}
             else:
                 self.send_error(500)
                 return
@@ -87,6 +97,8 @@ def server():
     own = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=own.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{own.server_port}"
+    for headers, body in asked:
+        assert headers["X-Api-Key"] == "k" and body["max_tokens"] == 8192 and body["temperature"] == 0.7 and body["tools"][0]["input_schema"]["type"] == "object"
     own.shutdown()
 
 
@@ -115,3 +127,22 @@ def test_keys_come_back_as_they_are(spark, tmp_path):
     log = dialogue.converse(asked, client(), str(tmp_path), max_rounds=3).collect()
     assert sorted((r["key"], r["question"], r["error"] is None) for r in log if r["key"]) == [(BIG + 1, "go", True), (BIG + 3, "crash", False), (BIG + 3, "plain", True)]
     assert [(r["key"], r["total_rounds"]) for r in log if r["key"] is None] == [(None, 2)]
+
+
+def test_routing_by_the_models_name(spark, server, tmp_path):
+    """The same conversation by the other API: calls and results as blocks, a choice of tools, usage, and an unknown tool."""
+    asked = questions(spark, [(1, "double 21", "42", ROWS[0][3])])
+    for model, tokens in (("claude-none", 7), ("anthropic.none", 7), ("other", 5)):
+        log = dialogue.evaluate_dataset(asked, dialogue.model_chat(f"{server}/v1", model, "k"), str(tmp_path / model), "none", system="Use tools.", max_rounds=3)
+        (row,) = log.collect()
+        assert (row["correct"], row["final_answer_text"], row["total_prompt_tokens"], row["error"]) == (True, "FINAL_ANSWER: 42", 2 * tokens, None)
+        assert row["tool_calls_made"] == (2 if tokens == 7 else 1) and row["tool_calls_successful"] == 1
+
+
+def test_blocks():
+    call = lambda i: {"id": f"c{i}", "name": "f", "arguments": '{"x": 1}' if i else "bad"}
+    talk = [{"role": "system", "content": "S"}, {"role": "user", "content": "U"}, {"role": "assistant", "content": None, "tool_calls": [call(0), call(1)]}, {"role": "tool", "content": "r0"}, {"role": "tool", "content": None}, {"role": "assistant", "content": "done"}]
+    system, blocks = dialogue.as_blocks(talk)
+    assert system == "S" and [b["role"] for b in blocks] == ["user", "assistant", "user", "assistant"]
+    assert blocks[1]["content"] == [{"type": "tool_use", "id": "c0", "name": "f", "input": {}}, {"type": "tool_use", "id": "c1", "name": "f", "input": {"x": 1}}]
+    assert blocks[2]["content"] == [{"type": "tool_result", "tool_use_id": "c0", "content": "r0"}, {"type": "tool_result", "tool_use_id": "c1", "content": ""}]
