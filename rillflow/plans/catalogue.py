@@ -149,9 +149,14 @@ def extract_final_answer(spark, sf_dir):
     return p.select("p_partkey", text.answer_boxed("said").alias("boxed"), text.answer_box_first("said").alias("box_first"), text.answer_rewards("said").alias("rewards"), F.when(F.col("p_partkey") % 4 == 0, F.lit("")).otherwise(offline).alias("offline"), F.coalesce(F.when(F.col("p_partkey") % 4 == 0, text.balanced_boxed("said")), offline).alias("mixed"))
 
 
-@query(f"WITH s AS (SELECT p_partkey, {_COMPLETION_SQL} AS said FROM part) SELECT p_partkey, CAST(greatest(len(regexp_extract_all(said, 'FINAL_ANSWER:')), len(regexp_extract_all(said, '\\\\boxed\\{{'))) AS INTEGER) AS n_tags, -1.0::DOUBLE AS penalty, 0.5::DOUBLE AS format_bonus, split_part(said, '</think>', 2) AS after_think FROM s")
+@query(f"""
+WITH s AS (SELECT p_partkey, repeat('final answer : x ', p_size % 8) || CASE WHEN p_size % 5 = 0 THEN 'nothing' ELSE {_COMPLETION_SQL} END AS said FROM part),
+n AS (SELECT *, CAST(greatest(len(regexp_extract_all(said, '(?i)FINAL[_\\s]*ANSWER\\s*:')), len(regexp_extract_all(said, '\\\\boxed\\{{'))) AS INTEGER) AS n_tags FROM s)
+SELECT p_partkey, n_tags, CASE WHEN n_tags <= 1 THEN 0.0 ELSE -least(2.0, 0.5 * (n_tags - 1)) END::DOUBLE AS penalty, CASE WHEN n_tags > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS format_bonus, array_to_string(string_split(said, '</think>')[-1:], '') AS after_think FROM n""")
 def reward_spam_penalty(spark, sf_dir):
-    return _part(spark, sf_dir).select("p_partkey", text.answer_tag_count("said").alias("n_tags"), rewards.spam_penalty("said").alias("penalty"), rewards.format_reward("said").alias("format_bonus"), text.after_think(F.col("said")).alias("after_think"))
+    marks = F.repeat(F.lit("final answer : x "), (F.col("p_size") % 8).cast("int"))
+    p = _part(spark, sf_dir).withColumn("said", F.concat(marks, F.when(F.col("p_size") % 5 == 0, F.lit("nothing")).otherwise(F.col("said"))))
+    return p.select("p_partkey", text.answer_tag_count("said").alias("n_tags"), rewards.spam_penalty("said").alias("penalty"), rewards.format_reward("said").alias("format_bonus"), text.after_think(F.col("said")).alias("after_think"))
 
 
 @query("""SELECT p_partkey, 'def f(x):' || chr(10) || '    return ' || p_size AS code, '{"name": "f", "size": ' || p_size || '}' AS schema, p_partkey % 3 <> 0 AS one_each FROM part""")
@@ -185,11 +190,11 @@ def answers_match(spark, sf_dir):
     return p.select("p_partkey", text.normalize_answer("pred").alias("normal"), verify.answers_match("pred", "gt").alias("matched"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '.0|' || upper(p_brand) || '|' || p_type AS line, true AS same_base FROM part")
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '.0|' || upper(p_brand) || '|' || p_type AS line, p_size % 2 = 0 AS same_base FROM part")
 def match_integers(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     line = F.concat_ws("|", F.concat(F.col("p_size").cast("string"), F.lit(".0")), F.upper("p_brand"), "p_type")
-    same = verify.answers_match(F.concat(F.lit("0x"), F.hex("p_partkey")), F.col("p_partkey").cast("string"))
+    same = verify.answers_match(F.concat(F.lit("0x"), F.hex("p_partkey")), (F.col("p_partkey") + F.col("p_size") % 2).cast("string"))
     return p.select("p_partkey", line.alias("line"), same.alias("same_base"))
 
 
@@ -602,17 +607,18 @@ def prime_factors(spark, sf_dir):
     return p.select("p_partkey", F.array_join(numbers.prime_factors("p_partkey"), " × ").alias("factors"))
 
 
-@query("SELECT p_partkey, [instr(p_name, x) for x in string_split(p_name, '')] = [instr(reverse(p_name), x) for x in string_split(reverse(p_name), '')] AS isomorphic, true AS shifted FROM part")
+@query("""WITH p AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS other FROM part)
+SELECT p_partkey, [instr(p_name, x) for x in string_split(p_name, '')] = [instr(reverse(p_name), x) for x in string_split(reverse(p_name), '')] AS isomorphic, [instr(p_name, x) for x in string_split(p_name, '')] = [instr(other, x) for x in string_split(other, '')] AS shifted FROM p""")
 def isomorphic(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", numbers.isomorphic("p_name", F.reverse("p_name")).alias("isomorphic"), numbers.isomorphic("p_name", numbers.caesar("p_name", 5)).alias("shifted"))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.isomorphic("p_name", F.reverse("p_name")).alias("isomorphic"), numbers.isomorphic("p_name", numbers.caesar(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")), 5)).alias("shifted"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_size % 6 + 1 AS disks FROM part), m AS (SELECT disks, unnest(range(1, (1 << disks)::BIGINT)) AS m FROM n),
 r AS (SELECT disks, m, (m & (m - 1)) % 3 AS a, ((m | (m - 1)) + 1) % 3 AS b, CASE WHEN disks % 2 = 1 THEN ['A', 'B', 'C'] ELSE ['A', 'C', 'B'] END AS rods FROM m)
-SELECT CAST(disks AS INTEGER) AS disks, string_agg(rods[a + 1] || rods[b + 1], ' ' ORDER BY m) AS moves, true AS valid FROM r GROUP BY disks""")
+SELECT CAST(disks AS INTEGER) AS disks, string_agg(rods[a + 1] || rods[b + 1], ' ' ORDER BY m) AS moves, disks % 2 = 0 AS valid FROM r GROUP BY disks""")
 def hanoi(spark, sf_dir):
     d = table(spark, sf_dir, "part").select((F.col("p_size") % 6 + 1).cast("int").alias("disks")).distinct().withColumn("m", numbers.hanoi_moves("disks"))
-    return d.select("disks", F.array_join(F.transform("m", lambda x: F.concat(x["from"], x["to"])), " ").alias("moves"), verify.hanoi_valid("m", "disks").alias("valid"))
+    return d.select("disks", F.array_join(F.transform("m", lambda x: F.concat(x["from"], x["to"])), " ").alias("moves"), verify.hanoi_valid(F.expr("slice(m, 1, size(m) - disks % 2)"), "disks").alias("valid"))  # an odd number of disks lacks its last move
 
 
 # ---- code, schemas, tools, tasks, whole rollouts ---------------------------------------------------------------
