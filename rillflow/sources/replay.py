@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_OWN: dict[str, list[str]] = {}
+
+
 def batch_folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir. Only a session of one JVM (tests) may go without: it gets a local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -17,4 +20,15 @@ def batch_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rillflow-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/rollout-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/rollout-{uuid.uuid4().hex}"
+    _OWN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the folders that this application was given; call it when results that read them are no longer needed."""
+    paths, jvm = _OWN.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
