@@ -8,8 +8,8 @@ reading takes one archive at a time, loads its dictionary, decodes frame after f
 Equal payloads are written once: the record with the smallest id carries it, others are `revisit` records that refer to
 it and keep its HTTP head, whose Content-Length is the length of the full payload.
 
-Defined results: a null payload is an empty one; a null id is written as the word null, is read back as null, and is the
-smallest; rows equal in id and payload are each written (one of them is the response, the others revisit it); an empty
+Defined results: a null payload is an empty one; a null id is written as the word null, is read back as null, and
+comes after all others, so a record refers to one without an id only where no equal one has any; rows equal in id and payload are each written (one of them is the response, the others revisit it); an empty
 table gives no archives and an empty result; other columns are not written. A damaged frame, header, length or digest
 raises WarcError in `read_archives`, or yields a row with `error` set where strict=False.
 """
@@ -163,7 +163,7 @@ def write_records(df: DataFrame, key: str = "page_id", url: str = "url", payload
     counts = materialize(rows.groupBy(*own, "rank", "size").agg(F.count("*").alias("n")), "warc-counts")
     total, size = counts.agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
     archives = max(1, -(-(total or 0) // RECORDS), -(-(size or 0) // ARCHIVE_BYTES))
-    place = F.struct(F.col("rank").isNotNull().alias("some"), "rank", "key", "url")
+    place = F.struct(F.col("rank").isNull().alias("none"), "rank", "key", "url")  # real ids first
     first = counts.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.sum("n").alias("n")).where("n > 1")
     first = materialize(first.select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url")), "warc-copies")
     # Rows equal in all are told apart by a number: one goes on with its payload, the others are made from their count.
