@@ -239,7 +239,9 @@ _STATES_SQL = """s AS (SELECT user_id AS batch_id, event_id, CASE WHEN event_id
   count(*) FILTER (WHERE task_type = 'build' AND reason IS NOT NULL) / nullif(count(*) FILTER (WHERE task_type = 'build'), 0) AS i, count(*) FILTER (WHERE task_type = 'use' AND reason IS NOT NULL) / nullif(count(*) FILTER (WHERE task_type = 'use'), 0) AS j,
   avg(calls) FILTER (WHERE task_type = 'build') AS k, avg(good) FILTER (WHERE task_type = 'build') AS l FROM s GROUP BY batch_id),
 x AS (SELECT batch_id, unnest(['num_turns_mean', 'num_turns_min', 'num_turns_max', 'rollout/build/env_reward', 'rollout/use/env_reward', 'rollout/build/tool_success_call_rate', 'rollout/use/final_answer_correct_rate', 'rollout/use/pool_coverage_rate', 'rollout/build/step1_failed_rate', 'rollout/use/step1_failed_rate', 'rollout/build/tool_call_count', 'rollout/build/tool_success_call_count']) AS name, unnest([a, b, c, d, e, f, g, h, i, j, k, l]) AS value FROM w)
-SELECT batch_id, name, round(value, 6) AS value FROM x WHERE value IS NOT NULL""")
+SELECT batch_id, name, round(value, 6) AS value FROM x WHERE value IS NOT NULL
+UNION ALL SELECT batch_id, 'rollout/' || task_type || '/step1_fail_' || ['missing_python_or_schema', 'schema_missing_function_name', 'schema_function_mismatch', 'schema_param_mismatch', 'invalid_tool_schema', 'xgrammar_incompatible_schema'][r + 1] || '_rate', round(avg(CASE WHEN reason = r THEN 1 ELSE 0 END), 6)
+  FROM s, range(6) t(r) GROUP BY batch_id, task_type, r""")
 def rollout_metrics(spark, sf_dir):
     return metrics.batch_metrics(_states(spark, sf_dir)).select("batch_id", "name", F.round("value", 6).alias("value"))
 

@@ -32,7 +32,7 @@ def test_extractors_differ(spark):
     said = [("<think>\\boxed{0}</think> \\boxed{a{b}c} FINAL_ANSWER: **7**.\nmore",), ("no mark",), ("\\boxed{x{y{z}}}",), ("FINAL_ANSWER: \n \\box{q}",), ("<answer> k </answer>",)]
     assert each(spark, said, "t string", text.answer_boxed("t")) == ["a{b}c", None, None, None, None]
     assert each(spark, said, "t string", text.answer_box_first("t")) == ["a{b}c", None, None, "q", None]
-    assert each(spark, said, "t string", text.answer_rewards("t")) == ["**7**.", None, "x{y{z}}", None, "k"]
+    assert each(spark, said, "t string", text.answer_rewards("t")) == ["**7**.", None, "x{y{z}}", "\\box{q}", "k"]  # a marked answer may stand on the next line
     assert each(spark, said, "t string", text.answer_offline("t"))[:2] == ["7.", "no mark"]
     assert each(spark, said, "t string", text.answer_offline("t", keep_star=True))[0] == "**7**."
 
