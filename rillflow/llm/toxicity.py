@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the beginnings of words. From a bounded sample of labelled texts (LABELLED rows) the TERMS terms that
-tell the labels apart best (chi squared) are indexed; all other words together are one more term of small weight, so a
+point to label 1 most clearly (by chi squared, of those commoner in it) are indexed; all other words together are one more term of small weight, so a
 vector's direction says how frequent the indexed terms are. Postings are grouped in blocks of examples with the greatest
 weight of each block: a query visits blocks in order of their bounds and stops when no bound can beat its K-th best
 cosine, which keeps the result exact. Neighbours vote with the inverse of their distance, and the votes are calibrated: each
