@@ -713,8 +713,8 @@ def task_verified(spark, sf_dir):
     return out
 
 
-def _replayed(spark: SparkSession, n: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """plans.rollout of two batches, answered by replay, with a use prompt and a build for each k of n."""
+def _replayed(spark: SparkSession, n: DataFrame, use_index: Column, build_index: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """plans.rollout of two batches, answered by replay, with a use prompt and a build for each k of n; no index names two prompts."""
     from rillflow.sources.replay import batch_folder
 
     batch = F.concat(F.lit("b"), F.col("k") % 2)
@@ -723,8 +723,8 @@ def _replayed(spark: SparkSession, n: DataFrame) -> tuple[DataFrame, DataFrame,
     use = F.to_json(F.struct(F.concat(F.lit("double-train-"), "k").alias("id"), F.lit("use").alias("task_type"), F.concat(F.lit("Twice "), "k").alias("target_question"), (2 * F.col("k")).cast("string").alias("target_answer")))
     build = F.to_json(F.struct(F.concat(F.lit("triple-train-"), "k").alias("id"), F.lit("build").alias("task_type"), tests.alias("tool_test_set")))
     marked = lambda said, meta: F.concat(said, F.lit(" <tool_rl_metadata>"), meta, F.lit("</tool_rl_metadata>"))
-    uses = n.select(batch.alias("batch_id"), F.col("k").alias("prompt_index"), marked(F.lit("Go"), use).alias("prompt"))
-    builds = n.select(batch.alias("batch_id"), (1000 + F.col("k")).alias("prompt_index"), marked(F.concat(F.lit("Build "), "k"), build).alias("prompt"), "k")
+    uses = n.select(batch.alias("batch_id"), use_index.alias("prompt_index"), marked(F.lit("Go"), use).alias("prompt"))
+    builds = n.select(batch.alias("batch_id"), build_index.alias("prompt_index"), marked(F.concat(F.lit("Build "), "k"), build).alias("prompt"), "k")
     tool = lambda name: json.dumps([{"type": "function", "function": {"name": name, "description": "", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}}, "required": ["x"]}}}])
     tools = spark.range(1).select(F.lit("double").alias("category"), F.lit(1).cast("long").alias("seq"), F.lit(0.5).alias("quality"), F.lit("def twice(x):\n    return 2 * x").alias("code"), jsonx.tool_definitions(F.lit(tool("twice"))).alias("tools"))
 
@@ -752,7 +752,7 @@ UNION ALL SELECT 'b' || (k % 2), 1000 + k, 'build', NULL, NULL, CASE WHEN k % 4
 def rollout_batch(spark, sf_dir):
     """Two batches answered by replay: use prompts with one tool call and an answer, and builds (right, wrong, or not fitting
     their schema) that are run on two test questions."""
-    used, scored, _ = _replayed(spark, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k")))
+    used, scored, _ = _replayed(spark, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k")), F.col("k"), 1000 + F.col("k"))
     left = used.select("batch_id", "prompt_index", F.lit("use").alias("kind"), "answer", "correct", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("score"), F.round("env_reward", 6).alias("env_reward"))
     right = scored.select("batch_id", "prompt_index", F.lit("build").alias("kind"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("int").alias("correct"), F.col("step1_failure_reason").alias("reason"), "score", F.round("env_reward", 6).alias("env_reward"))
     return left.unionByName(right)
@@ -780,7 +780,7 @@ m AS (
 SELECT batch_id, name, round(CAST(value AS DOUBLE), 6) AS value FROM m""")
 def rollout_metric_table(spark, sf_dir):
     """Every metric of two batches, from the rows that a rollout returns, with a use prompt and a build for each supplier."""
-    used, scored, after = _replayed(spark, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")))
+    used, scored, after = _replayed(spark, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")), 2 * F.col("k"), 2 * F.col("k") + 1)
     return metrics.rollout_metrics(used, scored, after).select("batch_id", "name", F.round("value", 6).alias("value"))
 
 

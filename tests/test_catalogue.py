@@ -31,6 +31,16 @@ def test_equals_sql(spark, oracle, name):
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == want
 
 
+def test_metric_table_of_large_keys(spark, tmp_path):
+    """Supplier keys 1000 apart, as larger tables have: each keeps its use prompt and its build."""
+    spark.createDataFrame([(k + 1000 * i,) for k in range(1, 7) for i in range(3)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["rollout_metric_table"]).fetchall()
+    got = catalogue.QUERIES["rollout_metric_table"](spark, str(tmp_path)).select("batch_id", "name", "value").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - {f"task_{t}" for t in tasks.BANDS}))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0

@@ -1,5 +1,7 @@
 """Tool sessions, payloads and penalties."""
 
+from pyspark.sql import functions as F
+
 from rillflow.operators import execute, payloads, registry
 
 MESSAGES = "rollout_id string, question string, messages array<struct<role: string, content: string, name: string, tool_calls: array<struct<name: string, arguments: string>>>>"
@@ -53,3 +55,27 @@ def test_execution_limits():
     assert execute.run_code("while True: pass", timeout=1)["status"] == "Error"
     assert execute.run_code("def f(flag):\n    return flag", "f", {"flag": True})["stdout"] == "True"
     assert execute.run_code("import os\nprint(sorted(os.environ))")["stdout"].find("HOME") < 0
+
+
+
+def test_jobs_are_dealt_and_apart(spark):
+    """Jobs of one partition run in several places, each in a process of its own; one that ends its parent harms no other."""
+    code = F.when(F.col("id") == 7, "import os\nos.kill(os.getppid(), 9)").otherwise("import builtins, os\nprint(os.getppid(), os.getpid(), hasattr(builtins, 'left'))\nbuiltins.left = 1")
+    jobs = spark.range(80).coalesce(1).select("id", code.alias("code"), F.lit(None).cast("string").alias("function"), F.lit("{}").alias("args"), F.lit(10).alias("timeout"))
+    rows = execute.execute_jobs(jobs).collect()
+    assert sorted(r["id"] for r in rows) == list(range(80))
+    assert [r["id"] for r in rows if r["status"] == "Error"] == [7]
+    said = [r["stdout"].split() for r in rows if r["id"] != 7]
+    assert len({x[0] for x in said}) > 1 and len({x[1] for x in said}) == 79 and {x[2] for x in said} == {"False"}
+
+
+def test_ends_of_runs():
+    """Return codes, exit handlers, threads and what is no UTF-8."""
+    with execute.Runner() as runner:
+        assert [runner.run(f"import sys\nsys.exit({x})")["status"] for x in ("", "0", "3", "'bye'")] == ["Success", "Success", "Error", "Error"]
+        assert runner.run("import atexit\natexit.register(print, 'end')")["stdout"] == "end"
+        assert runner.run("import threading, time\nthreading.Thread(target=lambda: (time.sleep(0.2), print('late'))).start()")["stdout"] == "late"
+        assert runner.run("import sys\nsys.stdout.buffer.write(b'a\\xff')")["stdout"] == "a\ufffd"
+        assert "ZeroDivisionError" in runner.run("1 / 0")["stderr"]
+        assert runner.run("import time\ntime.sleep(9)", timeout=1)["stderr"] == "Execution timed out"
+        assert runner.run("print(len(bytearray(1 << 30)))")["status"] == "Error"
\ No newline at end of file
