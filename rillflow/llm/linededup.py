@@ -15,13 +15,13 @@
    meet exactly: with shingles in one order, the rarer first, lines of n and m shingles at the bound have one in common among
    so many first ones of each as n and m ask for, and each of these with the classes of n and m is a bucket (prefix_keys),
    whose hub is the line with the least of its own. What all lines of a template share stands last and tells none apart.
-   So comparisons grow with the lines of a bucket, never with their square, at every size alike.
+   What a large bucket leaves is compared after that: all its pairs whose lines are not in one component by then and whose symbols
+   agree (open_pairs). So copies and edits of one line cost no square; lines that share a bucket and are not alike do,
+   by a count of bits each, in cells of BLOCK by BLOCK lines.
 4. Comparisons are exact: Jaccard of the shingle sets, SIMILARITY or more.
 5. Components are found by star contraction on DataFrames; the line that comes first stays, all others go.
 
-Only large buckets may hide links. On crowds made for that (tests/llm/test_line_crowds.py: kinds of a
-template just above and others just below the bound, one-character edits with and without the line they are of, lines around the
-bound) 97 to 100 % of the lines go that all pairs drop.
+No bucket hides a link: only a pair that meets in no bucket, or whose symbols agree on fewer than AGREE, is not compared.
 
 Defined results: a null text stays null and has no lines; blank lines are kept as they are; a line shorter than WIDTH is
 its own only shingle; an empty table gives an empty result; repeated rows with one key are each cleaned, and of equal
@@ -50,6 +50,8 @@ SPAN = (0, 1, 4, 9)
 STEP = 7
 #: Lines before it in a bucket's order that a line is compared with; up to one line more, that is all pairs of a bucket.
 NEAR = 8
+#: Rows of a large bucket that one cell of its remaining pairs takes from either side.
+BLOCK = 1024
 #: Bits of each of the minima that order a bucket: two lines agree on a symbol by chance once in 16 times.
 SYMBOL, SYMBOLS = 4, 16
 #: Of the symbols, so many must agree before two lines of a band are compared exactly; at Jaccard 0.8 fewer do once in 3000 times.
@@ -252,21 +254,46 @@ def crowded(met: DataFrame) -> DataFrame:
     return dense.join(heads, ["bucket", "deep"], "left_semi").select("lid").distinct()
 
 
-def line_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links between distinct lines (lid, line)."""
+def line_components(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of distinct lines (lid, line) that are linked to another."""
+    agree = AGREE if similarity >= SIMILARITY else 0
     short = short_keys(distinct, similarity).withColumn("rank", F.lit(0).cast("long"))
     met = materialize(shared_buckets(bands(distinct).unionByName(short)), "lines-met")
     crowd = materialize(crowded(met), "lines-crowd")
     again = materialize(shared_buckets(prefix_keys(distinct.join(crowd, "lid", "left_semi"), similarity)), "lines-met")
-    pairs = bucket_pairs(met, AGREE if similarity >= SIMILARITY else 0).union(bucket_pairs(again)).distinct()
-    return similar_pairs(pairs, distinct, similarity)
+    pairs = bucket_pairs(met, agree).union(bucket_pairs(again)).distinct()
+    linked = materialize(connected_components(similar_pairs(pairs, distinct, similarity)), "lines-linked")
+    left = materialize(open_pairs(met, linked, agree), "lines-left")
+    more = materialize(similar_pairs(left, distinct, similarity), "lines-more")
+    if more.isEmpty():
+        return linked
+    return connected_components(more.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def open_pairs(met: DataFrame, linked: DataFrame, agree: int = 0) -> DataFrame:
+    """(a, b), a < b: of the buckets of more than NEAR + 1 rows, all pairs whose lines are not in one component (node, component) yet
+    and whose ranks agree on `agree` symbols. A bucket of one component has none. The others are cut into blocks of about BLOCK
+    rows, and each two blocks are a cell of their own, so that a bucket's pairs are found in many tasks."""
+    known = linked.select(F.col("node").alias("lid"), "component")
+    rows = met.where(F.col("n") > NEAR + 1).select("bucket", "rank", "lid").join(known, "lid", "left")
+    rows = materialize(rows.select("bucket", "rank", "lid", F.coalesce("component", "lid").alias("c")), "lines-open")
+    mixed = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    rows = rows.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("blocks")))
+    left = rows.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), *[F.col(x).alias(x + "_a") for x in ("lid", "rank", "c")])
+    right = rows.select("bucket", F.explode(F.expr("sequence(0L, own)")).alias("i"), F.col("own").alias("j"), *[F.col(x).alias(x + "_b") for x in ("lid", "rank", "c")])
+    left, right = left.alias("x"), right.alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    apart = (F.col("c_a") != F.col("c_b")) & ((F.col("x.i") != F.col("x.j")) | (F.col("lid_a") < F.col("lid_b")))
+    if agree:
+        apart = apart & (_agree(F.col("rank_a"), F.col("rank_b")) >= agree)
+    return left.join(right, same & apart).select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b")).distinct()
 
 
 def line_classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(key, uid, pos, keep, first): every line that is not blank, whether it stays, and the place of the line that stays for it."""
     lines = lines_of(df, text, key)
     distinct = bucketed(distinct_lines(lines))
-    linked = connected_components(line_links(distinct, similarity))
+    linked = line_components(distinct, similarity)
     firsts = distinct.select("lid", "check", "first", "n")
     named = firsts.join(linked.withColumnRenamed("node", "lid"), "lid").select("lid", "component", "first")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
