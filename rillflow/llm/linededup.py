@@ -15,13 +15,15 @@
    meet exactly: with shingles in one order, the rarer first, lines of n and m shingles at the bound have one in common among
    so many first ones of each as n and m ask for, and each of these with the classes of n and m is a bucket (prefix_keys),
    whose hub is the line with the least of its own. What all lines of a template share stands last and tells none apart.
-   What a large bucket leaves is compared after that: all its pairs whose lines are not in one component by then and whose symbols
-   agree (open_pairs). So copies and edits of one line cost no square; lines that share a bucket and are not alike do,
-   by a count of bits each, in cells of BLOCK by BLOCK lines.
+   What a large bucket of either kind leaves is compared after that: all its pairs whose lines are not in one component by then,
+   but for those that a bound rules out (open_pairs): the parities of a line's shingles over MARKS words of bits differ between two
+   lines in no more bits than there are shingles that only one of them has (marks). So copies and edits of one line cost no
+   square; lines that share a bucket and are not alike do, by a count of bits each, in cells of BLOCK by BLOCK lines.
 4. Comparisons are exact: Jaccard of the shingle sets, SIMILARITY or more.
 5. Components are found by star contraction on DataFrames; the line that comes first stays, all others go.
 
-No bucket hides a link: only a pair that meets in no bucket, or whose symbols agree on fewer than AGREE, is not compared.
+No bucket hides a link: only a pair that meets in no bucket, or in none but small bands while its symbols agree on fewer than
+AGREE, is not compared.
 
 Defined results: a null text stays null and has no lines; blank lines are kept as they are; a line shorter than WIDTH is
 its own only shingle; an empty table gives an empty result; repeated rows with one key are each cleaned, and of equal
@@ -52,6 +54,8 @@ STEP = 7
 NEAR = 8
 #: Rows of a large bucket that one cell of its remaining pairs takes from either side.
 BLOCK = 1024
+#: Words of 64 bits for the parities of a line's shingles.
+MARKS = 16
 #: Bits of each of the minima that order a bucket: two lines agree on a symbol by chance once in 16 times.
 SYMBOL, SYMBOLS = 4, 16
 #: Of the symbols, so many must agree before two lines of a band are compared exactly; at Jaccard 0.8 fewer do once in 3000 times.
@@ -254,6 +258,26 @@ def crowded(met: DataFrame) -> DataFrame:
     return dense.join(heads, ["bucket", "deep"], "left_semi").select("lid").distinct()
 
 
+def marks(lines: DataFrame) -> DataFrame:
+    """(lid, n, p0, p1, ...) of lines: how many distinct shingles each has, and of each of 64 * MARKS classes of shingles whether
+    their number is odd. A shingle that two lines share changes the same bit of both, so their bits differ in no more places than
+    there are shingles that only one of them has."""
+    each = shingles(lines).distinct()
+    bit = "shiftleft(1L, CAST(h & 63 AS INT))"
+    words = [F.expr(f"bit_xor(IF((shiftrightunsigned(h, 6) & {MARKS - 1}) = {k}, {bit}, 0L))").alias(f"p{k}") for k in range(MARKS)]
+    return each.groupBy("lid").agg(F.count("*").alias("n"), *words)
+
+
+def may_reach(similarity: float) -> Column:
+    """Whether lines with the marks n_a, p0_a, ... and n_b, p0_b, ... may be alike. Sets of n and m shingles at the bound have at
+    most (1 - similarity) / (1 + similarity) (n + m) that only one of them has; no such pair is ruled out."""
+    apart = F.lit(0)
+    for k in range(MARKS):
+        apart = apart + F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b")))
+    least = F.greatest(apart.cast("long"), F.abs(F.col("n_a") - F.col("n_b")))
+    return least <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+
+
 def line_components(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of distinct lines (lid, line) that are linked to another."""
     agree = AGREE if similarity >= SIMILARITY else 0
@@ -263,29 +287,46 @@ def line_components(distinct: DataFrame, similarity: float = SIMILARITY) -> Data
     again = materialize(shared_buckets(prefix_keys(distinct.join(crowd, "lid", "left_semi"), similarity)), "lines-met")
     pairs = bucket_pairs(met, agree).union(bucket_pairs(again)).distinct()
     linked = materialize(connected_components(similar_pairs(pairs, distinct, similarity)), "lines-linked")
-    left = materialize(open_pairs(met, linked, agree), "lines-left")
+    left = materialize(open_pairs(met.union(again), linked, distinct, similarity), "lines-left")
     more = materialize(similar_pairs(left, distinct, similarity), "lines-more")
-    if more.isEmpty():
-        return linked
-    return connected_components(more.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-
-def open_pairs(met: DataFrame, linked: DataFrame, agree: int = 0) -> DataFrame:
-    """(a, b), a < b: of the buckets of more than NEAR + 1 rows, all pairs whose lines are not in one component (node, component) yet
-    and whose ranks agree on `agree` symbols. A bucket of one component has none. The others are cut into blocks of about BLOCK
-    rows, and each two blocks are a cell of their own, so that a bucket's pairs are found in many tasks."""
+    return linked if more.isEmpty() else joined(linked, more)
+
+
+def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """linked (node, component) after links (a, b) more: their components are linked, not all nodes anew."""
+    of = linked.select(F.col("node").alias("lid"), "component")
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(of.withColumnRenamed("lid", end).withColumnRenamed("component", "c" + end), end, "left")
+    ends = materialize(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "lines-ends")
+    over = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x"))
+    nodes = linked.select("node", "component").union(new.select("x.*").where("node = component")).distinct()
+    return nodes.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
+def open_pairs(met: DataFrame, linked: DataFrame, distinct: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b: of the buckets of more than NEAR + 1 rows, all pairs whose lines are not in one component (node, component)
+    yet; with `distinct` given, those of them that may be alike by their marks. A bucket of one component has none. The others are
+    cut into blocks of about BLOCK rows, and each two blocks are a cell of their own, so that a bucket's pairs are found in many
+    tasks."""
     known = linked.select(F.col("node").alias("lid"), "component")
-    rows = met.where(F.col("n") > NEAR + 1).select("bucket", "rank", "lid").join(known, "lid", "left")
-    rows = materialize(rows.select("bucket", "rank", "lid", F.coalesce("component", "lid").alias("c")), "lines-open")
+    rows = met.where(F.col("n") > NEAR + 1).select("bucket", "lid").join(known, "lid", "left")
+    rows = materialize(rows.select("bucket", "lid", F.coalesce("component", "lid").alias("c")), "lines-open")
     mixed = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    rows = rows.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("blocks")))
-    left = rows.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), *[F.col(x).alias(x + "_a") for x in ("lid", "rank", "c")])
-    right = rows.select("bucket", F.explode(F.expr("sequence(0L, own)")).alias("i"), F.col("own").alias("j"), *[F.col(x).alias(x + "_b") for x in ("lid", "rank", "c")])
+    rows = rows.join(mixed.select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("lid"), F.col("blocks")))
+    own = ["lid", "c"]
+    if distinct is not None:
+        rows = materialize(rows, "lines-open")
+        rows = rows.join(materialize(marks(distinct.join(rows.select("lid").distinct(), "lid", "left_semi")), "lines-marks"), "lid")
+        own += ["n", *[f"p{k}" for k in range(MARKS)]]
+    left = rows.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), *[F.col(x).alias(x + "_a") for x in own])
+    right = rows.select("bucket", F.explode(F.expr("sequence(0L, own)")).alias("i"), F.col("own").alias("j"), *[F.col(x).alias(x + "_b") for x in own])
     left, right = left.alias("x"), right.alias("y")
     same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     apart = (F.col("c_a") != F.col("c_b")) & ((F.col("x.i") != F.col("x.j")) | (F.col("lid_a") < F.col("lid_b")))
-    if agree:
-        apart = apart & (_agree(F.col("rank_a"), F.col("rank_b")) >= agree)
+    if distinct is not None:
+        apart = apart & may_reach(similarity)
     return left.join(right, same & apart).select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b")).distinct()
 
 

@@ -106,3 +106,44 @@ def test_open_pairs_are_all_pairs_between_components(spark, monkeypatch):
     got = [tuple(r) for r in linededup.open_pairs(met, linked).collect()]
     want = {(i, j) for low, high in ((0, 60), (40, 100)) for i in range(low, high) for j in range(i + 1, high) if of(i) != of(j)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def jaccard(x, y):
+    s, t = ({z[i : i + linededup.WIDTH] for i in range(max(1, len(z) - linededup.WIDTH + 1))} for z in (x, y))
+    return len(s & t) / len(s | t)
+
+
+def test_marks_rule_out_no_pair_at_the_bound(spark):
+    """Of a large bucket of lines alike by half to nearly all, every link is left to compare, and few of the other pairs."""
+    r = random.Random(5)
+    base = [r.choice(LETTERS) for _ in range(200)]
+    lines = list(dict.fromkeys("".join(r.choice(LETTERS) if at < edits and r.random() < 0.1 else x for at, x in enumerate(base)) for edits in (200, 120, 60, 30) for _ in range(25)))
+    lines += ["abc" * 40, "abc" * 41, "ab", "abcdefgh", "abcdefghi"]
+    distinct = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    met = spark.createDataFrame([(7, i, len(lines)) for i in range(len(lines))], "bucket long, lid long, n long")
+    linked = spark.createDataFrame([], "node long, component long")
+    got = {tuple(x) for x in linededup.open_pairs(met, linked, distinct).collect()}
+    alike = {(i, j): jaccard(lines[i], lines[j]) for j in range(len(lines)) for i in range(j)}
+    links = {p for p, x in alike.items() if x >= linededup.SIMILARITY}
+    assert len(links) > 50 and links <= got
+    assert not [p for p in got if alike[p] < 0.6]
+    assert len(got) < 0.5 * len(alike)
+
+
+def test_what_buckets_of_prefixes_leave_is_compared(spark, monkeypatch):
+    """Lines that meet in no band, and of whose bucket of a prefix the order compares no pair, are linked by the rest."""
+    lines = ["the line that all of these begin with, up to its last two characters" + chr(0x4E00 + i) * 2 for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    pairs = linededup.bucket_pairs
+    monkeypatch.setattr(linededup, "bands", lambda distinct: distinct.selectExpr("lid", "lid AS bucket", "0L AS rank"))
+    monkeypatch.setattr(linededup, "crowded", lambda met: df.select("lid"))
+    monkeypatch.setattr(linededup, "bucket_pairs", lambda met, agree=0: pairs(met, agree).where("false"))
+    assert {r["node"]: r["component"] for r in linededup.line_components(df).collect()} == dict.fromkeys(range(30), 0)
+
+
+def test_more_links_join_components(spark):
+    """Links between components, to a line of none, and between two of none."""
+    linked = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, component long")
+    more = spark.createDataFrame([(4, 6), (3, 5), (0, 2), (8, 9)], "a long, b long")
+    got = sorted(tuple(r) for r in linededup.joined(linked, more).select("node", "component").collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3), (6, 3), (8, 8), (9, 8)]
