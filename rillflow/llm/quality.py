@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +66,13 @@ class LatentModel:
         self.labels = labels.astype(np.float32)
 
     def weigh(self, rows: np.ndarray) -> np.ndarray:
-        pairs = rows[:, :BUCKETS]
-        tf = np.sqrt(pairs / np.maximum(pairs.sum(1, keepdims=True), 1))
-        x = np.hstack([tf, rows[:, BUCKETS:]]) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.array(rows, np.float32)  # the one copy
+        pairs = x[:, :BUCKETS]
+        pairs /= np.maximum(pairs.sum(1, keepdims=True), 1)
+        np.sqrt(pairs, out=pairs)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.basis
@@ -89,6 +93,16 @@ class LatentModel:
         return out
 
 
+def _ordered(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and labels in order of (key, row). The counts are copied once, so the driver holds few copies of them."""
+    order = pc.sort_indices(got, sort_keys=[("key", "ascending"), ("row", "ascending")]).to_numpy()
+    matrix, at = np.empty((got.num_rows, BUCKETS + EXTRA), np.float32), np.empty(got.num_rows, np.int64)
+    at[order] = np.arange(got.num_rows)
+    for i, row in zip(at, (x for chunk in got["row"].chunks for x in chunk), strict=True):
+        matrix[i] = np.frombuffer(row.as_buffer(), np.float32)
+    return matrix, got["label"].to_numpy()[order].astype(np.float32)
+
+
 def fit(sample: DataFrame) -> LatentModel:
     """sample: (key, text, label), of bounded size. Only its feature counts reach the driver."""
 
@@ -98,10 +112,8 @@ def fit(sample: DataFrame) -> LatentModel:
             yield pa.record_batch([key, label, pa.array([counts(t).tobytes() for t in text.to_pylist()], pa.binary())], names=["key", "label", "row"])
 
     rows = sample.select(F.col("key").cast("string").alias("key"), "label", "text")
-    got = rows.mapInArrow(features, "key string, label int, row binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["key"], r["row"]))
-    matrix = np.frombuffer(b"".join(r["row"] for r in got), np.float32).reshape(len(got), BUCKETS + EXTRA)
-    return LatentModel(matrix, np.array([r["label"] for r in got], np.float32))
+    got = rows.mapInArrow(features, "key string, label int, row binary").toArrow()
+    return LatentModel(*_ordered(got))
 
 
 def score(df: DataFrame, model: LatentModel, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -460,3 +461,14 @@ def test_stages_tell_documents_apart_without_ids(spark):
     mixed = corpus_pipeline.mix_sources(spark, df, "").groupBy(*df.columns).count().collect()
     assert abs(sum(x["count"] for x in mixed) - taken) <= 3  # a document more or less in each source, by other random numbers
     assert all(x["count"] <= 2 * rows.count(tuple(x)[:-1]) for x in mixed)
+
+
+def test_fit_of_quality_holds_few_copies_of_its_counts():
+    """The driver fits the model: beside the counts it holds two copies of them at most, and little else."""
+    rows = np.random.default_rng(1).poisson(0.3, (2048, quality.BUCKETS + quality.EXTRA)).astype(np.float32)
+    labels = np.arange(2048) % 2
+    tracemalloc.start()
+    quality.LatentModel(rows, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.6 * rows.nbytes, peak / rows.nbytes
