@@ -202,6 +202,13 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return dealt.join(sizes.hint("shuffle_hash"), "bucket").select("bucket", "rank", "lid", "n", "hub", "hub_rank")
 
 
+def unlike_buckets(rows: DataFrame) -> DataFrame:
+    """rows of one of the buckets that hold the same lines: the others give the same pairs. A bucket is told by 128 bits of its lines."""
+    told = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("lid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "lid")).alias("y"))
+    one = told.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(one, "bucket", "left_semi")
+
+
 def _agree(a: Column, b: Column) -> Column:
     """How many symbols of two ranks agree."""
     x = a.bitwiseXOR(b)
@@ -239,14 +246,16 @@ def shingle_set(text: str) -> str:
 
 
 def similar_pairs(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose Jaccard reaches similarity, found exactly."""
+    """Those of the pairs (a, b) whose Jaccard reaches similarity, found exactly. n_a and n_b are the sizes of both sets, if known."""
+    known = [x for x in ("n_a", "n_b") if x in pairs.columns]
     left = distinct.select(F.col("lid").alias("a"), F.col("line").alias("la"))
     right = distinct.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
     # The pairs, two numbers a row, are hashed, so that the lines need no sort.
-    texts = pairs.hint("shuffle_hash").join(left, "a").join(right, "b").select("a", "b", F.encode("la", "UTF-16BE").alias("u"), F.encode("lb", "UTF-16BE").alias("v"))
+    texts = pairs.hint("shuffle_hash").join(left, "a").join(right, "b").select("a", "b", *known, F.encode("la", "UTF-16BE").alias("u"), F.encode("lb", "UTF-16BE").alias("v"))
     # The generator computes both sets once; a projection would be merged into the condition and computed again.
-    sets = texts.select("a", "b", F.expr(f"inline(array(named_struct('s', {shingle_set('u')}, 't', {shingle_set('v')})))"))
-    return sets.where(f"size(array_intersect(s, t)) >= {similarity - 1e-9!r}D * size(array_union(s, t))").select("a", "b")
+    sets = texts.select("a", "b", *known, F.expr(f"inline(array(named_struct('s', {shingle_set('u')}, 't', {shingle_set('v')})))"))
+    either = "(n_a + n_b - size(array_intersect(s, t)))" if known else "size(array_union(s, t))"
+    return sets.where(f"size(array_intersect(s, t)) >= {similarity - 1e-9!r}D * {either}").select("a", "b")
 
 
 def crowded(met: DataFrame) -> DataFrame:
@@ -262,10 +271,12 @@ def marks(lines: DataFrame) -> DataFrame:
     """(lid, n, p0, p1, ...) of lines: how many distinct shingles each has, and of each of 64 * MARKS classes of shingles whether
     their number is odd. A shingle that two lines share changes the same bit of both, so their bits differ in no more places than
     there are shingles that only one of them has."""
-    each = shingles(lines).distinct()
-    bit = "shiftleft(1L, CAST(h & 63 AS INT))"
-    words = [F.expr(f"bit_xor(IF((shiftrightunsigned(h, 6) & {MARKS - 1}) = {k}, {bit}, 0L))").alias(f"p{k}") for k in range(MARKS)]
-    return each.groupBy("lid").agg(F.count("*").alias("n"), *words)
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = lines.repartition(parts, "lid").select("lid", F.encode("line", "UTF-16BE").alias("u"))  # lines are dealt, not shingles
+    each = wide.select("lid", F.explode(F.expr(f"array_distinct({shingle_set('u')})")).alias("h"))
+    each = each.groupBy("lid", F.expr(f"shiftrightunsigned(h, 6) & {MARKS - 1}").alias("w")).agg(F.count("*").alias("n"), F.expr("bit_xor(shiftleft(1L, CAST(h & 63 AS INT)))").alias("p"))
+    words = [F.coalesce(F.max(F.when(F.col("w") == k, F.col("p"))), F.lit(0)).alias(f"p{k}") for k in range(MARKS)]
+    return each.groupBy("lid").agg(F.sum("n").alias("n"), *words)
 
 
 def may_reach(similarity: float) -> Column:
@@ -278,18 +289,52 @@ def may_reach(similarity: float) -> Column:
     return least <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
 
 
+def likely_pairs(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, n_a, n_b): those of the pairs (a, b) that may be alike by the marks of both."""
+    for end in ("a", "b"):
+        pairs = pairs.join(marked.select(F.col("lid").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in marked.columns if x != "lid"]), end)
+    return pairs.where(may_reach(similarity)).select("a", "b", "n_a", "n_b")
+
+
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs, each line's with the least other: they link most of what all of them link."""
+    ends = pairs.select(F.explode(F.array(F.struct("a", F.col("b").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("o")))).alias("x"))
+    least = ends.groupBy("x.a").agg(F.min("x.o").alias("o"))
+    return pairs.join(least.select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b")).distinct(), ["a", "b"], "left_semi")
+
+
+def between(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Those of the pairs whose lines are not in one component (node, component) yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(linked.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
 def line_components(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of distinct lines (lid, line) that are linked to another."""
     agree = AGREE if similarity >= SIMILARITY else 0
     short = short_keys(distinct, similarity).withColumn("rank", F.lit(0).cast("long"))
     met = materialize(shared_buckets(bands(distinct).unionByName(short)), "lines-met")
     crowd = materialize(crowded(met), "lines-crowd")
-    again = materialize(shared_buckets(prefix_keys(distinct.join(crowd, "lid", "left_semi"), similarity)), "lines-met")
+    # Only lines that met another are read from here on.
+    few = materialize(distinct.join(met.select("lid").union(crowd.select("lid")).distinct(), "lid", "left_semi").select("lid", "line"), "lines-few")
+    keys = materialize(prefix_keys(few.join(crowd, "lid", "left_semi"), similarity), "lines-keys")
+    again = materialize(shared_buckets(unlike_buckets(keys)), "lines-met")
+    marked = materialize(marks(few), "lines-marks")
     pairs = bucket_pairs(met, agree).union(bucket_pairs(again)).distinct()
-    linked = materialize(connected_components(similar_pairs(pairs, distinct, similarity)), "lines-linked")
-    left = materialize(open_pairs(met.union(again), linked, distinct, similarity), "lines-left")
-    more = materialize(similar_pairs(left, distinct, similarity), "lines-more")
-    return linked if more.isEmpty() else joined(linked, more)
+    pairs = materialize(likely_pairs(pairs, marked, similarity), "lines-pairs")
+    linked = materialize(connected_components(similar_pairs(first_pairs(pairs), few, similarity)), "lines-linked")
+    linked = after(linked, materialize(similar_pairs(materialize(between(pairs, linked), "lines-rest"), few, similarity), "lines-more"))
+    left = open_pairs(met.union(again), linked, few, similarity, marked)
+    for end in ("a", "b"):
+        left = left.join(marked.select(F.col("lid").alias(end), F.col("n").alias("n_" + end)), end)
+    left = materialize(left.select("a", "b", "n_a", "n_b"), "lines-left")
+    return after(linked, materialize(similar_pairs(left, few, similarity), "lines-more"))
+
+
+def after(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """linked (node, component) with the links (a, b) more, if there are any; written, where it changes."""
+    return linked if more.isEmpty() else materialize(joined(linked, more), "lines-linked")
 
 
 def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
@@ -305,7 +350,7 @@ def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
     return nodes.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
-def open_pairs(met: DataFrame, linked: DataFrame, distinct: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def open_pairs(met: DataFrame, linked: DataFrame, distinct: DataFrame | None = None, similarity: float = SIMILARITY, marked: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: of the buckets of more than NEAR + 1 rows, all pairs whose lines are not in one component (node, component)
     yet; with `distinct` given, those of them that may be alike by their marks. A bucket of one component has none. The others are
     cut into blocks of about BLOCK rows, and each two blocks are a cell of their own, so that a bucket's pairs are found in many
@@ -318,7 +363,9 @@ def open_pairs(met: DataFrame, linked: DataFrame, distinct: DataFrame | None = N
     own = ["lid", "c"]
     if distinct is not None:
         rows = materialize(rows, "lines-open")
-        rows = rows.join(materialize(marks(distinct.join(rows.select("lid").distinct(), "lid", "left_semi")), "lines-marks"), "lid")
+        if marked is None:
+            marked = materialize(marks(distinct.join(rows.select("lid").distinct(), "lid", "left_semi")), "lines-marks")
+        rows = rows.join(marked, "lid")
         own += ["n", *[f"p{k}" for k in range(MARKS)]]
     left = rows.select("bucket", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), *[F.col(x).alias(x + "_a") for x in own])
     right = rows.select("bucket", F.explode(F.expr("sequence(0L, own)")).alias("i"), F.col("own").alias("j"), *[F.col(x).alias(x + "_b") for x in own])

@@ -147,3 +147,38 @@ def test_more_links_join_components(spark):
     more = spark.createDataFrame([(4, 6), (3, 5), (0, 2), (8, 9)], "a long, b long")
     got = sorted(tuple(r) for r in linededup.joined(linked, more).select("node", "component").collect())
     assert got == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3), (6, 3), (8, 8), (9, 8)]
+
+
+def test_pairs_that_marks_rule_out_and_pairs_within_components_are_not_compared(spark, monkeypatch):
+    """Of 200 candidates of a line and 24 edits of it beside 40 unlike lines, only few are compared by their texts, and all links are found."""
+    r = random.Random(12)
+    made = lambda n: "".join(r.choice(LETTERS) for _ in range(n))
+    base = made(200)
+    alike = [base] + [base[: 7 * i] + "#" + base[7 * i + 1 :] for i in range(1, 25)]
+    lines = alike + [base[: 90 + i] + made(110 - i) for i in range(40)]
+    every = [(i, j) for j in range(len(lines)) for i in range(j)]
+    compared, exact = [], linededup.similar_pairs
+
+    def counted(pairs, distinct, similarity):
+        compared.extend((x["a"], x["b"]) for x in pairs.select("a", "b").collect())
+        return exact(pairs, distinct, similarity)
+
+    candidates = spark.createDataFrame(every, "a long, b long")
+    monkeypatch.setattr(linededup, "bucket_pairs", lambda met, agree=0: candidates)
+    monkeypatch.setattr(linededup, "similar_pairs", counted)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    monkeypatch.setattr(linededup, "crowded", lambda met: df.select("lid"))
+    found = {x["node"]: x["component"] for x in linededup.line_components(df).collect()}
+    links = [(i, j) for i, j in every if jaccard(lines[i], lines[j]) >= linededup.SIMILARITY]
+    parent = list(range(len(lines)))
+    for _ in lines:
+        for i, j in links:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    assert found == {i: p for i, p in enumerate(parent) if parent.count(p) > 1} and len(found) >= 25
+    assert len(compared) == len(set(compared)) < 150 < len(links)
+
+
+def test_of_buckets_with_the_same_lines_one_is_kept(spark):
+    rows = [(b, lid) for b, lids in ((1, (1, 2, 3)), (2, (3, 2, 1)), (3, (1, 2)), (4, (1, 2, 4)), (5, (5,)), (6, (2, 1))) for lid in lids]
+    got = linededup.unlike_buckets(spark.createDataFrame(rows, "bucket long, lid long")).collect()
+    assert sorted(tuple(x) for x in got) == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (4, 1), (4, 2), (4, 4)]
